@@ -21,19 +21,32 @@ from loam.llm.shared import hashed_share, saved
 
 #: Vectors in a block of an inverted list; bounds of the number of pivots, which is 4 times the root of the vectors.
 BLOCK, LEAST_PIVOTS, MOST_PIVOTS = 256, 64, 2048
+#: The largest cosine between two pivots.
+SPREAD = 0.8
 
 
 def choose_pivots(unique: DataFrame, n_unique: int) -> np.ndarray:
-    """Unit vectors of at most MOST_PIVOTS rows, sampled by hash; rows of another length than most are no pivots."""
+    """Unit vectors of a sample taken by hash, MOST_PIVOTS of them at most, no two with a cosine over SPREAD.
+
+    A large group of near copies fills its share of any sample. Pivots so close together would be ordered by chance, so
+    of such a crowd only the first one stays. Rows of another length than most are no pivots.
+    """
     wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 4 * n_unique**0.5)))
-    share = hashed_share(n_unique, wanted)
+    share = hashed_share(n_unique, 2 * wanted)
     sample = unique.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1_000_000)) < share)
     lengths = sample.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths:
         return np.zeros((0, 0))
-    rows = sample.where(F.size("embedding") == lengths[0].n).orderBy("rep", "label").select("embedding").limit(2 * MOST_PIVOTS).collect()
-    pivots = np.array([r.embedding for r in rows], np.float64)
-    return pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+    rows = sample.where(F.size("embedding") == lengths[0].n).orderBy("rep", "label").select("embedding").limit(3 * MOST_PIVOTS).collect()
+    found = np.array([r.embedding for r in rows], np.float64)
+    found /= np.linalg.norm(found, axis=1, keepdims=True)
+    kept = np.zeros((0, found.shape[1]))
+    for v in found:
+        if len(kept) == wanted:
+            break
+        if not len(kept) or (kept @ v).max() <= SPREAD:
+            kept = np.vstack([kept, v])
+    return kept
 
 
 def _describe(pivots: np.ndarray, nearest: int):
@@ -83,7 +96,7 @@ def _block_links(least: float, shared: int):
     return block_links
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, nearest: int = 8, shared: int = 2) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, nearest: int = 10, shared: int = 2) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label).
 
     Vectors are compared only when their labels are equal and not null. A null, empty or zero vector, one that
