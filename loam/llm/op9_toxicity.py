@@ -24,8 +24,8 @@ from loam.llm.shared import hashed_share, saved
 
 #: Bounds of the training sample (about), of the features, and the fewest confirmed documents a feature needs.
 MOST_CONFIRMED, MOST_UNLABELLED, MOST_FEATURES, LEAST_DOCUMENTS = 4000, 8000, 1024, 5
-#: How many standard errors a feature must stand out by.
-LEAST_Z = 6.0
+#: How many standard errors a feature must stand out by, and the least share of toxic documents among those that have it.
+LEAST_Z, LEAST_SHARE = 5.0, 0.5
 STARTS, FOLDS = (3, 4, 5, 6), 5
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
     counted = sample.mapInPandas(count, "feature string, c long, u long").groupBy("feature").agg(F.sum("c").alias("c"), F.sum("u").alias("u")).where(F.col("c") >= LEAST_DOCUMENTS)
     a, b = F.col("c") / nc, F.col("u") / nu
     stands_out = (a - b) / F.sqrt((F.col("c") + F.col("u") + 1) / (nc + nu) * (1.0 / nc + 1.0 / nu))
-    chosen = [r.feature for r in counted.withColumn("z", stands_out).where(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()]
+    chosen = [r.feature for r in counted.withColumn("z", stands_out).where((F.col("z") > LEAST_Z) & (prior * a >= LEAST_SHARE * b)).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()]
     if not chosen:
         return {"": float(np.log(prior / (1 - prior)))}
     column = {f: k for k, f in enumerate(chosen)}
