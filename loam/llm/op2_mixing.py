@@ -135,15 +135,27 @@ def mixed_documents(docs: DataFrame, n_shards: int = 64, seed: int = 17) -> Data
     the text. Rows of one doc_id with different texts or sources keep apart; equal rows are taken as often as
     the mix takes them together.
     """
-    tie = F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("_tie")
-    taken = mix(docs, n_shards, seed).where("taken > 0").groupBy("doc_id", "tie", "taken", "size").count()
-    taken = taken.select(F.col("tie").alias("_tie"), F.col("doc_id").alias("_id"), "taken", "size", "count")
-    unique = docs.withColumn("_tie", tie).dropDuplicates(["_tie", "doc_id"])
-    both = unique.join(taken, (unique["_tie"] == taken["_tie"]) & unique["doc_id"].eqNullSafe(taken["_id"]))
-    copied = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
-    text = F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(_first_words(F.col("text"), F.col("taken")))
-    columns = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return copied.select(*columns)
+    mixed = saved(mix(docs, n_shards, seed).select("doc_id", "tie", "row", "size", "taken"), "mixed")
+    taken = mixed.where("taken > 0").groupBy("doc_id", "tie", "taken", "size").count()
+    taken = taken.select(F.col("tie").alias("_tie"), F.col("doc_id").alias("_id"), F.col("taken").alias("_taken"), F.col("size").alias("_size"), F.col("count").alias("_times"))
+    equal = mixed.groupBy(F.col("tie").alias("_tie"), F.col("doc_id").alias("_id")).agg(F.countDistinct("row").alias("n")).where("n > 1").select("_tie", "_id")
+    marked = docs.withColumn("_tie", F.xxhash64(F.lit(seed), "doc_id", "text", "source"))
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return (a["_tie"] == b["_tie"]) & a["doc_id"].eqNullSafe(b["_id"])
+
+    def copies(rows: DataFrame, some: DataFrame) -> DataFrame:
+        both = rows.join(some, same(rows, some)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+        text = F.when(F.col("_taken") == F.col("_size"), rows["text"]).otherwise(_first_words(rows["text"], F.col("_taken")))
+        return both.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else rows[c] for c in docs.columns])
+
+    equal = saved(equal, "equal-rows")
+    if equal.isEmpty():
+        return copies(marked, taken)
+    of_equal = [taken["_tie"] == equal["_tie"], taken["_id"].eqNullSafe(equal["_id"])]
+    first = marked.join(equal, same(marked, equal), "left_semi").dropDuplicates(["_tie", "doc_id"])
+    rest = copies(marked, taken.join(equal, of_equal, "left_anti"))
+    return rest.unionByName(copies(first, taken.join(equal, of_equal, "left_semi")))
 
 
 def _first_words(text: Column, n: Column) -> Column:

@@ -70,6 +70,7 @@ def test_mix_takes_the_targets(spark, docs, monkeypatch):
 
 
 def test_mixed_documents_hold_the_taken_words(docs):
+    docs = docs.withColumn("taken", F.lit("clash")).withColumn("size", F.lit("clash")).withColumn("count", F.lit(1)).withColumn("row", F.lit(1))
     mixed = op2_mixing.mixed_documents(docs, n_shards=4)
     assert mixed.columns == docs.columns
     whole = op2_mixing.taken_words(op2_mixing.mix(docs, n_shards=4)).agg(F.sum("taken")).first()[0]
