@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from loam.sources.shared import saved
+
 
 def clean_edges(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) without loops and without a missing end."""
@@ -91,3 +93,39 @@ def section_ranges(raw: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc").orderBy("first", "last", "kind").rowsBetween(Window.unboundedPreceding, -1)
     cut = turned.withColumn("first", F.greatest("first", F.coalesce(F.max("last").over(order) + 1, F.col("first"))))
     return cut.where("first <= last")
+
+
+def cyclic(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """Nodes that stay when nodes without a way in or without a way out are taken away, round by round.
+
+    Empty for a graph without cycles that is not deeper than ``rounds``; each round is one pair of semi joins.
+    """
+    left, before = clean_edges(edges), -1
+    for _ in range(rounds):
+        into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        left = saved(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "cycle-edges")
+        n = left.count()
+        if n in (0, before):
+            break
+        before = n
+    return left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 10, most: int = 100) -> DataFrame:
+    """(src, dst, path) for all shortest undirected paths between each pair, ``hops`` long at most.
+
+    Each pair's search stops at the depth that reaches its end; of a pair's paths the ``most`` first by order are told.
+    """
+    ways = both_ways(edges).select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    front = pairs.select("src", "dst", F.col("src").alias("at"), F.array("src").alias("path"))
+    found = None
+    for _ in range(hops):
+        step = front.join(ways, "at").where(~F.array_contains("path", F.col("next")))
+        step = saved(step.select("src", "dst", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path")), "paths")
+        done = step.where("at = dst").select("src", "dst", "path")
+        found = done if found is None else found.unionByName(done)
+        front = step.join(done.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+        if front.isEmpty():
+            break
+    rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy("path"))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")

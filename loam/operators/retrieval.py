@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loam.functions.text import tokens
+from loam.functions.text import jaccard, tokens
 
 
 def shared_tokens(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -73,3 +73,21 @@ def nearest_centres(vectors: DataFrame, centres: DataFrame, k: int) -> DataFrame
 
     kind = centres.schema["item"].dataType.simpleString()
     return vectors.select("id", "vector").mapInPandas(score, f"id long, item {kind}, score double, rank int")
+
+
+def overlapping(texts: DataFrame, least: float) -> DataFrame:
+    """(group, id, other, score) for pairs of one group whose token sets have a Jaccard of ``least`` or more, id < other.
+
+    Two such sets share a token among the first n - ceil(least * n) + 1 of each, rarest first, so only those tokens
+    meet; a token that most of a group's texts hold is among the last of each and brings few pairs together.
+    """
+    told = texts.select("group", "id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    each = told.select("group", "id", F.explode("t").alias("token"))
+    counts = each.groupBy("group", "token").agg(F.count("*").alias("n"))
+    ranked = each.join(counts, ["group", "token"]).groupBy("group", "id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))
+    ranked = ranked.select("group", "id", F.transform("r", lambda x: x.token).alias("t"))
+    length = F.size("t") - F.ceil(F.size("t") * F.lit(least)).cast("int") + 1
+    first = ranked.select("group", "id", "t", F.explode(F.slice("t", F.lit(1), length)).alias("token"))
+    other = first.select("group", F.col("id").alias("other"), F.col("t").alias("u"), "token")
+    pairs = first.join(other, ["group", "token"]).where("id < other").select("group", "id", "other", "t", "u").dropDuplicates(["group", "id", "other"])
+    return pairs.withColumn("score", jaccard(F.col("t"), F.col("u"))).where(F.col("score") >= least).select("group", "id", "other", "score")
