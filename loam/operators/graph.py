@@ -53,24 +53,34 @@ def splice(edges: DataFrame, present: DataFrame, hops: int = 10) -> DataFrame:
     front = marked.join(present.select(F.col("node").alias("src")), "src", "left_semi")
     done = front.where("_here").select("src", "dst")
     front = front.where("not _here").select("src", "dst")
+    seen = None
     for _ in range(hops):
-        step = front.select(F.col("src").alias("start"), F.col("dst").alias("src")).distinct().join(marked, "src")
-        done = done.union(step.where("_here").select(F.col("start").alias("src"), "dst"))
-        front = step.where("not _here").select(F.col("start").alias("src"), "dst")
+        step = front.select(F.col("src").alias("start"), F.col("dst").alias("src")).distinct()
+        if seen is not None:
+            step = step.join(seen, ["start", "src"], "left_anti")
+        step = saved(step, "splice-places")
+        if step.isEmpty():
+            break
+        seen = step if seen is None else seen.union(step)
+        walked = saved(step.join(marked, "src").select("start", "dst", "_here"), "splice-steps")
+        done = done.union(walked.where("_here").select(F.col("start").alias("src"), "dst"))
+        front = walked.where("not _here").select(F.col("start").alias("src"), "dst")
     return done.where("src <> dst").distinct()
 
 
 def reachable(edges: DataFrame, starts: DataFrame, hops: int = 10) -> DataFrame:
     """(start, node, depth): every node reached from each start, by its least depth; starts are at 0.
 
-    One join a hop; a node already reached is not walked again, so cycles end.
+    One join a hop, written to the shared folder; a node already reached is not walked again, so cycles end.
     """
     seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
     front = seen
     clean = clean_edges(edges)
     for depth in range(1, hops + 1):
         step = front.join(clean, front["node"] == clean["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        front = saved(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reached")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

@@ -12,7 +12,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_texts(spark: SparkSession, path: str, least: int = 10) -> DataFrame:
     """One row per text file: path, text, status and warnings. Bytes that are no UTF-8 become replacement signs."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     status = F.when(F.length(F.trim(text)) >= least, "parsed").otherwise("failed")
     warnings = F.when(words < 50, F.array(F.lit("fewer than 50 words"))).otherwise(F.array().cast("array<string>"))
