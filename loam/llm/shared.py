@@ -1,38 +1,10 @@
-"""Tables that cut lineage, kept in the folder the whole cluster shares."""
+"""What the operators share: tables that cut lineage, and samples of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from loam.sources.shared import new_path, saved, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; in a local session without one, a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="loam-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    A lost executor costs only the reading tasks: nothing upstream of the table runs again.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["hashed_share", "new_path", "saved", "shared_dir"]
 
 
 def hashed_share(n_rows: int, bound: int) -> int:
