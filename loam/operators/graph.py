@@ -89,10 +89,9 @@ def flipped(edges: DataFrame, kinds: DataFrame, rules: DataFrame) -> DataFrame:
     """Edges (id, src, dst, verb) with the ends swapped where only the reverse fits the rules (verb, src_kind, dst_kind)."""
     s = kinds.select(F.col("node").alias("src"), F.col("kind").alias("sk"))
     d = kinds.select(F.col("node").alias("dst"), F.col("kind").alias("dk"))
-    rule = F.broadcast(rules)
     typed = edges.join(s, "src", "left").join(d, "dst", "left")
-    fits = typed.join(rule.select("verb", F.col("src_kind").alias("sk"), F.col("dst_kind").alias("dk"), F.lit(True).alias("as_is")), ["verb", "sk", "dk"], "left")
-    turns = fits.join(rule.select("verb", F.col("src_kind").alias("dk"), F.col("dst_kind").alias("sk"), F.lit(True).alias("turned")), ["verb", "sk", "dk"], "left")
+    fits = typed.join(rules.select("verb", F.col("src_kind").alias("sk"), F.col("dst_kind").alias("dk"), F.lit(True).alias("as_is")), ["verb", "sk", "dk"], "left")
+    turns = fits.join(rules.select("verb", F.col("src_kind").alias("dk"), F.col("dst_kind").alias("sk"), F.lit(True).alias("turned")), ["verb", "sk", "dk"], "left")
     swap = F.col("as_is").isNull() & F.coalesce("turned", F.lit(False))
     return turns.select("id", F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("dst"), "verb", swap.alias("was_flipped"))
 

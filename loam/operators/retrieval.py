@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from loam.functions.text import jaccard, tokens
 
+#: Rows of a catalogue that may travel to every task as they are.
+MOST_SMALL = 5000
+
 
 def shared_tokens(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(id, item, score): Jaccard of token sets for every text and catalogue item that share a token.
@@ -42,11 +45,13 @@ def contained(texts: DataFrame, phrases: DataFrame, width: int = 3) -> DataFrame
     split = texts.select("id", "text", words("text").alias("w")).where(F.size("w") >= width)
     seen = split.select("id", F.explode(F.array_distinct(runs(F.col("w")))).alias("run"))
     keys = inner.select("run").distinct()
-    frequency = seen.join(F.broadcast(keys), "run", "left_semi").groupBy("run").count()
+    frequency = seen.join(keys, "run", "left_semi").groupBy("run").count()
     rarest = inner.join(frequency, "run", "left").groupBy("item").agg(F.min_by("run", F.struct(F.coalesce("count", F.lit(0)), F.col("run"))).alias("run"), F.first("text").alias("phrase"))
-    found = seen.join(F.broadcast(rarest), "run").select("id", "item", "phrase")
+    found = seen.join(rarest, "run").select("id", "item", "phrase")
     checked = found.join(texts.select("id", "text"), "id").where(F.contains("text", "phrase")).select("id", "item")
     short = told.where(F.size("w") < width + 2).select("item", F.col("text").alias("phrase"))
+    if short.limit(MOST_SMALL + 1).count() > MOST_SMALL:
+        raise ValueError(f"more than {MOST_SMALL} phrases are too short to be looked up by a run of {width} words")
     as_is = texts.select("id", "text").join(F.broadcast(short), F.contains("text", "phrase")).select("id", "item")
     return checked.unionByName(as_is).distinct()
 
@@ -56,7 +61,11 @@ def nearest_centres(vectors: DataFrame, centres: DataFrame, k: int) -> DataFrame
 
     Centres are a catalogue of known size, so they travel with the function; a batch of vectors is one matrix product.
     """
-    rows = sorted(centres.collect(), key=lambda r: r.item)
+    rows = sorted(centres.limit(MOST_SMALL + 1).collect(), key=lambda r: r.item)
+    if len(rows) > MOST_SMALL:
+        raise ValueError(f"more than {MOST_SMALL} centres")
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], f"id long, item {centres.schema['item'].dataType.simpleString()}, score double, rank int")
     names, matrix = np.array([r.item for r in rows]), np.array([r.vector for r in rows], np.float64)
 
     def score(batches):

@@ -37,7 +37,7 @@ def recalibrated_picks(spark: SparkSession, d: str) -> DataFrame:
     """Turns as texts, catalogue items as techniques: confidence after anchors, blending and grounding."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("description"))
     c = table(spark, d, "conversations").withColumn("item_id", (F.col("conv_id") + F.col("turn")) % 40)
-    told = c.join(F.broadcast(items), "item_id")
+    told = c.join(items, "item_id")
     start = ((F.col("conv_id") * 7 + F.col("turn")) % 100 / 100).alias("c")
     bucket = F.when(F.col("turn") % 3 == 0, "possible").when(F.col("turn") % 3 == 1, "definite")
     name, tid = F.lit("thand"), F.concat(F.lit("T"), (F.col("item_id") + 1000).cast("string"))
@@ -179,7 +179,7 @@ def log_sources(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    linked = line.join(s, "l_suppkey").join(F.broadcast(n), "s_nationkey").select("p_partkey", "n_name").distinct()
+    linked = line.join(s, "l_suppkey").join(n, "s_nationkey").select("p_partkey", "n_name").distinct()
     return p.join(linked, "p_partkey", "left").groupBy("p_brand").agg(F.countDistinct("n_name").alias("n_sources"), F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("sources"))
 
 
