@@ -107,11 +107,11 @@ def example_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Corrections by key: how often, the first reason given, the terms united."""
     e = table(spark, d, "events").withColumn("key", F.substring(F.sha2(F.concat_ws("|", F.lower("event_type"), (F.col("user_id") % 20).cast("string")), 256), 1, 24))
     reason = F.when(F.col("event_id") % 5 == 0, F.col("props"))
-    return e.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.when(reason.isNotNull(), F.col("event_id")), F.when(reason.isNotNull(), F.col("event_id"))).alias("reason_at"), F.size(F.collect_set("user_id")).alias("n_terms"))
+    return e.groupBy("key").agg(F.count("*").alias("n"), F.coalesce(F.min(F.when(reason.isNotNull(), F.col("event_id"))), F.lit(-1)).cast("long").alias("reason_at"), F.size(F.collect_set("user_id")).alias("n_terms"))
 
 
 EXAMPLE_UPSERT = """
-SELECT substr(sha256(lower(event_type) || '|' || user_id % 20), 1, 24) AS key, count(*) AS n, min(event_id) FILTER (event_id % 5 = 0 AND props IS NOT NULL) AS reason_at, count(DISTINCT user_id)::INT AS n_terms FROM events GROUP BY 1
+SELECT substr(sha256(lower(event_type) || '|' || user_id % 20), 1, 24) AS key, count(*) AS n, coalesce(min(event_id) FILTER (event_id % 5 = 0 AND props IS NOT NULL), -1) AS reason_at, count(DISTINCT user_id)::INT AS n_terms FROM events GROUP BY 1
 """
 
 
