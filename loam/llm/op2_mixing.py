@@ -145,7 +145,8 @@ def mixed_documents(docs: DataFrame, n_shards: int = 64, seed: int = 17) -> Data
         return (a["_tie"] == b["_tie"]) & a["doc_id"].eqNullSafe(b["_id"])
 
     def copies(rows: DataFrame, some: DataFrame) -> DataFrame:
-        both = rows.join(some, same(rows, some)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+        # What is taken grows with the corpus, so it is never broadcast: texts move once, at any size.
+        both = rows.join(some.hint("merge"), same(rows, some)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
         text = F.when(F.col("_taken") == F.col("_size"), rows["text"]).otherwise(_first_words(rows["text"], F.col("_taken")))
         return both.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else rows[c] for c in docs.columns])
 
