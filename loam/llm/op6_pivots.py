@@ -106,7 +106,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest: int = 10, sha
     of their own. Other columns are ignored; an empty table gives an empty result.
     """
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"  # as they are stored, which halves what is shuffled; cosines are doubles
+    rows = vectors.select("vec_id", "label", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     usable = F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     good = rows.where(usable)
     groups = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
