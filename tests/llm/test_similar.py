@@ -7,7 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loam.llm import op6_pivots, op10_simhash
+import corpus_pipeline
+from loam.llm import op6_pivots, op10_simhash, shingles
 from loam.llm.components import connected_components, forest
 
 
@@ -140,3 +141,34 @@ def test_vector_links_equal_brute_force(spark, vectors):
 
 def test_no_vectors(spark):
     assert op6_pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def slow_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.fixture(scope="module")
+def near_texts():
+    """Copies with runs of changed words, so that similarities lie all over 0.6 to 1."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [None, "", "one two", "One  two", "one two three"]
+    for k in range(60):
+        base = [word() for _ in range(rng.choice([30, 80, 250]))]
+        for _ in range(70 if k == 0 else rng.randint(1, 5)):
+            at, n = rng.randrange(len(base)), rng.randint(0, len(base) // 9)
+            rows.append(" ".join(base[:at] + [word() for _ in range(n)] + base[at + n :]))
+    return rng.sample(rows, len(rows))
+
+
+def test_pipeline_drops_all_near_copies_of_five_word_shingles(spark, near_texts, monkeypatch):
+    sets = [slow_set(t) for t in near_texts]
+    similar = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if similar(sets[a], sets[b])]
+    assert sum(len(sets[a] & sets[b]) < 0.95 * len(sets[a] | sets[b]) for a, b in near) > 50
+    want = sorted(k for k, r in enumerate(roots(len(sets), near)) if k == r)
+    docs = spark.createDataFrame(list(enumerate(near_texts)), "doc_id long, text string")
+    for dense in (32, 3):
+        monkeypatch.setattr(shingles, "DENSE", dense)
+        assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
