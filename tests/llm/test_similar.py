@@ -172,3 +172,17 @@ def test_pipeline_drops_all_near_copies_of_five_word_shingles(spark, near_texts,
     for dense in (32, 3):
         monkeypatch.setattr(shingles, "DENSE", dense)
         assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
+def test_pipeline_keeps_a_row_of_every_group_whatever_the_ids(spark):
+    rng = random.Random(15)
+    text = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.random()) for _ in range(20)) for _ in range(8)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (4, text[2])]  # no id; one twice; one with a copy that has an id
+    rows += [(5, text[3]), (5, text[4]), (5, text[4])]  # an id of two texts
+    rows += [(6, text[5]), (7, text[6]), (7, text[5])]  # the second text of 7 is a copy of 6
+    rows += [(8, None), (9, " "), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit("clash")).repartition(3)
+    found = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert found.columns == docs.columns
+    want = [(None, text[0]), (None, text[1]), (4, text[2]), (5, text[3]), (5, text[4]), (6, text[5]), (7, text[6]), (8, None)]
+    assert sorted([(r.doc_id, r.text) for r in found.collect()], key=str) == sorted(want, key=str)
