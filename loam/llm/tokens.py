@@ -2,7 +2,8 @@
 
 The tokenizers library spends most of its time on words it has met before. Its pre-tokenizers never look
 across the border between white space and a word, so a text is cut there, each distinct piece is encoded by
-the library once per worker, and the pieces' ids are joined. The result equals the library's for the text.
+the library once per worker, and the pieces' ids are joined. Before that a text is split at the vocabulary's added
+tokens, which the library takes out of the text as they stand. The result equals the library's for the text.
 """
 
 from __future__ import annotations
@@ -38,7 +39,12 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder()
+        #: Added tokens that take in white space, ask for a border or meet normalised text are left to the library.
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.added = {t.content: array("I", [k]).tobytes() for k, t in added.items()}
+        literals = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(map(re.escape, literals))})").split if literals else lambda text: [text]
         self.drops = not self.library.encode(" ", add_special_tokens=False).ids
         self.cut = (DROPPED if self.drops else SPACED).findall
         self.model, self.letters = self.library.model, byte_letters()
@@ -64,7 +70,14 @@ class Pieces(dict):
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text; none for null."""
-        return b"".join(map(self.__getitem__, self.cut(text))) if text else b""
+        if not text:
+            return b""
+        if self.whole:
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        parts = self.split(text)  # every second one is an added token
+        if len(parts) == 1:
+            return b"".join(map(self.__getitem__, self.cut(text)))
+        return b"".join(self.added[part] if k % 2 else b"".join(map(self.__getitem__, self.cut(part))) for k, part in enumerate(parts))
 
 
 @lru_cache(maxsize=4)

@@ -2,11 +2,13 @@
 
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from loam.llm import op1_token_codes, op7_packing
 from loam.llm.shared import new_path
@@ -24,6 +26,26 @@ def test_pieces_equal_the_whole_text(text):
         assert np.frombuffer(table.encode(text), "<u4").tolist() == table.library.encode(text, add_special_tokens=False).ids
 
 
+@lru_cache
+def fresh_library(path):
+    return Tokenizer.from_file(path)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "<", " ", "  ", "\n", "a", "Zé", "é", "́", "'s", "1", "."]), max_size=12))
+def test_added_tokens_equal_a_fresh_library(parts):
+    text = "".join(parts)
+    for path in (BYTE, WORD):
+        fresh = fresh_library(path)
+        assert np.frombuffer(pieces(path).encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_have_their_ids():
+    text = "a<|endoftext|> b<|startoftext|>"
+    assert 50256 in np.frombuffer(pieces(BYTE).encode(text), "<u4")
+    assert {49406, 49407} <= set(np.frombuffer(pieces(WORD).encode(text), "<u4").tolist())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 255), st.integers(0, 2**16), st.integers(0, 2**32 - 1)), max_size=1500))
 def test_codes_give_back_every_id(ids):
