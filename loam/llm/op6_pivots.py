@@ -29,7 +29,8 @@ def choose_pivots(unique: DataFrame, n_unique: int) -> np.ndarray:
     """Unit vectors of a sample taken by hash, MOST_PIVOTS of them at most, no two with a cosine over SPREAD.
 
     A large group of near copies fills its share of any sample. Pivots so close together would be ordered by chance, so
-    of such a crowd only the first one stays. Rows of another length than most are no pivots.
+    of such a crowd only the first one stays. Rows of another length than most are no pivots; they stand in one list
+    of their own for each label and length, in which all pairs are candidates.
     """
     wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 4 * n_unique**0.5)))
     share = hashed_share(n_unique, 2 * wanted)
@@ -56,7 +57,7 @@ def _describe(pivots: np.ndarray, nearest: int):
             for start in range(0, len(batch), 2048):
                 rows = batch.iloc[start : start + 2048].tolist()
                 same = np.array([len(v) == pivots.shape[1] for v in rows])
-                order = [[0] * nearest] * len(rows)
+                order: list[list[int]] = [[]] * len(rows)
                 if same.any():
                     x = np.array([v for v, s in zip(rows, same, strict=True) if s], np.float64)
                     near = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :nearest]
@@ -75,13 +76,15 @@ def _block_links(least: float, shared: int):
         rep, mult = rows["rep"].to_numpy(), rows["copies"].to_numpy()
         x = np.array(rows["embedding"].tolist(), np.float64)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        near = np.array(rows["near"].tolist(), np.int64)
-        known, column = np.unique(near, return_inverse=True)
-        has = np.zeros((len(rows), len(known)), np.float32)
-        has[np.arange(len(rows))[:, None], column.reshape(near.shape)] = 1
         first, second = (np.nonzero(rows["block"].to_numpy() == b)[0] for b in (bi, bj))
-        lower = int(np.searchsorted(known, pivot))
-        here = (has[first] @ has[second].T >= shared) & (has[first, :lower] @ has[second, :lower].T == 0)
+        here = np.ones((len(first), len(second)), bool)
+        if pivot >= 0:
+            near = np.array(rows["near"].tolist(), np.int64)
+            known, column = np.unique(near, return_inverse=True)
+            has = np.zeros((len(rows), len(known)), np.float32)
+            has[np.arange(len(rows))[:, None], column.reshape(near.shape)] = 1
+            lower = int(np.searchsorted(known, pivot))
+            here = (has[first] @ has[second].T >= shared) & (has[first, :lower] @ has[second, :lower].T == 0)
         if bi == bj:
             here = np.triu(here, 1)
         a, b = np.nonzero(here)
@@ -111,13 +114,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest: int = 10, sha
     rows = vectors.select("vec_id", "label", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     usable = F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     good = rows.where(usable)
-    groups = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    groups = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.xxhash64("label", "embedding", "least"))
     unique = saved(groups, "unique-vectors")
     pivots = choose_pivots(unique, unique.count())
     described = unique
     if len(pivots):
         described = saved(unique.withColumn("near", _describe(pivots, min(nearest, len(pivots)))("embedding")), "described-vectors")
-        listed = described.withColumn("pivot", F.explode(F.slice(F.array_sort("near"), 1, max(1, min(nearest, len(pivots)) - shared + 1))))
+        listed = described.withColumn("pivot", F.explode(F.when(F.size("near") == 0, F.array(F.lit(-1))).otherwise(F.slice(F.array_sort("near"), 1, max(1, min(nearest, len(pivots)) - shared + 1)))))
         listed = listed.withColumn("dim", F.size("embedding"))
         counts = listed.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -130,7 +133,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest: int = 10, sha
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     entries = unique.join(linked, "rep", "left").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    entries = entries.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    entries = saved(entries.withColumn("component", F.coalesce("component", "rep")), "vector-entries")
+    smallest = entries.groupBy("component").agg(F.min("least").alias("component_id"))
+    entries = entries.join(smallest, "component").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     joined = good.join(entries, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

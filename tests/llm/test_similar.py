@@ -186,3 +186,11 @@ def test_pipeline_keeps_a_row_of_every_group_whatever_the_ids(spark):
     assert found.columns == docs.columns
     want = [(None, text[0]), (None, text[1]), (4, text[2]), (5, text[3]), (5, text[4]), (6, text[5]), (7, text[6]), (8, None)]
     assert sorted([(r.doc_id, r.text) for r in found.collect()], key=str) == sorted(want, key=str)
+
+
+def test_vectors_of_a_rare_length_and_repeated_ids_link(spark, vectors):
+    rare = [(80_000, [1.0, 0.0, 0.0], 0), (80_001, [1.0, 0.1, 0.0], 0), (80_002, [0.0, 1.0, 0.0], 0), (80_003, [1.0, 0.1, 0.0], 1)]
+    same = [(-5, [1.0, 0.0, 0.0, 0.0], 1), (-5, [0.0, 1.0, 0.0, 0.0], 1), (80_010, [0.01, 1.0, 0.0, 0.0], 1)]
+    table = spark.createDataFrame([*vectors, *rare, *same], "vec_id long, embedding array<float>, label int")
+    found = op6_pivots.near_vectors(table).where("vec_id >= 80000 or vec_id < 0").collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(-5, 0, -5), (-5, 1, -5), (80_000, 1, 80_000), (80_001, 1, 80_000), (80_002, 0, 80_002), (80_003, 0, 80_003), (80_010, 1, -5)]
