@@ -6,7 +6,9 @@ R(unlabelled, clean) when p * R(confirmed, clean) is taken away. That difference
 when a step finds it so, the step goes the other way and undoes the overfitting (Kiryo et al., 2017).
 
 Features are words and the first letters of words, present or not. Those that stand out in confirmed documents are
-found by counting documents in Spark over the training sample.
+found by counting documents in Spark over all training documents. Then every training document is what it holds of them, so
+equal ones are one row with a count. These rows are dealt out by hash, each task fits a classifier of its own to the
+confirmed rows and its share of the unlabelled ones, and the model is the mean of the classifiers by documents.
 """
 
 from __future__ import annotations
@@ -22,10 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 from loam.llm.learning import Adam, fold, sigmoid
 from loam.llm.shared import hashed_share, saved
 
-#: Bounds of the training sample (about), of the features, and the fewest confirmed documents a feature needs.
-MOST_CONFIRMED, MOST_UNLABELLED, MOST_FEATURES, LEAST_DOCUMENTS = 4000, 8000, 1024, 5
+#: The most confirmed documents that are learned from (a parameter of train()), unlabelled rows for one classifier (about), and the
+#: fewest confirmed documents a feature needs.
+MOST_CONFIRMED, SHARE_ROWS, LEAST_DOCUMENTS = 40_000, 8000, 5
 #: How many standard errors a feature must stand out by, and the least share of toxic documents among those that have it.
 LEAST_Z, LEAST_SHARE = 5.0, 0.5
+#: Different features a task counts before it passes them on.
+MOST_COUNTED = 300_000
 STARTS, FOLDS = (3, 4, 5, 6), 5
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -39,59 +44,95 @@ def features(text: str) -> set[str]:
     return found
 
 
-def nnpu(confirmed: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
+class Sparse:
+    """0/1 rows by the places of their ones, each with how many documents it stands for."""
+
+    def __init__(self, rows: list[list[int]], counts: np.ndarray, width: int):
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.of = np.repeat(np.arange(len(rows)), lengths)
+        self.places = np.fromiter((p for row in rows for p in row), np.int64, int(lengths.sum()))
+        self.share, self.width = np.asarray(counts, float) / np.sum(counts), width
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        """Each row times the weights, bias last."""
+        return np.bincount(self.of, w[self.places], len(self.share)) + w[-1]
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """The mean gradient of a value per row."""
+        v = values * self.share
+        return np.append(np.bincount(self.places, v[self.of], self.width), v.sum())
+
+
+def nnpu(confirmed: Sparse, unlabelled: Sparse, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
     """Weights, bias last, that lower the non-negative risk with logistic loss."""
-    w = np.zeros(confirmed.shape[1] + 1)
+    w = np.zeros(confirmed.width + 1)
     w[-1] = np.log(prior / (1 - prior))
     adam = Adam(len(w), rate)
-    p1, u1 = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (confirmed, unlabelled))
     for _ in range(steps):
-        sp, su = sigmoid(p1 @ w), sigmoid(u1 @ w)
-        clean = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
-        of_clean = u1.T @ su / len(su) - prior * (p1.T @ sp) / len(sp)
-        of_toxic = prior * (p1.T @ (sp - 1)) / len(sp)
+        sp, su = sigmoid(confirmed.sums(w)), sigmoid(unlabelled.sums(w))
+        clean = -(unlabelled.share * np.log(1 - su + 1e-12)).sum() + prior * (confirmed.share * np.log(1 - sp + 1e-12)).sum()
+        of_clean = unlabelled.back(su) - prior * confirmed.back(sp)
+        of_toxic = prior * confirmed.back(sp - 1)
         w -= adam.step((of_toxic + of_clean if clean >= 0 else -of_clean) + l2 * np.append(w[:-1], 0))
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
+def stand_out(outside: DataFrame, prior: float) -> list[str]:
+    """The features of confirmed documents, by counts over all rows of ``outside`` (text, confirmed), best first.
+
+    Tasks count and pass on a row per feature they met; Spark adds up. What comes to the driver is what passed: features in
+    LEAST_DOCUMENTS confirmed documents or more that stand out by LEAST_Z, which the vocabulary of toxic text bounds.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for text, confirmed in zip(batch["text"], batch["confirmed"], strict=True):
+                found = features(text)
+                seen[0].update(found)
+                if confirmed:
+                    seen[1].update(found)
+            if len(seen[0]) > MOST_COUNTED:
+                yield from passed_on(seen)
+                seen = (Counter(), Counter())
+        yield from passed_on(seen)
+
+    n = outside.agg(F.sum("confirmed").alias("c"), F.count("*").alias("u")).first()
+    nc, nu = max(1, n.c or 0), max(1, n.u)
+    counted = outside.mapInPandas(count, "feature string, c long, u long").groupBy("feature").agg(F.sum("c").alias("c"), F.sum("u").alias("u")).where(F.col("c") >= LEAST_DOCUMENTS)
+    a, b = F.col("c") / nc, F.col("u") / nu
+    z = (a - b) / F.sqrt((F.col("c") + F.col("u") + 1) / (nc + nu) * (1.0 / nc + 1.0 / nu))
+    return [r.feature for r in counted.withColumn("z", z).where((F.col("z") > LEAST_Z) & (prior * a >= LEAST_SHARE * b)).orderBy(F.desc("z"), "feature").collect()]
+
+
+def passed_on(seen: tuple[Counter, Counter]) -> Iterator[pd.DataFrame]:
+    names = list(seen[0])
+    for k in range(0, len(names), 50_000):
+        some = names[k : k + 50_000]
+        yield pd.DataFrame({"feature": pd.Series(some, dtype=object), "c": [seen[1][f] for f in some], "u": [seen[0][f] for f in some]})
+
+
+def train(docs: DataFrame, labels: DataFrame, most_confirmed: int = MOST_CONFIRMED) -> dict[str, float]:
     """Feature -> weight, the bias under the empty string.
 
-    Learns from documents outside fold 0: those with a label ``toxic`` = 1 are confirmed; the unlabelled are a
-    sample of all, taken without a look at any label. The prior is the share of 1 among labels outside fold 0. Samples are taken by hash, bounded by
-    MOST_CONFIRMED and MOST_UNLABELLED. Without any confirmed document nothing is toxic.
+    Learns from documents outside fold 0: those with a label ``toxic`` = 1 are confirmed; the unlabelled are all
+    documents, taken without a look at any label. The prior is the share of 1 among labels outside fold 0. Of the
+    confirmed ones at most ``most_confirmed`` different rows are fitted to, the first by hash; nothing else is
+    sampled. Without any confirmed document nothing is toxic.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic:
         return {"": -30.0}
     prior = min(0.9, n_toxic / n)
+    bias = {"": float(np.log(prior / (1 - prior)))}
+    outside = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.coalesce(fold(F.col("doc_id"), FOLDS) != 0, F.lit(False)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
-    toxic = known.where((F.col("toxic") == 1) & (draw < hashed_share(n_toxic, MOST_CONFIRMED))).select("doc_id")  # bounded, so broadcast
-    outside = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
-    confirmed = outside.join(F.broadcast(toxic), "doc_id").withColumn("confirmed", F.lit(1))
-    share = hashed_share(docs.count(), MOST_UNLABELLED)
-    unlabelled = outside.where(draw < share).withColumn("confirmed", F.lit(0))
-    sample = saved(confirmed.unionByName(unlabelled), "toxicity-sample")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for text, is_confirmed in zip(batch["text"], batch["confirmed"], strict=True):
-                seen[is_confirmed].update(features(text))
-        names = [*seen[1], *(f for f, c in seen[0].items() if c >= 2 and f not in seen[1])]
-        for k in range(0, len(names), 50_000):
-            some = names[k : k + 50_000]
-            yield pd.DataFrame({"feature": pd.Series(some, dtype=object), "c": [seen[1][f] for f in some], "u": [seen[0][f] for f in some]})
-
-    totals = {r.confirmed: r["count"] for r in sample.groupBy("confirmed").count().collect()}
-    nc, nu = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
-    counted = sample.mapInPandas(count, "feature string, c long, u long").groupBy("feature").agg(F.sum("c").alias("c"), F.sum("u").alias("u")).where(F.col("c") >= LEAST_DOCUMENTS)
-    a, b = F.col("c") / nc, F.col("u") / nu
-    stands_out = (a - b) / F.sqrt((F.col("c") + F.col("u") + 1) / (nc + nu) * (1.0 / nc + 1.0 / nu))
-    chosen = [r.feature for r in counted.withColumn("z", stands_out).where((F.col("z") > LEAST_Z) & (prior * a >= LEAST_SHARE * b)).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()]
+    toxic = known.where((F.col("toxic") == 1) & (draw < hashed_share(n_toxic, most_confirmed))).select(F.col("doc_id").alias("of"))  # bounded, so broadcast
+    marked = outside.join(F.broadcast(toxic), F.col("doc_id") == F.col("of"), "left").select("text", F.col("of").isNotNull().cast("int").alias("confirmed"))
+    chosen = stand_out(marked, prior)
     if not chosen:
-        return {"": float(np.log(prior / (1 - prior)))}
+        return bias
     column = {f: k for k, f in enumerate(chosen)}
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,15 +140,25 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
             rows = [sorted(column[f] for f in features(t) & column.keys()) for t in batch["text"]]
             yield pd.DataFrame({"confirmed": batch["confirmed"], "columns": rows})
 
-    x: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for r in sample.mapInPandas(encode, "confirmed int, columns array<int>").collect():
-        row = np.zeros(len(chosen), np.float32)
-        row[r.columns] = 1
-        x[r.confirmed].append(row)
-    if not x[0] or not x[1]:
-        return {"": float(np.log(prior / (1 - prior)))}
-    w = nnpu(np.array(x[1]), np.array(x[0]), prior)
-    return dict(zip(["", *chosen], [float(w[-1]), *map(float, w[:-1])], strict=True))
+    rows = marked.mapInPandas(encode, "confirmed int, columns array<int>").groupBy("columns").agg(F.sum("confirmed").alias("c"), F.count("*").alias("u"))
+    rows = saved(rows, "toxicity-rows")
+    first = rows.where("c > 0").orderBy(F.xxhash64("columns"), "columns").limit(most_confirmed).collect()
+    if not first:
+        return bias
+    confirmed = [list(r["columns"]) for r in first], np.array([r.c for r in first])
+    shares = -(-rows.count() // SHARE_ROWS)
+    width = len(chosen)
+
+    def fit(batch: pd.DataFrame) -> pd.DataFrame:
+        own = Sparse([list(r) for r in batch["columns"]], batch["u"].to_numpy(), width)
+        w = nnpu(Sparse(*confirmed, width), own, prior)
+        return pd.DataFrame({"place": np.arange(width + 1), "weight": w, "documents": int(batch["u"].sum())})
+
+    share = F.pmod(F.xxhash64("columns"), F.lit(shares))
+    fitted = rows.withColumn("share", share).groupBy("share").applyInPandas(fit, "place int, weight double, documents long")
+    mean = fitted.groupBy("place").agg((F.sum(F.col("weight") * F.col("documents")) / F.sum("documents")).alias("w"))
+    w = {r.place: r.w for r in mean.collect()}
+    return {"": w[width]} | {f: w[k] for f, k in column.items()}
 
 
 def scorer(model: dict[str, float]):
@@ -134,8 +185,9 @@ def scorer(model: dict[str, float]):
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text).
 
-    Fold 0 (crc32 of the id modulo 5) is held out of training. Null texts score as empty ones; a null doc_id is in fold
-    0; repeated rows each give a row; other columns are ignored. Only the text is an input of a score.
+    Fold 0 (crc32 of the id modulo 5) is held out of training. Null texts score as empty ones, which have the bias alone;
+    very long texts are read whole, as the set of their words; a null doc_id is in fold 0; repeated rows each give a row;
+    other columns are ignored; an empty table gives none. Only the text is an input of a score.
     """
     score = scorer(train(docs, labels))
     scored = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), score("text").alias("score"))

@@ -70,11 +70,63 @@ def test_nothing_confirmed_is_nothing_toxic(spark):
     assert {r.predicted for r in op9_toxicity.score_toxicity(docs, labels).collect()} == {0}
 
 
+@pytest.fixture(scope="module")
+def rude(spark):
+    """1500 documents, a quarter rude; labels of a third of them. Some rows repeat, one is very long."""
+    rng = random.Random(5)
+    docs = [(k, words(rng, "abcdefgh", 20) + (f" {rng.choice(['zzrude', 'vvbad', 'wwfoul'])}" if k % 4 == 0 else "")) for k in range(1500)]
+    labels = [(k, 1, int(k % 4 == 0)) for k in range(1500) if k % 3 == 0]
+    docs += [docs[8]] * 25 + [(7000, "abc def " * 200_000 + "zzrude"), (7001, None), (7002, ""), (None, "vvbad")]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_features_that_stand_out_equal_brute_force(rude, monkeypatch):
+    docs, labels = rude
+    marked = docs.where("text is not null").join(labels.where("toxic = 1").select("doc_id", F.lit(1).alias("l")), "doc_id", "left").select("text", F.coalesce("l", F.lit(0)).alias("confirmed"))
+    monkeypatch.setattr(op9_toxicity, "MOST_COUNTED", 50)
+    got = op9_toxicity.stand_out(marked, 0.3)
+    rows = [(op9_toxicity.features(r.text), r.confirmed) for r in marked.collect()]
+    nu, nc = len(rows), sum(c for _, c in rows)
+    want = []
+    for f in set().union(*(fs for fs, _ in rows)):
+        u, c = sum(f in fs for fs, _ in rows), sum(f in fs for fs, k in rows if k)
+        z = (c / nc - u / nu) / ((c + u + 1) / (nc + nu) * (1 / nc + 1 / nu)) ** 0.5
+        if c >= op9_toxicity.LEAST_DOCUMENTS and z > op9_toxicity.LEAST_Z and 0.3 * c / nc >= op9_toxicity.LEAST_SHARE * u / nu:
+            want.append((-z, f))
+    assert got == [f for _, f in sorted(want)] and "=zzrude" in got
+
+
+def test_toxicity_scores_equal_brute_force_and_held_out_labels_teach_nothing(spark, rude):
+    docs, labels = rude
+    model = op9_toxicity.train(docs, labels)
+    found = op9_toxicity.score_toxicity(docs, labels).collect()
+    plain = lambda t: float(op9_toxicity.sigmoid(model[""] + sum(model.get(f, 0) for f in op9_toxicity.features(t or ""))))
+    key = lambda d: -1 if d is None else d
+    assert sorted((key(r.doc_id), round(r.score, 9)) for r in found) == sorted((key(r.doc_id), round(plain(r.text), 9)) for r in docs.collect())
+    held = op9_toxicity.fold(F.col("doc_id"), op9_toxicity.FOLDS) == 0
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert op9_toxicity.train(docs, turned) == model
+    right = [(r.predicted == 1) == (r.doc_id % 4 == 0) for r in found if r.held_out and r.doc_id is not None and r.doc_id < 1500]
+    assert len(right) > 200 and np.mean(right) > 0.97
+    assert {r.predicted for r in found if r.doc_id == 7000} == {1}
+    assert op9_toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_every_unlabelled_row_counts_whatever_the_shares(rude, monkeypatch):
+    docs, labels = rude
+    whole = op9_toxicity.train(docs, labels)
+    monkeypatch.setattr(op9_toxicity, "SHARE_ROWS", 2)
+    parts = op9_toxicity.train(docs, labels)
+    assert parts.keys() == whole.keys() and parts != whole
+    assert {f for f, w in parts.items() if f and w > 0} == {f for f, w in whole.items() if f and w > 0}
+
+
 def test_nnpu_risk_correction_keeps_clean_risk_from_going_negative():
     rng = np.random.default_rng(3)
     confirmed = (rng.random((200, 5)) < [0.9, 0.1, 0.5, 0.5, 0.5]).astype(np.float32)
     clean = (rng.random((1600, 5)) < [0.05, 0.1, 0.5, 0.5, 0.5]).astype(np.float32)
-    w = op9_toxicity.nnpu(confirmed, np.vstack([clean, confirmed]), 1 / 9)
+    sparse = lambda x: op9_toxicity.Sparse([np.nonzero(r)[0].tolist() for r in x], np.ones(len(x)), 5)
+    w = op9_toxicity.nnpu(sparse(confirmed), sparse(np.vstack([clean, confirmed])), 1 / 9)
     assert w[0] > 1 and w[0] > 3 * np.abs(w[1:5]).max()
 
 
@@ -101,12 +153,86 @@ def test_co_training_without_labels_keeps_all(spark):
     assert [r.kept for r in found] == [True, True]
 
 
-def test_views_hand_over_what_they_are_sure_of():
+def test_views_learn_from_what_the_other_is_sure_of():
     rng = np.random.default_rng(5)
     y = np.arange(60) % 2
     noisy = lambda y: np.stack([y + rng.normal(0, 0.3, len(y)), rng.normal(0, 1, len(y))], 1)
     truth = np.arange(400) % 2
-    model = op3_cotraining.co_train((noisy(y), noisy(y)), y, np.arange(60) % 5 == 0, (noisy(truth), noisy(truth)))
+    learner = op3_cotraining.CoTraining((noisy(y), noisy(y)), y, np.arange(60) % 5 == 0)
+    pool = noisy(truth), noisy(truth)
+    for _ in range(3):
+        p = [op3_cotraining.sigmoid(op3_cotraining.logit(learner.weights[k], pool[k])) for k in (0, 1)]
+        for k in (0, 1):
+            sure = np.nonzero(abs(p[1 - k] - 0.5) > 0.4)[0][:40]
+            learner.hand_over(k, pool[k][sure], (p[1 - k][sure] > 0.5).astype(float))
+        learner.fit()
+    assert len(learner.own[0][1]) > 48 and len(learner.own[1][1]) > 48
+    model = learner.model()
     raw = [op3_cotraining.logit(model["weights"][k], noisy(truth)) for k in (0, 1)]
     z = np.stack([p[0] * r + p[1] for p, r in zip(model["platt"], raw, strict=True)], 1)
     assert ((op3_cotraining.logit(model["both"], z) > 0) == truth).mean() > 0.95
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    """400 pages, two thirds labelled, some many times, one very long; and the labels."""
+    rng = random.Random(8)
+    docs, labels = [], []
+    for k in range(400):
+        good = rng.random() < 0.6
+        text = words(rng, "abcdefgh", 30)
+        text = text if good else text.upper().replace(" ", "!! ")
+        docs.append((k, text, "en", f"s{k % 3}", len(text)))
+        if k % 3:
+            labels.append((k, int(good), 0))
+    docs += [docs[1]] * 30 + [(8000, "x" * 300_000, "en", "s", None), (None, docs[0][1], "en", "s", 1)]
+    return spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_what_is_handed_over_equals_brute_force(pages):
+    docs, labels = pages
+    rows = op3_cotraining.viewed(docs, ["doc_id"])
+    rng = np.random.default_rng(3)
+    weights = [rng.normal(0, 2, n + 1) for n in (op3_cotraining.CONTENT, op3_cotraining.METADATA)]
+    got = op3_cotraining.handed_over(rows, weights, (3, 5), 2)
+    every = rows.select("a", "b", F.xxhash64(F.lit(2), "id", "a").alias("draw")).collect()
+    for view in (0, 1):
+        column, other, size = "ab"[view], "ab"[1 - view], (op3_cotraining.METADATA, op3_cotraining.CONTENT)[view]
+        p = op3_cotraining.sigmoid(op3_cotraining.logit(weights[1 - view], op3_cotraining.stacked([r[other] for r in every], size)))
+        for verdict, n, sure in ((0, 3, p <= 0.1), (1, 5, p >= 0.9)):
+            want = sorted((r.draw, bytes(r[column])) for r, s in zip(every, sure, strict=True) if s)[:n]
+            assert [bytes(r.features) for r in got if (r.view, r.verdict) == (view, verdict)] == [f for _, f in want]
+
+
+def test_co_training_scores_equal_brute_force(pages):
+    docs, labels = pages
+    rows = op3_cotraining.viewed(docs, ["doc_id"])
+    model = op3_cotraining.train(rows, labels)
+    found = op3_cotraining.classify(docs, labels).collect()
+    assert len(found) == docs.count()
+    views = {(r.doc_id, r.text): r for r in docs.collect()}
+    want = []
+    for r in docs.collect():
+        raw = op3_cotraining.content_view(r.text or "").astype(np.float32), op3_cotraining.metadata_view(r.text or "", r.lang, r.source, r.n_chars).astype(np.float32)
+        z = np.array([p[0] * op3_cotraining.logit(w, x.astype(float)) + p[1] for p, w, x in zip(model["platt"], model["weights"], raw, strict=True)])
+        want.append((-1 if r.doc_id is None else r.doc_id, round(float(op3_cotraining.sigmoid(op3_cotraining.logit(model["both"], z))), 9)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 9)) for r in found) == sorted(want) and views
+
+
+def test_held_out_labels_teach_no_quality(pages):
+    docs, labels = pages
+    held = op3_cotraining.fold(F.col("doc_id"), op3_cotraining.FOLDS) == 0
+    turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = ({(r.doc_id, r.score) for r in op3_cotraining.classify(docs, some).collect()} for some in (labels, turned))
+    assert one == two
+    right = [r.kept == (r.text == r.text.lower()) for r in op3_cotraining.classify(docs, labels).join(docs, "doc_id").where(held).where("doc_id < 400").collect()]
+    assert len(right) > 50 and np.mean(right) > 0.95
+
+
+def test_shapes_see_whole_words_and_labelled_rows_are_bounded(spark, pages):
+    assert op3_cotraining.shape("a" * 50 + "1") == op3_cotraining.shape("a1") != op3_cotraining.shape("a" * 51)
+    docs, labels = pages
+    many = docs.unionByName(docs.where("doc_id < 20").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("text", F.concat("text", F.col("n").cast("string"))).drop("n"))
+    assert op3_cotraining.classify(many, labels, most_labelled=50).count() == many.count()
+    none = spark.createDataFrame([], DOCS)
+    assert op3_cotraining.classify(none, labels).count() == 0
