@@ -15,71 +15,98 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 DIMENSIONS, NGRAM, SEED = 1024, 3, 11
-#: Languages a model may hold (each is one vector), n-gram vectors kept per worker, and characters bundled at a time.
-MOST_LANGUAGES, MOST_VECTORS, CHUNK = 1000, 60_000, 1 << 18
+#: Languages a model may hold (each is one vector), n-gram vectors kept per worker (1 kB each), characters bundled at a time
+#: and n-gram vectors made at a time.
+MOST_LANGUAGES, MOST_VECTORS, CHUNK, BLOCK = 1000, 60_000, 1 << 16, 4096
 
 
-def letter_vector(code: int) -> np.ndarray:
-    """+1 and -1 by the letter's code point; 0 stands for anything between words."""
-    return np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS).astype(np.int8) * 2 - 1
+def letter_vectors(codes: np.ndarray) -> np.ndarray:
+    """+1 and -1 by the letters' code points, a row each; 0 stands for anything between words.
+
+    The bits are those of a counter that starts at the letter, mixed by the finalizer of SplitMix64.
+    """
+    z = (codes.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS // 64) + np.arange(DIMENSIONS // 64, dtype=np.uint64) + np.uint64(SEED << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    bits = np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1)
+    return bits.astype(np.int8) * 2 - 1
 
 
 class Binder:
-    """Vectors of n-grams, made when first met."""
+    """Vectors of n-grams, made when first met; those met first are kept, as bytes, up to MOST_VECTORS."""
 
     def __init__(self):
-        self.letters: dict[int, np.ndarray] = {}
         self.codes = np.full(0x110000, -1, np.int32)
-        self.keys, self.vectors = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
+        self.keys, self.vectors = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.int8)
 
-    def letter(self, code: int) -> np.ndarray:
-        if code not in self.letters:
-            self.letters[code] = letter_vector(code)
-        return self.letters[code]
+    def made(self, keys: np.ndarray) -> np.ndarray:
+        """The letters' vectors, each rotated by its place, multiplied; n-gram keys have 21 bits a letter."""
+        out = np.ones((len(keys), DIMENSIONS), np.int8)
+        for k in range(NGRAM):
+            letters, place = np.unique(keys >> 21 * k & 0x1FFFFF, return_inverse=True)
+            out *= np.roll(letter_vectors(letters), k, axis=1)[place]
+        return out
 
     def bound(self, keys: np.ndarray) -> np.ndarray:
-        """Rows for sorted distinct n-gram keys of 21 bits a letter."""
-        if len(self.keys) > MOST_VECTORS:
-            self.keys, self.vectors = self.keys[:0], self.vectors[:0]
-        new = np.setdiff1d(keys, self.keys, assume_unique=True)
+        """Rows for sorted distinct n-gram keys, BLOCK of them at most."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        out = np.empty((len(keys), DIMENSIONS), np.int8)
+        out[known] = self.vectors[at[known]]
+        new = keys[~known]
         if len(new):
-            made = np.ones((len(new), DIMENSIONS), np.int8)
-            for k in range(NGRAM):
-                for code in np.unique(places := new >> 21 * k & 0x1FFFFF).tolist():
-                    made[places == code] *= np.roll(self.letter(code), k)
-            order = np.argsort(np.concatenate([self.keys, new]), kind="stable")
-            self.vectors = np.concatenate([self.vectors, made.astype(np.float32)])[order]
-            self.keys = np.concatenate([self.keys, new])[order]
-        return self.vectors[np.searchsorted(self.keys, keys)]
-
-    def mapped(self, text: str) -> np.ndarray:
-        """Code points of the lower-cased text with every run of other characters than letters made one 0; 0 at both ends."""
-        codes = np.frombuffer(("\0" + text.lower() + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
+            out[~known] = made = self.made(new)
+            if len(self.keys) + len(new) <= MOST_VECTORS:
+                order = np.argsort(np.concatenate([self.keys, new]), kind="stable")
+                self.keys, self.vectors = np.concatenate([self.keys, new])[order], np.concatenate([self.vectors, made])[order]
+        return out
+
+    def mapped(self, text: str, before: int) -> np.ndarray:
+        """Code points of the lower-cased text with every run of other characters than letters made one 0, none after a
+        ``before`` of 0."""
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
         to = self.codes[codes]
         if (to < 0).any():
             for code in np.unique(codes[to < 0]).tolist():
                 self.codes[code] = code if chr(code).isalpha() else 0
             to = self.codes[codes]
-        return to[(to != 0) | (np.concatenate([[1], to[:-1]]) != 0)]
-
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct n-gram keys, and for each (text, n-gram) that occurs text * keys + place and its count."""
-        streams = [self.mapped(t) for t in texts]
-        grams = []
-        for s in streams:
-            s = s.astype(np.int64)
-            grams.append(sum(s[k : len(s) - NGRAM + 1 + k] << 21 * k for k in range(NGRAM)) if len(s) >= NGRAM else np.zeros(0, np.int64))
-        keys, place = np.unique(np.concatenate(grams), return_inverse=True)
-        owner = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
-        return keys, owner, place
+        return to[(to != 0) | (np.concatenate([[before], to[:-1]]) != 0)].astype(np.int64)
+
+    def grams(self, text: str) -> Iterator[np.ndarray]:
+        """The n-gram keys of a text, CHUNK characters at a time; the text stands between two 0s."""
+        tail = np.zeros(1, np.int64)
+        for start in range(0, len(text), CHUNK):
+            tail = np.concatenate([tail, self.mapped(text[start : start + CHUNK], int(tail[-1]))])
+            if start + CHUNK >= len(text) and tail[-1]:
+                tail = np.append(tail, 0)
+            if len(tail) >= NGRAM:
+                yield sum(tail[k : len(tail) - NGRAM + 1 + k] << 21 * k for k in range(NGRAM))
+                tail = tail[1 - NGRAM :]
 
     def bundles(self, texts: list[str], groups: np.ndarray, n_groups: int) -> np.ndarray:
-        """The bundle of each group's texts; sums of whole numbers, so the order of the texts does not matter."""
-        keys, owner, place = self.counts(texts)
-        if not len(keys):
-            return np.zeros((n_groups, DIMENSIONS), np.float32)
-        table = np.bincount(groups[owner] * len(keys) + place, minlength=n_groups * len(keys)).reshape(n_groups, -1)
-        return table.astype(np.float32) @ self.bound(keys)
+        """The bundle of each group's texts; sums of whole numbers, so neither the order of texts nor how they are cut matters."""
+        out, held, owners, n = np.zeros((n_groups, DIMENSIONS)), [], [], 0
+        for text, group in zip(texts, groups.tolist(), strict=True):
+            for keys in self.grams(text):
+                held.append(keys)
+                owners.append(np.full(len(keys), group, np.int64))
+                n += len(keys)
+                if n >= CHUNK:
+                    self.add(out, np.concatenate(held), np.concatenate(owners))
+                    held, owners, n = [], [], 0
+        if n:
+            self.add(out, np.concatenate(held), np.concatenate(owners))
+        return out
+
+    def add(self, out: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> None:
+        """Adds the vectors of n-grams to the rows of their owners, BLOCK different n-grams at a time."""
+        keys, place = np.unique(grams, return_inverse=True)
+        some, row = np.unique(owner, return_inverse=True)
+        table = np.bincount(row * len(keys) + place, minlength=len(some) * len(keys)).reshape(len(some), -1).astype(np.float32)
+        for k in range(0, len(keys), BLOCK):
+            out[some] += table[:, k : k + BLOCK] @ self.bound(keys[k : k + BLOCK]).astype(np.float32)
 
 
 @lru_cache(maxsize=1)
@@ -88,7 +115,7 @@ def binder() -> Binder:
 
 
 def _chunks(texts: list[str], most: int = 64):
-    """Slices of few texts and not many characters; a text longer than that is alone."""
+    """Slices of few texts and not many characters; a longer text is alone."""
     start, held = 0, 0
     for k, t in enumerate(texts):
         if k > start and (held + len(t) > CHUNK or k - start >= most):
@@ -160,7 +187,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs`` (doc_id, text, lang).
 
     Learns from the text and lang of rows that are not held out. Null langs teach nothing, null and empty texts are
-    ``und``; repeated rows each give a row; other columns are ignored; nothing to learn from makes all ``und``.
+    ``und``; a very long text is read whole, CHUNK characters at a time, in bounded memory; of equal cosines the first
+    language by name wins; repeated rows each give a row; other columns are ignored; nothing to learn from makes all ``und``.
     """
     model = train(docs.where(~held_out(F.col("doc_id"))))
     predict = predictor(model)

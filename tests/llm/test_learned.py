@@ -38,13 +38,64 @@ def test_language_rows_and_nothing_to_learn_from(spark, two_languages):
     assert op5_language.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_language_vectors_bind_letters_in_order():
-    binder = op5_language.Binder()
-    one, other = binder.bundles(["abc", "cba"], np.arange(2), 2)
-    assert not np.array_equal(one, other)
-    a, b, c = (np.roll(op5_language.letter_vector(ord(x)).astype(int), k) for k, x in enumerate("abc"))
-    keys = np.array([ord("a") | ord("b") << 21 | ord("c") << 42])
-    assert np.array_equal(op5_language.Binder().bound(keys)[0], a * b * c)
+def slow_bundle(text):
+    """One n-gram after the other."""
+    letters = "".join(c if c.isalpha() else "\0" for c in text.lower())
+    while "\0\0" in letters:
+        letters = letters.replace("\0\0", "\0")
+    letters = "\0" + letters.strip("\0") + "\0" if letters.strip("\0") else ""
+    total = np.zeros(op5_language.DIMENSIONS, int)
+    for k in range(len(letters) - 2):
+        one = [np.roll(op5_language.letter_vectors(np.array([ord(c)]))[0].astype(int), j) for j, c in enumerate(letters[k : k + 3])]
+        total += one[0] * one[1] * one[2]
+    return total
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 7, 1 << 16])
+def test_bundles_equal_one_gram_after_the_other(monkeypatch, chunk):
+    monkeypatch.setattr(op5_language, "CHUNK", chunk)
+    monkeypatch.setattr(op5_language, "BLOCK", 3)
+    monkeypatch.setattr(op5_language, "MOST_VECTORS", 20)
+    rng = random.Random(7)
+    texts = ["", "a", " a ", "12 34", "abc", "cba", "日本語 テキスト", *("".join(rng.choice("abé 1.日\n") for _ in range(rng.randint(0, 60))) for _ in range(25))]
+    groups = np.array([k % 4 for k in range(len(texts))])
+    found = op5_language.Binder().bundles(texts, groups, 4)
+    for g in range(4):
+        assert np.array_equal(found[g], sum(slow_bundle(t) for t, of in zip(texts, groups, strict=True) if of == g))
+
+
+def test_languages_equal_brute_force_and_held_out_ones_teach_nothing(spark, two_languages):
+    docs = two_languages.unionByName(spark.createDataFrame([(900, "ab vw", "xx", "s", 5), (901, "abc", None, "s", 3), (902, "abc", None, "s", 3)], DOCS))
+    rows = docs.select("*", op5_language.held_out(F.col("doc_id")).alias("held")).collect()
+    model = {}
+    for lang in ("xx", "yy"):
+        v = sum(slow_bundle(r.text) for r in rows if not r.held and r.text is not None and r.lang == lang)
+        model[lang] = v / np.linalg.norm(v)
+    want = []
+    for r in rows:
+        v = slow_bundle(r.text or "")
+        close = {lang: float(v @ m / max(np.linalg.norm(v), 1e-9)) for lang, m in model.items()}
+        lang = min(close, key=lambda name: (-close[name], name)) if any(map(str.isalpha, r.text or "")) else "und"
+        want.append((str(r.doc_id), lang, round(max(0.0, close.get(lang, 0.0)), 4)))
+    found = op5_language.identify(docs).collect()
+    assert sorted((str(r.doc_id), r.lang_pred, round(r.score, 4)) for r in found) == sorted(want)
+    turned = docs.withColumn("lang", F.when(op5_language.held_out(F.col("doc_id")), F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.lit("q"))
+    key = lambda r: (str(r.doc_id), r.lang_pred, r.score)
+    assert sorted(map(key, op5_language.identify(turned).collect())) == sorted(map(key, found))
+
+
+def test_a_text_of_two_million_chinese_letters_takes_bounded_memory():
+    code = (
+        "import random, resource, numpy as np\nfrom loam.llm import op5_language\n"
+        "rng = random.Random(1)\ntext = ''.join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(2_000_000))\n"
+        "v = op5_language.Binder().bundles([text], np.zeros(1, int), 1)\n"
+        "assert abs(v).max() > 0\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)\n"
+    )
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
+    assert int(done.stdout.split()[-1]) < 1024  # MB
 
 
 def test_nnpu_finds_what_only_confirmed_texts_hold(spark):
