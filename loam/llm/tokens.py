@@ -18,8 +18,9 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters before white space, digits or ASCII signs but the apostrophe make a piece of their own; so do the rest
 #: of a word, and white space. A space belongs to the word after it.
 SPACED = re.compile(rf" ?[^\W\d_]++(?=[!-&(-@\[-`{{-~{WHITE}]|$)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: The same where white space is dropped.
-DROPPED = re.compile(r"[^\W\d_]++(?=[!-&(-@\[-`{-~\t-\r ]|$)|[^\t-\r ]+")
+#: The same where white space is dropped. Such vocabularies normalise a text before they cut it, so only letters that stay
+#: letters then may be cut off: Latin ones but the dotted capital I, which becomes two characters.
+DROPPED = re.compile(r"[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]++(?=[!-&(-@\[-`{-~\t-\r ]|$)|[^\t-\r ]+")
 #: Pieces kept per worker, and the longest one kept.
 MOST_PIECES, LONGEST_PIECE = 400_000, 40
 

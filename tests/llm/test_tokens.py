@@ -23,7 +23,7 @@ ODD = [None, "", " ", "\n\n a \t b", "it's DON'T  x", "héllo ǅ ß ﬁ ½² 12a
 def test_pieces_equal_the_whole_text(text):
     for path in (BYTE, WORD):
         table = pieces(path)
-        assert np.frombuffer(table.encode(text), "<u4").tolist() == table.library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(table.encode(text), "<u4").tolist() == fresh_library(path).encode(text, add_special_tokens=False).ids
 
 
 @lru_cache
@@ -40,6 +40,14 @@ def test_added_tokens_equal_a_fresh_library(parts):
         assert np.frombuffer(pieces(path).encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(list("İıŞ-.!'s a1_½²é\u0301\u0307ß\u0958ש\ufb2aΩ\u212b\u1fef;\u037eΣςǅ日ﬁ\t\n\x1c\x85\u3000") + ["<|endoftext|>", "don't", "AB"]), max_size=10))
+def test_normalised_texts_equal_a_fresh_library(parts):
+    text = "".join(parts)
+    for path in (BYTE, WORD):
+        assert np.frombuffer(pieces(path).encode(text), "<u4").tolist() == fresh_library(path).encode(text, add_special_tokens=False).ids
+
+
 def test_added_tokens_have_their_ids():
     text = "a<|endoftext|> b<|startoftext|>"
     assert 50256 in np.frombuffer(pieces(BYTE).encode(text), "<u4")
@@ -68,7 +76,7 @@ def docs(spark):
 
 
 def plain(path, text, end):
-    return pieces(path).library.encode(text or "", add_special_tokens=False).ids + [end]
+    return fresh_library(path).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_token_codes_round_trip(docs):
