@@ -1,7 +1,7 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 Reference points (pivots) are a bounded sample of the vectors. A vector is described by its ``nearest`` closest
-pivots, in order, and stands in the inverted list of each. Two vectors are candidates if they share at least
+pivots, in order (equally close ones in the order of the sample), and stands in the inverted list of each. Two vectors are candidates if they share at least
 ``shared`` pivots; a pair is counted in the list of its smallest shared pivot alone, so no pair is seen twice, and a
 vector need not enter the list of its largest one. Candidates are verified by cosine in double precision. Lists
 longer than a block are cut into blocks that hash, and each pair of blocks is one group: what comes out of a group is
@@ -25,46 +25,55 @@ BLOCK, LEAST_PIVOTS, MOST_PIVOTS = 256, 64, 2048
 SPREAD = 0.8
 
 
-def choose_pivots(unique: DataFrame, n_unique: int) -> np.ndarray:
-    """Unit vectors of a sample taken by hash, MOST_PIVOTS of them at most, no two with a cosine over SPREAD.
+def unit(rows: list) -> np.ndarray:
+    """Rows as doubles of length one; divided by the largest component first, as squares of large ones would overflow."""
+    x = np.array(rows, np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def choose_pivots(unique: DataFrame, n_unique: int) -> dict[int, np.ndarray]:
+    """For each length of vectors unit vectors of a sample taken by hash, about MOST_PIVOTS in all, no two of a length with a cosine over SPREAD.
 
     A large group of near copies fills its share of any sample. Pivots so close together would be ordered by chance, so
-    of such a crowd only the first one stays. Rows of another length than most are no pivots; they stand in one list
-    of their own for each label and length, in which all pairs are candidates.
+    of such a crowd only the first one stays. A length gets pivots by its share of the sample; vectors of a length that
+    the sample does not hold stand in one list for each label and length, in which all pairs are candidates.
     """
     wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 4 * n_unique**0.5)))
     share = hashed_share(n_unique, 2 * wanted)
     sample = unique.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1_000_000)) < share)
-    lengths = sample.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not lengths:
-        return np.zeros((0, 0))
-    rows = sample.where(F.size("embedding") == lengths[0].n).orderBy("rep", "label").select("embedding").limit(3 * MOST_PIVOTS).collect()
-    found = np.array([r.embedding for r in rows], np.float64)
-    found /= np.linalg.norm(found, axis=1, keepdims=True)
-    kept = np.zeros((0, found.shape[1]))
-    for v in found:
-        if len(kept) == wanted:
-            break
-        if not len(kept) or (kept @ v).max() <= SPREAD:
-            kept = np.vstack([kept, v])
-    return kept
-
-
-def _describe(pivots: np.ndarray, nearest: int):
+    rows = [r.embedding for r in sample.orderBy("rep", "label").select("embedding").limit(3 * MOST_PIVOTS).collect()]
+    pivots = {}
+    for n in sorted(set(map(len, rows))):
+        found = unit([v for v in rows if len(v) == n])
+        most, kept = -(-wanted * len(found) // len(rows)), found[:0]
+        for v in found:
+            if len(kept) == most:
+                break
+            if not len(kept) or (kept @ v).max() <= SPREAD:
+                kept = np.vstack([kept, v])
+        pivots[n] = kept
+    return pivots
+
+
+def _describe(pivots: dict[int, np.ndarray], nearest: int):
+    """Embedding -> numbers of its closest pivots, closest first; numbers go on from length to length. None for a length without pivots."""
+    first, at = {}, 0
+    for n, p in pivots.items():
+        first[n], at = at, at + len(p)
+
     def nearest_pivots(embeddings: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in embeddings:
-            out: list[list[int]] = []
-            for start in range(0, len(batch), 2048):
-                rows = batch.iloc[start : start + 2048].tolist()
-                same = np.array([len(v) == pivots.shape[1] for v in rows])
-                order: list[list[int]] = [[]] * len(rows)
-                if same.any():
-                    x = np.array([v for v, s in zip(rows, same, strict=True) if s], np.float64)
-                    near = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :nearest]
-                    for k, v in zip(np.nonzero(same)[0].tolist(), near.tolist(), strict=True):
-                        order[k] = v
-                out += order
-            yield pd.Series(out)
+            order: list[list[int]] = [[]] * len(batch)
+            length = np.fromiter(map(len, batch), np.int64, len(batch))
+            for n in np.unique(length).tolist():
+                at = np.nonzero(length == n)[0] if n in pivots else np.zeros(0, np.int64)
+                for k in range(0, len(at), 2048):
+                    some = at[k : k + 2048]
+                    near = np.argsort(-(unit(batch.iloc[some].tolist()) @ pivots[n].T), axis=1, kind="stable")[:, :nearest] + first[n]
+                    for place, v in zip(some.tolist(), near.tolist(), strict=True):
+                        order[place] = v
+            yield pd.Series(order)
 
     return F.pandas_udf(nearest_pivots, "array<int>")
 
@@ -74,8 +83,7 @@ def _block_links(least: float, shared: int):
         """Links between the two blocks of a list (of one, with itself), as (rep, root, links)."""
         _, _, pivot, bi, bj = key
         rep, mult = rows["rep"].to_numpy(), rows["copies"].to_numpy()
-        x = np.array(rows["embedding"].tolist(), np.float64)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = unit(rows["embedding"].tolist())
         first, second = (np.nonzero(rows["block"].to_numpy() == b)[0] for b in (bi, bj))
         here = np.ones((len(first), len(second)), bool)
         if pivot >= 0:
@@ -84,7 +92,7 @@ def _block_links(least: float, shared: int):
             has = np.zeros((len(rows), len(known)), np.float32)
             has[np.arange(len(rows))[:, None], column.reshape(near.shape)] = 1
             lower = int(np.searchsorted(known, pivot))
-            here = (has[first] @ has[second].T >= shared) & (has[first, :lower] @ has[second, :lower].T == 0)
+            here = (has[first] @ has[second].T >= min(shared, near.shape[1])) & (has[first, :lower] @ has[second, :lower].T == 0)
         if bi == bj:
             here = np.triu(here, 1)
         a, b = np.nonzero(here)
@@ -104,7 +112,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest: int = 10, sha
 
     Vectors are compared only when their labels are equal and not null. A null, empty or zero vector, one that
     holds a null or non-finite component and one whose vec_id is null links with nothing: n_links 0, component_id
-    its own vec_id. Vectors of different lengths never link. Exact copies are one entry of the index, however many
+    its own vec_id. Vectors of different lengths never link; each length has pivots of its own. Components of any finite size are allowed. Exact copies are one entry of the index, however many
     they are: each copy links with all others and with all that the entry links with. Repeated vec_ids are vectors
     of their own. Other columns are ignored; an empty table gives an empty result.
     """
@@ -118,15 +126,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest: int = 10, sha
     unique = saved(groups, "unique-vectors")
     pivots = choose_pivots(unique, unique.count())
     described = unique
-    if len(pivots):
-        described = saved(unique.withColumn("near", _describe(pivots, min(nearest, len(pivots)))("embedding")), "described-vectors")
-        listed = described.withColumn("pivot", F.explode(F.when(F.size("near") == 0, F.array(F.lit(-1))).otherwise(F.slice(F.array_sort("near"), 1, max(1, min(nearest, len(pivots)) - shared + 1)))))
+    if pivots:
+        described = saved(unique.withColumn("near", _describe(pivots, nearest)("embedding")), "described-vectors")
+        listed = described.withColumn("pivot", F.explode(F.when(F.size("near") == 0, F.array(F.lit(-1))).otherwise(F.slice(F.array_sort("near"), 1, F.size("near") - F.least(F.lit(shared), F.size("near")) + 1))))
         listed = listed.withColumn("dim", F.size("embedding"))
         counts = listed.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         cut = listed.join(counts, ["label", "dim", "pivot"]).withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cut = cut.select("label", "dim", "pivot", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block", "rep", "copies", "embedding", "near")
-        found = cut.groupBy("label", "dim", "pivot", "bi", "bj").applyInPandas(_block_links(least, shared if len(pivots) >= 16 else 1), "rep long, root long, links long")
+        found = cut.groupBy("label", "dim", "pivot", "bi", "bj").applyInPandas(_block_links(least, shared), "rep long, root long, links long")
         found = saved(found, "vector-links")
     else:
         found = vectors.sparkSession.createDataFrame([], "rep long, root long, links long")

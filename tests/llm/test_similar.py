@@ -194,3 +194,21 @@ def test_vectors_of_a_rare_length_and_repeated_ids_link(spark, vectors):
     table = spark.createDataFrame([*vectors, *rare, *same], "vec_id long, embedding array<float>, label int")
     found = op6_pivots.near_vectors(table).where("vec_id >= 80000 or vec_id < 0").collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(-5, 0, -5), (-5, 1, -5), (80_000, 1, 80_000), (80_001, 1, 80_000), (80_002, 0, 80_002), (80_003, 0, 80_003), (80_010, 1, -5)]
+
+
+def test_vectors_of_several_lengths_and_any_size_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows, k = [], 0
+    for n, scale in ((8, 1e200), (24, 1.0), (24, 1e-200), (40, 1.0)):
+        for _ in range(60):
+            base = rng.normal(size=n)
+            for _ in range(rng.integers(1, 4)):
+                rows.append((k, ((base + rng.normal(size=n) * 0.1) * scale).tolist(), int(k % 2 if n == 8 else 0)))
+                k += 1
+    found = {r.vec_id: r for r in op6_pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = [op6_pivots.unit([v])[0] for _, v, _ in rows]
+    near = np.array([[a != b and rows[a][2] == rows[b][2] and len(x[a]) == len(x[b]) and x[a] @ x[b] >= 0.93 for b in range(k)] for a in range(k)])
+    assert near.sum() > 100 and sum(found[j].n_links for j in range(k)) >= 0.98 * near.sum()
+    assert all(found[j].n_links <= near[j].sum() for j in range(k))
+    few = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0)], "vec_id long, embedding array<double>, label int")
+    assert [r.n_links for r in op6_pivots.near_vectors(few).collect()] == [1, 1]
