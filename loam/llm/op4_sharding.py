@@ -49,18 +49,44 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.coalesce(F.pmod(number, F.lit(slots)), F.lit(0)).cast("int")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as it takes to meet none of ``columns``, in any letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shard_documents(docs: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    """``docs`` with _slot and _shard (the owner's name) added; no shuffle, the table's ``slots`` rows are broadcast.
+    """``docs`` with two columns after its own: the slot and the owner's name; no shuffle, the table's ``slots`` rows are broadcast.
 
+    They are called _slot and _shard, or free_name() of those where ``docs`` has such columns, which keep names and values.
     Rows of one key share a shard, so repeated rows and copies of an id stay together; a null key is in slot 0. Texts
-    are not read. Columns of ``docs`` keep their names and must not be called _slot or _shard. An empty table stays empty.
+    of any length are not read. An empty table stays empty.
     """
     owner = lookup_table(shards, slots)
-    rows = [(slot, shards[k]) for slot, k in enumerate(owner.tolist())]
-    table = docs.sparkSession.createDataFrame(rows, "_slot int, _shard string")
-    return docs.withColumn("_slot", slot_of(F.col(key), slots)).join(F.broadcast(table), "_slot")
+    slot, shard = free_name(docs.columns, "_slot"), free_name(docs.columns, "_shard")
+    table = docs.sparkSession.createDataFrame([(k, shards[place]) for k, place in enumerate(owner.tolist())], "of int, owner string")
+    placed = docs.withColumn(slot, slot_of(F.col(key), slots))
+    joined = placed.join(F.broadcast(table), placed[slot] == table["of"])  # slot and table are never null, every slot has an owner
+    return joined.select(*[placed[c] for c in placed.columns], table["owner"].alias(shard))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard."""
-    sharded.drop("_slot").write.partitionBy("_shard").parquet(path)
+    """One folder per shard, of what shard_documents() gave: its last column names the folders, the one before is dropped."""
+    slot, shard = sharded.columns[-2:]
+    sharded.drop(slot).write.partitionBy(shard).parquet(path)
+
+
+def oracle_sql(shards: list[str], slots: int = SLOTS) -> str:
+    """The query's SQL; the table is a list of places in it."""
+    owners = ",".join(map(str, lookup_table(shards, slots).tolist()))
+    names = ",".join(f"'{name}'" for name in shards)
+    return f"""
+WITH placed AS (
+  SELECT doc_id, coalesce(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % {slots}, 0)::INTEGER AS slot,
+         coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes
+  FROM documents
+), t AS (SELECT [{owners}]::SMALLINT[] AS owner, [{names}] AS name)
+SELECT doc_id, slot, t.name[t.owner[slot + 1] + 1] AS shard, n_bytes FROM placed, t
+"""
