@@ -10,6 +10,10 @@ from loam.llm import op1_token_codes, op2_mixing, op3_cotraining, op4_sharding,
 from loam.llm.tokens import vocabulary
 
 
+#: The shards of the registered query.
+SHARDS = [f"shard-{k:04d}" for k in range(256)]
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,8 +32,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_document_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = [f"shard-{k:04d}" for k in range(256)]
-    sharded = op4_sharding.shard_documents(_table(spark, sf_dir, "documents"), shards)
+    sharded = op4_sharding.shard_documents(_table(spark, sf_dir, "documents"), SHARDS)
     return sharded.select("doc_id", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
@@ -89,5 +92,5 @@ FROM v JOIN (SELECT vec_id, min(to_id) AS component_id FROM reach GROUP BY vec_i
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    sql = {"op6_embedding_dedup": _OP6, "op8_quality_rules": op8_rules.ORACLE_SQL}
+    sql = {"op4_document_sharding": op4_sharding.oracle_sql(SHARDS), "op6_embedding_dedup": _OP6, "op8_quality_rules": op8_rules.ORACLE_SQL}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
