@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from loam.sources.shared import saved
+from loam.sources.shared import dropped, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round points every node at its smallest neighbour, renames both ends of every edge and keeps the
     distinct edges that still join two names. Every node that is not the smallest of its neighbourhood
     disappears in a round, so the table shrinks by half or more and the rounds grow as the logarithm of the
-    largest component. Loops, repeated edges, nulls and an empty table are allowed; a null end is no edge.
+    largest component. A round's tables are deleted once the next one is written. Loops, repeated edges, nulls and an
+    empty table are allowed; a null end is no edge.
     """
     spark = edges.sparkSession
     kept = edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -22,12 +23,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         to = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), "pointers")
+        before = (names, edges, to)
         if names is None:
-            names = to.select("node", F.col("to").alias("component"))
+            names = saved(to.select("node", F.col("to").alias("component")), "names")
         else:
             step = names.join(to.withColumnRenamed("node", "component"), "component", "left")
             names = saved(step.select("node", F.coalesce("to", "component").alias("component")), "names")
         left = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
         right = left.join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
         edges = saved(right.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        dropped(*before)
+    dropped(edges)
     return names if names is not None else spark.createDataFrame([], "node long, component long")
