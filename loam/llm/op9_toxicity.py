@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,17 +31,41 @@ MOST_CONFIRMED, SHARE_ROWS, LEAST_DOCUMENTS = 40_000, 8000, 5
 LEAST_Z, LEAST_SHARE = 5.0, 0.5
 #: Different features a task counts before it passes them on.
 MOST_COUNTED = 300_000
+#: Words whose features a worker keeps.
+MOST_WORDS = 200_000
 STARTS, FOLDS = (3, 4, 5, 6), 5
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> set[str]:
+    return set(_LETTERS.findall(text.lower())) if isinstance(text, str) else set()
+
+
+def of_word(word: str) -> tuple[str, ...]:
+    """A word as ``=word``, and the beginnings of a longer one."""
+    return ("=" + word, *(word[:n] for n in STARTS if len(word) > n))
+
+
+class WordTable(dict):
+    """Word -> what ``make`` gives for it, kept for up to MOST_WORDS words."""
+
+    def __init__(self, make: Callable[[str], tuple]):
+        self.make = make
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        found = self[word] = self.make(word)
+        return found
+
+    def union(self, text: str | None) -> set:
+        """What a text's words give, each once."""
+        return set().union(*map(self.__getitem__, words_of(text)))
+
+
 def features(text: str) -> set[str]:
     """Distinct words as ``=word`` and beginnings of longer words, lower-cased."""
-    words = set(_LETTERS.findall(text.lower()))
-    found = {"=" + w for w in words}
-    for n in STARTS:
-        found.update([w[:n] for w in words if len(w) > n])
-    return found
+    return WordTable(of_word).union(text)
 
 
 class Sparse:
@@ -86,9 +110,10 @@ def stand_out(outside: DataFrame, prior: float) -> list[str]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+        table = WordTable(of_word)
         for batch in batches:
             for text, confirmed in zip(batch["text"], batch["confirmed"], strict=True):
-                found = features(text)
+                found = table.union(text)
                 seen[0].update(found)
                 if confirmed:
                     seen[1].update(found)
@@ -136,8 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, most_confirmed: int = MOST_CONFIRM
     column = {f: k for k, f in enumerate(chosen)}
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = WordTable(lambda word: tuple(column[f] for f in of_word(word) if f in column))
         for batch in batches:
-            rows = [sorted(column[f] for f in features(t) & column.keys()) for t in batch["text"]]
+            rows = [sorted(table.union(t)) for t in batch["text"]]
             yield pd.DataFrame({"confirmed": batch["confirmed"], "columns": rows})
 
     rows = marked.mapInPandas(encode, "confirmed int, columns array<int>").groupBy("columns").agg(F.sum("confirmed").alias("c"), F.count("*").alias("u"))
@@ -163,20 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, most_confirmed: int = MOST_CONFIRM
 
 def scorer(model: dict[str, float]):
     """Text -> score from 0 to 1; null and empty texts get the bias alone."""
-    bias = model[""]
-    whole = {f[1:]: w for f, w in model.items() if f[:1] == "="}
-    starts = {n: {f: w for f, w in model.items() if len(f) == n and f[:1] != "="} for n in STARTS}
-    starts = {n: d for n, d in starts.items() if d}
+    names = [f for f in model if f]
+    column, weights = {f: k for k, f in enumerate(names)}, [model[f] for f in names]
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = WordTable(lambda word: tuple(column[f] for f in of_word(word) if f in column))
         for batch in texts:
-            sums = []
-            for text in batch:
-                words = set(_LETTERS.findall(text.lower())) if isinstance(text, str) else set()
-                z = bias + sum(whole[w] for w in words & whole.keys())
-                for n, weights in starts.items():
-                    z += sum(weights[s] for s in {w[:n] for w in words if len(w) > n} & weights.keys())
-                sums.append(z)
+            sums = [model[""] + sum(map(weights.__getitem__, table.union(text))) for text in batch]
             yield pd.Series(sigmoid(np.array(sums, np.float64)))
 
     return F.pandas_udf(score, "double")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loam.sources.shared import new_path, saved, shared_dir
+from loam.sources.shared import dropped, new_path, saved, settled, shared_dir
 
-__all__ = ["hashed_share", "new_path", "saved", "shared_dir"]
+__all__ = ["dropped", "hashed_share", "new_path", "saved", "settled", "shared_dir"]
 
 
 def hashed_share(n_rows: int, bound: int) -> int:
