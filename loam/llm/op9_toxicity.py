@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,10 @@ class WordTable(dict):
         """What a text's words give, each once."""
         return set().union(*map(self.__getitem__, words_of(text)))
 
+    def distinct(self, text: str | None) -> np.ndarray:
+        """The same of numbers, in order."""
+        return np.unique(np.fromiter(chain.from_iterable(map(self.__getitem__, words_of(text))), np.int64))
+
 
 def features(text: str) -> set[str]:
     """Distinct words as ``=word`` and beginnings of longer words, lower-cased."""
@@ -104,37 +109,53 @@ def nnpu(confirmed: Sparse, unlabelled: Sparse, prior: float, steps: int = 400,
 def stand_out(outside: DataFrame, prior: float) -> list[str]:
     """The features of confirmed documents, by counts over all rows of ``outside`` (text, confirmed), best first.
 
-    Tasks count and pass on a row per feature they met; Spark adds up. What comes to the driver is what passed: features in
-    LEAST_DOCUMENTS confirmed documents or more that stand out by LEAST_Z, which the vocabulary of toxic text bounds.
+    First the confirmed documents, whose number is bounded, are counted: what LEAST_DOCUMENTS of them have is a candidate.
+    Then tasks count the candidates in all documents and pass on a row for each. Features that stand out by LEAST_Z, and by
+    LEAST_SHARE are mostly toxic, come to the driver.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        table = WordTable(of_word)
+    def of_confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, table = Counter(), WordTable(of_word)
         for batch in batches:
-            for text, confirmed in zip(batch["text"], batch["confirmed"], strict=True):
-                found = table.union(text)
-                seen[0].update(found)
-                if confirmed:
-                    seen[1].update(found)
-            if len(seen[0]) > MOST_COUNTED:
+            for text in batch["text"]:
+                seen.update(table.union(text))
+            if len(seen) > MOST_COUNTED:
                 yield from passed_on(seen)
-                seen = (Counter(), Counter())
+                seen = Counter()
         yield from passed_on(seen)
 
+    confirmed = outside.where("confirmed = 1").select("text").mapInPandas(of_confirmed, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("c"))
+    held = {r.feature: r.c for r in confirmed.where(F.col("c") >= LEAST_DOCUMENTS).collect()}
+    if not held:
+        return []
+    names = sorted(held)
+    place = {f: k for k, f in enumerate(names)}
+
+    def of_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = WordTable(lambda word: tuple(place[f] for f in of_word(word) if f in place))
+        counts = np.zeros(len(place), np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                counts[table.distinct(text)] += 1
+        some = np.nonzero(counts)[0]
+        yield pd.DataFrame({"place": some, "n": counts[some]})
+
     n = outside.agg(F.sum("confirmed").alias("c"), F.count("*").alias("u")).first()
     nc, nu = max(1, n.c or 0), max(1, n.u)
-    counted = outside.mapInPandas(count, "feature string, c long, u long").groupBy("feature").agg(F.sum("c").alias("c"), F.sum("u").alias("u")).where(F.col("c") >= LEAST_DOCUMENTS)
-    a, b = F.col("c") / nc, F.col("u") / nu
-    z = (a - b) / F.sqrt((F.col("c") + F.col("u") + 1) / (nc + nu) * (1.0 / nc + 1.0 / nu))
-    return [r.feature for r in counted.withColumn("z", z).where((F.col("z") > LEAST_Z) & (prior * a >= LEAST_SHARE * b)).orderBy(F.desc("z"), "feature").collect()]
+    told = []
+    for r in outside.select("text").mapInPandas(of_all, "place int, n long").groupBy("place").agg(F.sum("n").alias("u")).collect():
+        c, u = held[names[r.place]], r.u
+        z = (c / nc - u / nu) / ((c + u + 1) / (nc + nu) * (1 / nc + 1 / nu)) ** 0.5
+        if z > LEAST_Z and prior * c / nc >= LEAST_SHARE * u / nu:
+            told.append((-z, names[r.place]))
+    return [f for _, f in sorted(told)]
 
 
-def passed_on(seen: tuple[Counter, Counter]) -> Iterator[pd.DataFrame]:
-    names = list(seen[0])
+def passed_on(seen: Counter) -> Iterator[pd.DataFrame]:
+    names = list(seen)
     for k in range(0, len(names), 50_000):
         some = names[k : k + 50_000]
-        yield pd.DataFrame({"feature": pd.Series(some, dtype=object), "c": [seen[1][f] for f in some], "u": [seen[0][f] for f in some]})
+        yield pd.DataFrame({"feature": pd.Series(some, dtype=object), "n": [seen[f] for f in some]})
 
 
 def train(docs: DataFrame, labels: DataFrame, most_confirmed: int = MOST_CONFIRMED) -> dict[str, float]:
@@ -163,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, most_confirmed: int = MOST_CONFIRM
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = WordTable(lambda word: tuple(column[f] for f in of_word(word) if f in column))
         for batch in batches:
-            rows = [sorted(table.union(t)) for t in batch["text"]]
+            rows = [table.distinct(t) for t in batch["text"]]
             yield pd.DataFrame({"confirmed": batch["confirmed"], "columns": rows})
 
     rows = marked.mapInPandas(encode, "confirmed int, columns array<int>").groupBy("columns").agg(F.sum("confirmed").alias("c"), F.count("*").alias("u"))
@@ -190,12 +211,12 @@ def train(docs: DataFrame, labels: DataFrame, most_confirmed: int = MOST_CONFIRM
 def scorer(model: dict[str, float]):
     """Text -> score from 0 to 1; null and empty texts get the bias alone."""
     names = [f for f in model if f]
-    column, weights = {f: k for k, f in enumerate(names)}, [model[f] for f in names]
+    column, weights = {f: k for k, f in enumerate(names)}, np.array([model[f] for f in names])
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = WordTable(lambda word: tuple(column[f] for f in of_word(word) if f in column))
         for batch in texts:
-            sums = [model[""] + sum(map(weights.__getitem__, table.union(text))) for text in batch]
+            sums = [model[""] + weights[table.distinct(text)].sum() for text in batch]
             yield pd.Series(sigmoid(np.array(sums, np.float64)))
 
     return F.pandas_udf(score, "double")
