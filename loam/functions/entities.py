@@ -8,9 +8,10 @@ from loam.functions.text import TECHNIQUE, jaccard, one_space, tokens
 
 #: Signs of a placeholder that stands for a victim; what may stand in brackets in a defanged address.
 VICTIM_SIGNS = ("victim.user", "victim_user", "redacted", "<user", "[user", "example.com", "organization.com", "company.com", "yourcompany", "pseudorandom", "unique alphanumeric")
-DEFANG_SIGNS = (".", ":", "/", "@", "at", "dot")
-_BRACKETED = r"(<[^<>]+>|\[[^\[\]]+\]|\{[^{}]+\})"
-_LEADING = r"\A(?:<[^<>]+>|\[[^\[\]]+\]|\{[^{}]+\})[.\-_]+"
+DEFANG_SIGNS = (".", ":", "at", "@", "dot", "://", "//")
+#: What stands in brackets, what of it may lead a value, and a GUID.
+_BRACKETED = r"(<[^<>]{1,40}>|\[[^\[\]]{1,40}\]|\{[^{}]{1,40}\})"
+_LEADING = r"\A(?:<[^<>]{1,40}>|\[[^\[\]]{1,40}\]|\{[^{}]{1,40}\})[.\-_]+"
 _GUID = r"\A[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\z"
 
 

@@ -10,6 +10,12 @@ TECHNIQUE = r"\bT\d{4}(?:\.\d{3})?\b"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 #: What ends a token of the overlap measure, and the words it leaves out.
 OVERLAP_TOKEN, OVERLAP_END = r"[a-z0-9][a-z0-9_\-./]+", ".,;:"
+STOP_WORDS = (
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "was", "were", "are", "be", "been",
+    "being", "has", "had", "have", "do", "did", "does", "this", "that", "it", "its", "as", "not", "no", "so", "if", "then", "than", "also",
+    "which", "who", "when", "where", "what", "how", "more", "some", "through", "during", "after", "before", "between", "into", "over",
+    "under", "about", "up", "out", "down", "off",
+)
 
 
 def tokens(text: Column, least: int = 3) -> Column:
@@ -138,7 +144,11 @@ def hash_kind(value: Column) -> Column:
     return F.when(n == 32, "MD5").when(n == 40, "SHA-1").when(n == 64, "SHA-256").when(n == 128, "SHA-512")
 
 
-def looks_like_rule(content: Column, marks: list[str], longest: int = 120) -> Column:
+#: Fixed value: signs of rule syntax.
+RULE_MARKS = (":", "{", "}", "|", "=", "(", ")", "$", "\\", "==", "!=", "->")
+
+
+def looks_like_rule(content: Column, marks: tuple[str, ...] = RULE_MARKS, longest: int = 120) -> Column:
     """Whether a detection rule's text is a body: several lines, a mark of rule syntax, or long."""
     trimmed = F.trim(content)
     found = F.lit(False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loam.sources.shared import saved
+from loam.sources.shared import dropped, saved
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -42,29 +42,26 @@ def link_orphans(steps: DataFrame) -> DataFrame:
     return steps.withColumn("src", before).where("not has_predecessor and not is_root and src is not null").select("group", "src", F.col("step").alias("dst"))
 
 
-def splice(edges: DataFrame, present: DataFrame, hops: int = 10) -> DataFrame:
+def splice(edges: DataFrame, present: DataFrame) -> DataFrame:
     """Edges between present nodes, absent ones bridged to their nearest present descendants; no loops.
 
-    Walks only through absent nodes, ``hops`` at most in a row, each (start, place) once, so cycles end.
+    Walks only through absent nodes, however many there are in a row, each (start, place) once, so cycles end.
     """
-    here = present.select(F.col("node").alias("dst"), F.lit(True).alias("_here"))
-    clean = clean_edges(edges)
-    marked = clean.join(here, "dst", "left").withColumn("_here", F.coalesce("_here", F.lit(False)))
-    front = marked.join(present.select(F.col("node").alias("src")), "src", "left_semi")
-    done = front.where("_here").select("src", "dst")
-    front = front.where("not _here").select("src", "dst")
+    here = present.select(F.col("node").alias("dst"), F.lit(True).alias("here"))
+    marked = saved(clean_edges(edges).join(here, "dst", "left").select("src", "dst", F.coalesce("here", F.lit(False)).alias("here")), "splice-edges")
+    front = saved(marked.join(present.select(F.col("node").alias("src")), "src", "left_semi"), "splice-steps")
+    done = front.where("here").select("src", "dst")
     seen = None
-    for _ in range(hops):
-        step = front.select(F.col("src").alias("start"), F.col("dst").alias("src")).distinct()
+    while True:
+        step = front.where("not here").select(F.col("src").alias("start"), F.col("dst").alias("src")).distinct()
         if seen is not None:
             step = step.join(seen, ["start", "src"], "left_anti")
         step = saved(step, "splice-places")
         if step.isEmpty():
             break
         seen = step if seen is None else seen.union(step)
-        walked = saved(step.join(marked, "src").select("start", "dst", "_here"), "splice-steps")
-        done = done.union(walked.where("_here").select(F.col("start").alias("src"), "dst"))
-        front = walked.where("not _here").select(F.col("start").alias("src"), "dst")
+        front = saved(step.join(marked, "src").select(F.col("start").alias("src"), "dst", "here"), "splice-steps")
+        done = done.union(front.where("here").select("src", "dst"))
     return done.where("src <> dst").distinct()
 
 
@@ -104,37 +101,96 @@ def section_ranges(raw: DataFrame) -> DataFrame:
     return cut.where("first <= last")
 
 
-def cyclic(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Nodes that stay when nodes without a way in or without a way out are taken away, round by round.
-
-    Empty for a graph without cycles that is not deeper than ``rounds``; each round is one pair of semi joins.
-    """
-    left, before = clean_edges(edges), -1
-    for _ in range(rounds):
+def _core(edges: DataFrame) -> DataFrame:
+    """Edges that stay when nodes without a way in or without a way out are taken away until there are none."""
+    left, before = edges, -1
+    while True:
         into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-        left = saved(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "cycle-edges")
-        n = left.count()
+        kept = saved(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "core-edges")
+        dropped(left)
+        left, n = kept, kept.count()
         if n in (0, before):
-            break
+            return left
         before = n
-    return left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, colour): the largest node that each node of ``edges`` is reached from, itself included."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    colours = saved(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("new")), "colours")
+    while not colours.where("new").isEmpty():
+        told = colours.where("new").select(F.col("node").alias("src"), "colour").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("told"))
+        better = F.coalesce(F.col("told") > F.col("colour"), F.lit(False))
+        step = saved(colours.join(told, "node", "left").select("node", F.when(better, F.col("told")).otherwise(F.col("colour")).alias("colour"), better.alias("new")), "colours")
+        dropped(colours)
+        colours = step
+    return colours.select("node", "colour")
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """The nodes that reach themselves: those on loops and in strongly connected components of two nodes or more.
+
+    What cannot be on a cycle is taken away first. In each round the largest node that reaches a node colours it; walking
+    back from that node inside its colour gives one whole component per colour, and the rest is searched again.
+    """
+    found = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
+    left = _core(clean_edges(edges))
+    while not left.isEmpty():
+        colours = _coloured(left)
+        inside = left.join(colours.select(F.col("node").alias("src"), "colour"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst")
+        inside = saved(inside.where("colour = other").select("src", "dst", "colour"), "coloured-edges")
+        front = saved(inside.where("src = colour").select(F.col("src").alias("node"), "colour").distinct(), "cycle-members")
+        members = front
+        while not front.isEmpty():
+            back = inside.join(front.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            front = saved(back.join(members, ["node", "colour"], "left_anti"), "cycle-members")
+            members = members.union(front)
+        grown = members.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+        found = saved(found.union(members.join(grown, "colour", "left_semi").select("node")).distinct(), "cycle-nodes")
+        gone = colours.where("node = colour").select("node").union(members.select("node")).distinct()
+        rest = left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = _core(rest.select("src", "dst"))
+    return found.distinct()
+
+
+def path_elements(paths: DataFrame) -> DataFrame:
+    """(kind, a, b): the nodes (b null) and the edges, whichever way they go, of paths (path: array)."""
+    steps = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.struct(F.element_at("path", k).alias("x"), F.element_at("path", k + 1).alias("y")))).alias("s")).select("s.*")
+    nodes = paths.select(F.explode("path").alias("a")).distinct()
+    edges = steps.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    kind = paths.schema["path"].dataType.elementType
+    return nodes.select(F.lit("node").alias("kind"), "a", F.lit(None).cast(kind).alias("b")).unionByName(edges.select(F.lit("edge").alias("kind"), "a", "b"))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 10, most: int = 100) -> DataFrame:
     """(src, dst, path) for all shortest undirected paths between each pair, ``hops`` long at most.
 
-    Each pair's search stops at the depth that reaches its end; of a pair's paths the ``most`` first by order are told.
+    Depths are found first, a row per start and node; paths are then walked back from the end along falling depths
+    alone, so no dead end is ever carried as a path. Of a pair's paths the ``most`` first by order are told, each step
+    keeping the ``most`` first, which by their order are those of the whole.
     """
-    ways = both_ways(edges).select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    front = pairs.select("src", "dst", F.col("src").alias("at"), F.array("src").alias("path"))
-    found = None
-    for _ in range(hops):
-        step = front.join(ways, "at").where(~F.array_contains("path", F.col("next")))
-        step = saved(step.select("src", "dst", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path")), "paths")
-        done = step.where("at = dst").select("src", "dst", "path")
-        found = done if found is None else found.unionByName(done)
-        front = step.join(done.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    ways = saved(both_ways(edges).select(F.col("src").alias("at"), F.col("dst").alias("next")), "ways")
+    asked = saved(pairs.select("src", "dst").where("src <> dst").distinct(), "asked-pairs")
+    depths = saved(asked.select(F.col("src").alias("start"), F.col("src").alias("node"), F.lit(0).alias("depth")).distinct(), "depths")
+    front = depths
+    for depth in range(1, hops + 1):
+        open_ = asked.join(depths.select(F.col("start").alias("src"), F.col("node").alias("dst")), ["src", "dst"], "left_anti").select(F.col("src").alias("start")).distinct()
+        step = front.join(open_, "start", "left_semi").join(ways, front["node"] == ways["at"]).select("start", F.col("next").alias("node")).distinct()
+        front = saved(step.join(depths.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "depths")
         if front.isEmpty():
             break
+        depths = depths.unionByName(front)
+    ends = asked.join(depths, (F.col("src") == F.col("start")) & (F.col("dst") == F.col("node")))
+    paths = ends.select("src", "dst", F.col("dst").alias("at"), F.array("dst").alias("path"), "depth")
+    done = paths.where("depth = 0").select("src", "dst", "path")
+    for _ in range(hops):
+        earlier = depths.select(F.col("start").alias("src"), F.col("node").alias("next"), (F.col("depth") + 1).alias("depth"))
+        back = paths.join(ways, "at").join(earlier, ["src", "next", "depth"])
+        back = back.select("src", "dst", F.col("next").alias("at"), F.concat(F.array("next"), F.col("path")).alias("path"), (F.col("depth") - 1).alias("depth"))
+        rank = F.row_number().over(Window.partitionBy("src", "dst", "at").orderBy("path"))
+        paths = saved(back.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank"), "paths")
+        if paths.isEmpty():
+            break
+        done = done.unionByName(paths.where("depth = 0").select("src", "dst", "path"))
     rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy("path"))
-    return found.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+    return done.withColumn("rank", rank).where(F.col("rank") <= most).select("src", "dst", "path")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.functions.text import jaccard, tokens
+from loam.sources.shared import saved
 
 #: Rows of a catalogue that may travel to every task as they are.
 MOST_SMALL = 5000
@@ -15,7 +16,8 @@ MOST_SMALL = 5000
 def shared_tokens(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(id, item, score): Jaccard of token sets for every text and catalogue item that share a token.
 
-    An inverted index instead of a cross join: pairs without a shared token score 0 and are left out.
+    An inverted index instead of a cross join: pairs without a shared token score 0 and are left out. The result has a row
+    for every pair that shares any word; for the best items of each text use best_by_tokens().
     """
     left = texts.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("na"), F.explode("t").alias("token"))
     right = catalogue.select("item", tokens(F.col("text")).alias("t")).select("item", F.size("t").alias("nb"), F.explode("t").alias("token"))
@@ -23,37 +25,92 @@ def shared_tokens(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
     return shared.select("id", "item", (F.col("count") / (F.col("na") + F.col("nb") - F.col("count"))).alias("score"))
 
 
+def best_by_tokens(texts: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
+    """(id, item, score, rank): the k items of the catalogue whose token sets overlap each text most, equal ones by item.
+
+    A catalogue of MOST_SMALL items at most, whose size is checked, travels with the function as an inverted index, and a text
+    is scored against it where it lies: nothing is shuffled and no common word becomes a hot key. A larger one is joined by
+    token. Texts without a shared token have no row.
+    """
+    rows = catalogue.select("item", tokens(F.col("text")).alias("t")).where(F.size("t") > 0).limit(MOST_SMALL + 1).collect()
+    if len(rows) > MOST_SMALL:
+        return top(shared_tokens(texts, catalogue), k)
+    kind = catalogue.schema["item"].dataType.simpleString()
+    if not rows:
+        return texts.select("id", F.lit(None).cast(kind).alias("item"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
+    rows.sort(key=lambda r: r.item)
+    names, sizes = np.array([r.item for r in rows]), np.array([len(r.t) for r in rows])
+    lists: dict[str, list[int]] = {}
+    for place, r in enumerate(rows):
+        for token in r.t:
+            lists.setdefault(token, []).append(place)
+    index = {token: np.array(places) for token, places in lists.items()}
+
+    def score(batches):
+        for batch in batches:
+            ids, items, scores, ranks = [], [], [], []
+            for name, own in zip(batch["id"], batch["t"], strict=True):
+                hits = [index[t] for t in own if t in index]
+                if not hits:
+                    continue
+                both = np.bincount(np.concatenate(hits), minlength=len(names))
+                value = both / (len(own) + sizes - both)
+                best = np.argsort(-value, kind="stable")[:k]
+                best = best[both[best] > 0]
+                ids += [name] * len(best)
+                items.append(names[best])
+                scores.append(value[best])
+                ranks += range(1, len(best) + 1)
+            if ids:
+                yield pd.DataFrame({"id": ids, "item": np.concatenate(items), "score": np.concatenate(scores), "rank": ranks})
+
+    told = texts.select("id", tokens(F.col("text")).alias("t"))
+    return told.mapInPandas(score, f"id {texts.schema['id'].dataType.simpleString()}, item {kind}, score double, rank int")
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The k best items of each id, equal scores by item, with their rank."""
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "item"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def folded(text: Column) -> Column:
+    """Lower case, white space runs made one space, none at the ends: what containment compares."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
 def contained(texts: DataFrame, phrases: DataFrame, width: int = 3) -> DataFrame:
-    """(id, item) for every phrase that occurs in a text.
+    """(id, item, phrase) for every phrase that occurs in a text, letter case and white space aside; of an item's phrases each is told apart.
 
-    Phrases of ``width`` words and more are found through their rarest run of that many words, so a common
-    run does no harm, and the whole phrase is checked after; shorter ones are matched as they stand by a broadcast join,
-    the catalogue being small.
+    Phrases of ``width`` inner words and more are found through their rarest run of that many words: the runs of texts are
+    first reduced to those that any phrase has, then only the runs chosen meet their phrases, and the whole phrase is
+    checked last. Shorter ones are looked up by their longest inner word in the same way; what has no inner word (its
+    first and last word may be parts of words in a text) is matched as it stands by a broadcast join, MOST_SMALL at most.
     """
-    words = lambda c: F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    runs = lambda a: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - width + 1, F.lit(1))), lambda k: F.array_join(F.slice(a, k, width), " "))
-    told = phrases.select("item", "text", words("text").alias("w"))
-    long = told.where(F.size("w") >= width + 2)
-    # The first and last word of a phrase may be parts of words in a text.
-    inner = long.select("item", "text", F.explode(F.array_distinct(runs(F.slice("w", 2, F.size("w") - 2)))).alias("run"))
-    split = texts.select("id", "text", words("text").alias("w")).where(F.size("w") >= width)
-    seen = split.select("id", F.explode(F.array_distinct(runs(F.col("w")))).alias("run"))
-    keys = inner.select("run").distinct()
-    frequency = seen.join(keys, "run", "left_semi").groupBy("run").count()
-    rarest = inner.join(frequency, "run", "left").groupBy("item").agg(F.min_by("run", F.struct(F.coalesce("count", F.lit(0)), F.col("run"))).alias("run"), F.first("text").alias("phrase"))
+    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    told = phrases.select("item", folded(F.col("text")).alias("phrase")).where("phrase <> ''").distinct().withColumn("w", words(F.col("phrase")))
+    inner = told.withColumn("inner", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))
+    n = F.size("inner")
+    runs = lambda a, k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - k + 1, F.lit(1))), lambda at: F.array_join(F.slice(a, at, k), " "))
+    long = inner.where(n >= width).select("item", "phrase", F.explode(F.array_distinct(runs(F.col("inner"), width))).alias("run"))
+    middle = inner.where((n > 0) & (n < width)).select("item", "phrase", F.explode(F.array_distinct("inner")).alias("run"))
+    keys = saved(long.unionByName(middle), "phrase-runs")
+    wanted = keys.select("run").distinct()
+    split = texts.select("id", words(folded(F.col("text"))).alias("w"))
+    both = F.concat(F.when(F.size("w") >= width, runs(F.col("w"), width)).otherwise(F.array().cast("array<string>")), "w")
+    seen = saved(split.select("id", F.explode(F.array_distinct(both)).alias("run")).join(wanted, "run", "left_semi"), "text-runs")
+    frequency = seen.groupBy("run").count()
+    rarest = keys.join(frequency, "run", "left").groupBy("item", "phrase").agg(F.min_by("run", F.struct(F.coalesce("count", F.lit(0)), F.col("run"))).alias("run"))
     found = seen.join(rarest, "run").select("id", "item", "phrase")
-    checked = found.join(texts.select("id", "text"), "id").where(F.contains("text", "phrase")).select("id", "item")
-    short = told.where(F.size("w") < width + 2).select("item", F.col("text").alias("phrase"))
-    if short.limit(MOST_SMALL + 1).count() > MOST_SMALL:
-        raise ValueError(f"more than {MOST_SMALL} phrases are too short to be looked up by a run of {width} words")
-    as_is = texts.select("id", "text").join(F.broadcast(short), F.contains("text", "phrase")).select("id", "item")
-    return checked.unionByName(as_is).distinct()
+    checked = found.join(texts.select("id", folded(F.col("text")).alias("text")), "id").where(F.contains("text", "phrase")).select("id", "item", "phrase")
+    short = inner.where(n == 0).select("item", "phrase")
+    few = short.limit(MOST_SMALL + 1).count()
+    if few > MOST_SMALL:
+        raise ValueError(f"more than {MOST_SMALL} phrases have no whole word to be looked up by")
+    if few:
+        as_is = texts.select("id", folded(F.col("text")).alias("text")).join(F.broadcast(short), F.contains("text", "phrase")).select("id", "item", "phrase")
+        checked = checked.unionByName(as_is)
+    return checked.distinct()
 
 
 def nearest_centres(vectors: DataFrame, centres: DataFrame, k: int) -> DataFrame:

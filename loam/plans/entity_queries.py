@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loam.functions import entities as N, text as T
-from loam.operators import spans
+from loam.operators import picks as P, spans
 from loam.sources.tables import table
 
 
 def placeholders(spark: SparkSession, d: str) -> DataFrame:
     user = F.col("user_id").cast("string")
-    forms = F.array(F.concat(F.lit("<org>.host"), user, F.lit(".com")), F.concat(F.lit("host"), user, F.lit("[.]com")), F.concat(F.lit("a{id}"), user), F.concat(F.lit("victim.user@c"), user, F.lit(".com")))
-    value = F.element_at(forms, (F.col("event_id") % 4 + 1).cast("int"))
+    forms = F.array(
+        F.concat(F.lit("<org>.host"), user, F.lit(".com")), F.concat(F.lit("host"), user, F.lit("[.]com")), F.concat(F.lit("a{id}"), user), F.concat(F.lit("victim.user@c"), user, F.lit(".com")),
+        F.concat(F.lit("hxxp[://]h"), user), F.concat(F.lit("http:[//]h"), user), F.concat(F.lit("x[/]"), user), F.concat(F.lit("x<"), F.repeat(F.lit("long"), 11), F.lit(">"), user),
+    )
+    value = F.element_at(forms, (F.col("event_id") % 8 + 1).cast("int"))
     return table(spark, d, "events").select("event_id", N.has_placeholder(value).alias("has"), N.without_placeholder(value).alias("value"), N.is_victims(value).alias("victims"))
 
 
 PLACEHOLDERS = """
-SELECT event_id, event_id % 4 IN (0, 2) AS has, CASE event_id % 4 WHEN 0 THEN 'host' || user_id || '.com' WHEN 1 THEN 'host' || user_id || '[.]com' WHEN 3 THEN 'victim.user@c' || user_id || '.com' END AS value,
-  event_id % 4 = 3 AS victims FROM events
+SELECT event_id, event_id % 8 IN (0, 2, 6) AS has, CASE event_id % 8 WHEN 0 THEN 'host' || user_id || '.com' WHEN 1 THEN 'host' || user_id || '[.]com' WHEN 3 THEN 'victim.user@c' || user_id || '.com'
+  WHEN 4 THEN 'hxxp[://]h' || user_id WHEN 5 THEN 'http:[//]h' || user_id WHEN 7 THEN 'x<' || repeat('long', 11) || '>' || user_id END AS value, event_id % 8 = 3 AS victims FROM events
 """
 
 
@@ -85,18 +88,15 @@ SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(n, lambda x:
 
 def subtechnique_union(spark: SparkSession, d: str) -> DataFrame:
     """Selected ids with the parents of subs, and all subs of selected parents."""
-    ids = table(spark, d, "part").select(F.concat(F.lit("T"), F.lpad((F.col("p_partkey") % 90).cast("string"), 4, "0"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(".00"), (F.col("p_size") % 9).cast("string"))).otherwise(F.lit(""))).alias("tid")).distinct()
-    chosen = ids.where("substring(tid, 5, 1) in ('1', '7')")
-    parents = chosen.select(N.parent_of(F.col("tid")).alias("tid"))
-    selected = chosen.union(parents).distinct()
-    subs = ids.where("tid like '%.%'").join(selected.select(F.col("tid").alias("p")), N.parent_of(F.col("tid")) == F.col("p"), "left_semi")
-    return selected.union(subs).distinct()
+    p = table(spark, d, "part")
+    ids = p.select(F.concat(F.lit("T"), F.lpad((F.col("p_partkey") % 9000).cast("string"), 4, "0"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(".00"), (F.col("p_size") % 9).cast("string"))).otherwise(F.lit(""))).alias("technique_id"), "p_type")
+    return P.expanded(ids.where("p_type = 'SMALL'"), ids.select("technique_id").distinct())
 
 
 SUBTECHNIQUE_UNION = """
-WITH i AS (SELECT DISTINCT 'T' || lpad((p_partkey % 90)::VARCHAR, 4, '0') || CASE WHEN p_size % 2 = 0 THEN '.00' || p_size % 9 ELSE '' END AS tid FROM part),
-c AS (SELECT tid FROM i WHERE substr(tid, 5, 1) IN ('1', '7')), s AS (SELECT tid FROM c UNION SELECT split_part(tid, '.', 1) FROM c)
-SELECT tid FROM s UNION SELECT tid FROM i WHERE contains(tid, '.') AND split_part(tid, '.', 1) IN (SELECT tid FROM s)
+WITH i AS (SELECT 'T' || lpad((p_partkey % 9000)::VARCHAR, 4, '0') || CASE WHEN p_size % 2 = 0 THEN '.00' || p_size % 9 ELSE '' END AS tid, p_type FROM part),
+c AS (SELECT tid FROM i WHERE p_type = 'SMALL'), s AS (SELECT tid FROM c UNION SELECT split_part(tid, '.', 1) FROM c)
+SELECT tid AS technique_id FROM s UNION SELECT tid FROM i WHERE contains(tid, '.') AND split_part(tid, '.', 1) IN (SELECT tid FROM s)
 """
 
 
@@ -139,7 +139,7 @@ FROM customer LEFT JOIN k ON s_nationkey = c_nationkey
 def excerpt_provenance(spark: SparkSession, d: str) -> DataFrame:
     """Excerpts found in figures, code and prose; white space does not matter."""
     head = T.one_space(F.substring("text", 1, 60))
-    text = F.concat(F.lit("[FIGURE 1] "), F.substring("text", 1, 200), F.lit(" [/FIGURE]\n```\ncode block one\n```\nplain  end of\tall"))
+    text = F.concat(F.lit("[FIGURE 1] "), F.col("text"), F.lit(" [/FIGURE]\n```\ncode block one\n```\nplain  end of\tall"))
     excerpt = F.when(F.col("doc_id") % 4 == 0, head).when(F.col("doc_id") % 4 == 1, F.lit("code  block one")).when(F.col("doc_id") % 4 == 2, F.lit("plain end of all")).otherwise(F.lit("nowhere to be found"))
     docs = table(spark, d, "documents").where(F.length(F.trim("text")) > 0).select("doc_id", text.alias("text"), excerpt.alias("excerpt"))
     found = docs.withColumn("s", spans.excerpt_span(F.col("excerpt"), F.col("text")))
@@ -153,14 +153,12 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'figure' WHEN 1 THEN 'code' WHEN 2 TH
 
 
 def command_closeness(spark: SparkSession, d: str) -> DataFrame:
-    """Commands near to their sources: one letter changed is near, another command is not."""
-    base = F.concat(F.lit("powershell.exe -encodedcommand abc"), F.col("user_id").cast("string"))
-    command = F.when(F.col("event_id") % 2 == 0, F.replace(base, F.lit("abc"), F.lit("abd"))).otherwise(F.lit("certutil -urlcache -f http"))
-    e = table(spark, d, "events").select("event_id", spans.near_ratio(command, F.concat(F.lit("they ran "), base, F.lit(" and left"))).alias("r"))
-    return e.select("event_id", (F.col("r") >= 0.95).alias("near"), (F.col("r") > 0).alias("aligned"))
-
-
-COMMAND_CLOSENESS = "SELECT event_id, event_id % 2 = 0 AS near, event_id % 2 = 0 AS aligned FROM events"
+    """Lines of conversations as commands against the next turn of the talk; no SQL says difflib's ratio, tests compare with it."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("source"))
+    command = F.concat_ws(" ", F.slice(F.split("text", " "), 1, 12))
+    told = c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(spans.near_ratio(command, F.concat_ws(" ", "source", F.when(F.col("turn") % 2 == 0, command))), 6).alias("ratio"))
+    return told.withColumn("near", F.col("ratio") >= 0.95)
 
 
 def nth_occurrence(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +174,7 @@ NTH_OCCURRENCE = "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY co
 def log_sources(spark: SparkSession, d: str) -> DataFrame:
     """Three hops: part <- line -> supplier -> nation, distinct names per brand; brands without any are kept as gaps."""
     p = table(spark, d, "part").select("p_partkey", "p_brand")
-    line = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
+    line = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     linked = line.join(s, "l_suppkey").join(n, "s_nationkey").select("p_partkey", "n_name").distinct()
@@ -185,7 +183,7 @@ def log_sources(spark: SparkSession, d: str) -> DataFrame:
 
 LOG_SOURCES = """
 SELECT p_brand, count(DISTINCT n_name) AS n_sources, coalesce(string_agg(DISTINCT n_name, ',' ORDER BY n_name), '') AS sources FROM part LEFT JOIN (SELECT DISTINCT l_partkey, n_name FROM lineitem
-  JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_quantity > 49) ON l_partkey = p_partkey GROUP BY 1
+  JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey) ON l_partkey = p_partkey GROUP BY 1
 """
 
 
@@ -203,6 +201,6 @@ SELECT page_id, md5(t) AS text_hash, len(list_filter(string_split(t, ' '), lambd
 
 QUERIES = {f.__name__: (f, sql) for f, sql in (
     (placeholders, PLACEHOLDERS), (platform_names, PLATFORM_NAMES), (recalibrated_picks, RECALIBRATED_PICKS), (json_repair, JSON_REPAIR), (operative_strings, OPERATIVE_STRINGS),
-    (subtechnique_union, SUBTECHNIQUE_UNION), (reference_sync, REFERENCE_SYNC), (attribution, ATTRIBUTION), (excerpt_provenance, EXCERPT_PROVENANCE), (command_closeness, COMMAND_CLOSENESS),
+    (subtechnique_union, SUBTECHNIQUE_UNION), (reference_sync, REFERENCE_SYNC), (attribution, ATTRIBUTION), (excerpt_provenance, EXCERPT_PROVENANCE), (command_closeness, None),
     (nth_occurrence, NTH_OCCURRENCE), (log_sources, LOG_SOURCES), (page_layers, PAGE_LAYERS),
 )}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.operators import components as P, graph as G, retrieval as M
+from loam.plans import feedback_queries
 from loam.sources.tables import table
 
 
@@ -71,17 +72,17 @@ SELECT c_nationkey, count(DISTINCT l_partkey) AS uses, count(DISTINCT l_suppkey)
 
 def analyst_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges less those the analyst removed by key, and with those added that are not there yet; unnamed ends stay."""
-    edges = table(spark, d, "lineitem").select(F.lower(F.concat_ws("|", F.coalesce("l_returnflag", F.lit("")), (F.col("l_suppkey") % 40).cast("string"), (F.col("l_partkey") % 30).cast("string"))).alias("key")).distinct()
-    removed = table(spark, d, "supplier").select(F.lower(F.concat_ws("|", F.lit("A"), (F.col("s_suppkey") % 40).cast("string"), (F.col("s_nationkey") % 30).cast("string"))).alias("key"))
-    added = table(spark, d, "supplier").select(F.lower(F.concat_ws("|", F.lit("Z"), (F.col("s_suppkey") % 40).cast("string"), (F.col("s_nationkey") % 30).cast("string"))).alias("key")).distinct()
+    edges = table(spark, d, "lineitem").select(F.lower(F.concat_ws("|", F.coalesce("l_returnflag", F.lit("")), F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"))).alias("key")).distinct()
+    removed = table(spark, d, "supplier").select(F.lower(F.concat_ws("|", F.lit("A"), F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string"))).alias("key"))
+    added = table(spark, d, "supplier").select(F.lower(F.concat_ws("|", F.lit("Z"), F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string"))).alias("key")).distinct()
     kept = edges.join(removed, "key", "left_anti").withColumn("origin", F.lit("derived"))
     return kept.unionByName(added.join(edges, "key", "left_anti").withColumn("origin", F.lit("analyst")))
 
 
 ANALYST_EDGES = """
-WITH e AS (SELECT DISTINCT lower(l_returnflag) || '|' || l_suppkey % 40 || '|' || l_partkey % 30 AS key FROM lineitem)
-SELECT key, 'derived' AS origin FROM e WHERE key NOT IN (SELECT 'a|' || s_suppkey % 40 || '|' || s_nationkey % 30 FROM supplier) UNION ALL
-SELECT DISTINCT 'z|' || s_suppkey % 40 || '|' || s_nationkey % 30, 'analyst' FROM supplier WHERE 'z|' || s_suppkey % 40 || '|' || s_nationkey % 30 NOT IN (SELECT key FROM e)
+WITH e AS (SELECT DISTINCT lower(l_returnflag) || '|' || l_suppkey || '|' || l_partkey AS key FROM lineitem)
+SELECT key, 'derived' AS origin FROM e WHERE key NOT IN (SELECT 'a|' || s_suppkey || '|' || s_nationkey FROM supplier) UNION ALL
+SELECT DISTINCT 'z|' || s_suppkey || '|' || s_nationkey, 'analyst' FROM supplier WHERE 'z|' || s_suppkey || '|' || s_nationkey NOT IN (SELECT key FROM e)
 """
 
 
@@ -116,18 +117,12 @@ SELECT substr(sha256(lower(event_type) || '|' || user_id % 20), 1, 24) AS key, c
 
 
 def surfacing_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Rules shown (clicks) against corrections after them (errors): a rule that was shown and corrected again is a miss."""
-    e = table(spark, d, "events")
-    shown = e.where("event_type = 'click'").groupBy("user_id").agg(F.min("ts").alias("first"), F.count("*").alias("shown"))
-    wrong = e.where("event_type = 'error'").select("user_id", F.col("ts").alias("at"))
-    again = shown.join(wrong, "user_id", "left").groupBy("user_id", "shown").agg(F.count_if(F.col("at") > F.col("first")).alias("n"))
-    return again.select("user_id", "shown", F.when(F.col("n") > 30, "miss").when(F.col("n") > 0, "weak").otherwise("hit").alias("outcome"))
+    """Summary of the rules shown: how many were a hit, a miss or unscored, and how often they were shown."""
+    found = feedback_queries.surfacing_outcomes(spark, d)
+    return found.groupBy("outcome").agg(F.count("*").alias("patterns"), F.sum("n").alias("shown"))
 
 
-SURFACING_SCORES = """
-WITH s AS (SELECT user_id, min(ts) AS first, count(*) AS shown FROM events WHERE event_type = 'click' GROUP BY 1)
-SELECT s.user_id, shown, CASE WHEN count(e.ts) > 30 THEN 'miss' WHEN count(e.ts) > 0 THEN 'weak' ELSE 'hit' END AS outcome FROM s LEFT JOIN events e ON e.user_id = s.user_id AND event_type = 'error' AND e.ts > first GROUP BY 1, 2
-"""
+SURFACING_SCORES = f"SELECT outcome, count(*) AS patterns, sum(n)::BIGINT AS shown FROM ({feedback_queries.SURFACING_OUTCOMES}) GROUP BY 1"
 
 
 def undo_preview(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +156,7 @@ SELECT CASE l_returnflag WHEN 'R' THEN 'IMPLEMENTS' ELSE 'USES' END AS verb, cou
 def _follows(spark: SparkSession, d: str) -> DataFrame:
     """Each customer after the one that its balance points at: small trees and chains."""
     c = table(spark, d, "customer")
-    return c.where("c_nationkey % 5 < 2").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1 + F.col("c_nationkey")).alias("b"))
+    return c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1 + F.col("c_nationkey")).alias("b"))
 
 
 def flow_components(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +164,7 @@ def flow_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 FLOW_COMPONENTS = """
-WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 1 + c_nationkey AS b FROM customer WHERE c_nationkey % 5 < 2), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 1 + c_nationkey AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, t) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.t)
 SELECT node, min(t) AS component FROM r GROUP BY 1
 """
@@ -195,25 +190,24 @@ SELECT DISTINCT s AS node FROM w WHERE s = t
 def short_paths(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "nation").select(F.col("n_nationkey").alias("src"), (F.col("n_regionkey") + 100).alias("dst"))
     edges = edges.unionByName(table(spark, d, "supplier").select((F.col("s_suppkey") + 1000).cast("int").alias("src"), F.col("s_nationkey").alias("dst")))
-    pairs = table(spark, d, "supplier").where("s_suppkey % 10 = 1").select((F.col("s_suppkey") + 1000).cast("int").alias("src"), F.lit(102).alias("dst"))
+    pairs = table(spark, d, "supplier").select((F.col("s_suppkey") + 1000).cast("int").alias("src"), F.lit(102).alias("dst"))
     return G.shortest_paths(edges, pairs, 4).select("src", "dst", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 SHORT_PATHS = """
-SELECT (s_suppkey + 1000)::INT AS src, 102 AS dst, (s_suppkey + 1000) || '>' || s_nationkey || '>102' AS path FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 10 = 1 AND n_regionkey = 2
+SELECT (s_suppkey + 1000)::INT AS src, 102 AS dst, (s_suppkey + 1000) || '>' || s_nationkey || '>102' AS path FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2
 """
 
 
 def shared_segments(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that two roots or more reach, with how many do and the least depth."""
     edges = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + F.col("c_nationkey") + 1).alias("dst"))
-    starts = table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("node"))
-    return G.reachable(edges, starts, 4).groupBy("node").agg(F.count("*").alias("n_roots"), F.min("depth").alias("depth")).where("n_roots >= 2")
+    return G.reachable(edges, edges.select(F.col("src").alias("node")), 4).groupBy("node").agg(F.count("*").alias("n_roots"), F.min("depth").alias("depth")).where("n_roots >= 2")
 
 
 SHARED_SEGMENTS = """
 WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey + c_nationkey + 1 AS dst FROM customer),
-w(start, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT w.start, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4)
+w(start, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT w.start, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4)
 SELECT node, count(DISTINCT start) AS n_roots, min(depth) AS depth FROM w GROUP BY 1 HAVING count(DISTINCT start) >= 2
 """
 

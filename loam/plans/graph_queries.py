@@ -9,11 +9,11 @@ from loam.sources.tables import table
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier to part, as a flow of steps with numbers that overlap a little."""
-    return table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 60).alias("dst"))
+    """Supplier to part, as a flow of steps whose numbers overlap."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
 
 
-_EDGES = "e AS (SELECT DISTINCT l_suppkey % 50 AS src, l_partkey % 60 AS dst FROM lineitem WHERE l_suppkey % 50 <> l_partkey % 60)"
+_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <> l_partkey)"
 
 
 def flow_joints(spark: SparkSession, d: str) -> DataFrame:
@@ -24,12 +24,12 @@ FLOW_JOINTS = f"WITH {_EDGES} SELECT * FROM (SELECT dst AS node, 'converge' AS r
 
 
 def flow_roots(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    edges = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return G.roots(parts, edges)
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
+    edges = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 2).alias("dst"))
+    return G.roots(customers, edges)
 
 
-FLOW_ROOTS = "SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)"
+FLOW_ROOTS = "SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey + o_orderkey % 2 FROM orders)"
 
 
 def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ WHERE dst % 3 <> 0 AND event_type <> 'signup' AND src IS NOT NULL
 def spliced_flow(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1 + F.col("o_custkey") % 3).alias("dst"))
     present = table(spark, d, "orders").where("o_orderkey % 4 <> 1").select(F.col("o_orderkey").alias("node"))
-    return G.splice(edges, present, 6)
+    return G.splice(edges, present)
 
 
 SPLICED_FLOW = """
@@ -70,13 +70,12 @@ SELECT DISTINCT src, dst FROM w WHERE dst IN (SELECT node FROM p) AND src <> dst
 
 def flow_reach(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + F.col("c_nationkey") + 1).alias("dst"))
-    starts = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("node"))
-    return G.reachable(edges, starts, 5)
+    return G.reachable(edges, edges.select(F.col("src").alias("node")), 5)
 
 
 FLOW_REACH = """
 WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey + c_nationkey + 1 AS dst FROM customer),
-w(start, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT w.start, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 5)
+w(start, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT w.start, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 5)
 SELECT start, node, min(depth) AS depth FROM w GROUP BY 1, 2
 """
 
@@ -97,12 +96,12 @@ SELECT id, CASE WHEN turn THEN dst ELSE src END AS src, CASE WHEN turn THEN src
 
 
 def line_sections(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 40).alias("first"), (F.col("l_suppkey") % 40).alias("last"), F.col("l_returnflag").alias("kind"))
+    raw = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("first"), F.col("l_suppkey").alias("last"), F.col("l_returnflag").alias("kind"))
     return G.section_ranges(raw)
 
 
 LINE_SECTIONS = """
-WITH r AS (SELECT l_orderkey AS doc, least(l_partkey % 40, l_suppkey % 40) AS first, greatest(l_partkey % 40, l_suppkey % 40) AS last, l_returnflag AS kind FROM lineitem),
+WITH r AS (SELECT l_orderkey AS doc, least(l_partkey, l_suppkey) AS first, greatest(l_partkey, l_suppkey) AS last, l_returnflag AS kind FROM lineitem),
 c AS (SELECT doc, greatest(first, coalesce(max(last) OVER (PARTITION BY doc ORDER BY first, last, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, first)) AS first, last, kind FROM r)
 SELECT doc, first, last, kind FROM c WHERE first <= last
 """
@@ -112,7 +111,7 @@ def lexical_top(spark: SparkSession, d: str) -> DataFrame:
     """For every document the five catalogue items with the best token overlap, each for the top of its list."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text")
-    best = M.top(M.shared_tokens(docs, items), 5)
+    best = M.best_by_tokens(docs, items, 5)
     return best.select("id", "item", F.round("score", 9).alias("score"), "rank")
 
 
@@ -126,10 +125,14 @@ SELECT id, item, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVE
 
 def verbatim_matches(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return M.contained(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text"))
+    found = M.contained(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text"))
+    return found.select("id", "item").distinct()
 
 
-VERBATIM_MATCHES = "SELECT doc_id AS id, item_id AS item FROM documents d, benchmark b WHERE contains(d.text, b.text)"
+VERBATIM_MATCHES = r"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM benchmark)
+SELECT DISTINCT doc_id AS id, item_id AS item FROM d, b WHERE b.t <> '' AND contains(d.t, b.t)
+"""
 
 
 def semantic_top(spark: SparkSession, d: str) -> DataFrame:

@@ -5,42 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.functions import keys as K, scores as S, text as T
+from loam.operators import bundle as B, entities as E, picks as P
+from loam.plans import feedback_queries
 from loam.sources.tables import table
 
 
 def quote_caps(spark: SparkSession, d: str) -> DataFrame:
-    """Picks held at possible and 0.6 whose quote is empty, not in the text, or unknown to the source."""
-    c = table(spark, d, "conversations")
-    quote = F.when(F.col("turn") % 4 == 0, F.lit("")).when(F.col("turn") % 4 == 1, F.concat(F.substring("text", 1, 20), F.lit("~"))).otherwise(F.substring("text", 1, 50))
-    known = T.tokens(F.substring("text", 1, 30), 4)
-    told = c.select("conv_id", "turn", "text", quote.alias("q"), known.alias("known"), ((F.col("conv_id") % 100) / 100).alias("c")).withColumn("q", T.trimmed(F.col("q")))
-    share = T.support(F.col("q"), F.col("known"))
-    reason = F.when(F.col("q") == "", "empty").when(~F.contains("text", "q"), "not verbatim").when(share < 0.5, "unsupported")
-    return told.select("conv_id", "turn", F.coalesce(reason, F.lit("kept")).alias("reason"), F.when(reason.isNotNull(), F.least("c", F.lit(0.6))).otherwise(F.col("c")).alias("confidence"))
+    """Picks whose quote the chunk's words do not support lose their definite bucket; each turn quotes the turn after it."""
+    c = table(spark, d, "conversations").dropDuplicates(["conv_id", "turn"])
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("source_quote"))
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    picks = c.join(after, ["conv_id", "turn"], "left").select(key.alias("chunk_id"), "source_quote", F.when(F.col("turn") % 2 == 0, "definite").otherwise("possible").alias("confidence_bucket"))
+    return P.quote_capped(picks, c.select(key.alias("chunk_id"), "text")).select("chunk_id", "confidence_bucket", "quote_unsupported")
 
 
 QUOTE_CAPS = r"""
-WITH t AS (SELECT conv_id, turn, text, regexp_replace(CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN substr(text, 1, 20) || '~' ELSE substr(text, 1, 50) END, '^\s+|\s+$', '', 'g') AS q, list_distinct(regexp_extract_all(lower(substr(text, 1, 30)), '[a-z]{4,}')) AS k, (conv_id % 100) / 100.0::DOUBLE AS c FROM conversations),
-s AS (SELECT *, list_distinct(regexp_extract_all(lower(q), '[a-z]{4,}')) AS w FROM t),
-r AS (SELECT *, CASE WHEN q = '' THEN 'empty' WHEN NOT contains(text, q) THEN 'not verbatim' WHEN len(w) >= 4 AND len(k) > 0 AND len(list_intersect(w, k)) / len(w)::DOUBLE < 0.5 THEN 'unsupported' ELSE 'kept' END AS reason FROM s)
-SELECT conv_id, turn, reason, CASE WHEN reason = 'kept' THEN c ELSE least(c, 0.6::DOUBLE) END AS confidence FROM r
+WITH c AS (SELECT conv_id, turn, any_value(text) AS text FROM conversations GROUP BY 1, 2),
+t AS (SELECT c.*, list_distinct(regexp_extract_all(lower(n.text), '[a-z]{4,}')) AS q, list_distinct(regexp_extract_all(lower(c.text), '[a-z]{4,}')) AS k FROM c LEFT JOIN c n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1),
+u AS (SELECT *, coalesce(len(q) >= 4 AND len(k) > 0 AND len(list_intersect(q, k)) / len(q)::DOUBLE < 0.5, false) AS bad FROM t)
+SELECT conv_id || '-' || turn AS chunk_id, CASE WHEN turn % 2 = 1 THEN 'possible' WHEN bad THEN 'probable' ELSE 'definite' END AS confidence_bucket, bad AS quote_unsupported FROM u
 """
 
 
 def platform_demotions(spark: SparkSession, d: str) -> DataFrame:
-    """Picks whose technique's platforms do not meet the source's go to possible at 0.5; no signal, no filter."""
-    p = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_set(F.when(F.col("p_size") > 48, F.col("p_type")))).alias("has"))
-    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("k"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 5 + 1).cast("string"), (F.col("o_orderkey") % 5 + 1).cast("string")).alias("brand"))
-    wants = table(spark, d, "part").groupBy((F.col("p_size") % 3).cast("long").alias("k")).agg(F.array(F.min("p_type")).alias("wants"))
-    told = o.join(p, "brand", "left").join(wants, "k")
-    clash = F.coalesce((F.size("has") > 0) & ~F.arrays_overlap("has", "wants"), F.lit(False))
-    return told.select("o_orderkey", clash.alias("mismatch"), F.when(clash, F.lit(0.5)).otherwise(F.lit(0.9)).alias("confidence"))
+    """Picks (lines) whose part's types do not meet those of the order's first part go to possible at 0.5 at most."""
+    li, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    platforms = p.select(F.col("p_partkey").alias("technique_id"), F.array("p_type").alias("platforms"))
+    firsts = li.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.min("l_partkey").alias("technique_id")).where("chunk_id % 5 > 0").join(platforms, "technique_id").select("chunk_id", "platforms")
+    picks = li.select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("technique_id")).distinct().select("*", F.lit(0.9).alias("confidence"), F.lit("definite").alias("confidence_bucket"))
+    return P.demoted(picks, firsts, platforms).select("chunk_id", "technique_id", "confidence", "confidence_bucket", "platform_mismatch")
 
 
 PLATFORM_DEMOTIONS = """
-WITH p AS (SELECT p_brand AS brand, list(DISTINCT p_type) FILTER (p_size > 48) AS has FROM part GROUP BY 1), w AS (SELECT p_size % 3 AS k, min(p_type) AS w FROM part GROUP BY 1),
-t AS (SELECT o_orderkey, coalesce(len(has) > 0 AND NOT list_contains(has, w), false) AS m FROM orders LEFT JOIN p ON brand = 'Brand#' || (o_custkey % 5 + 1) || (o_orderkey % 5 + 1) JOIN w ON k = o_custkey % 3)
-SELECT o_orderkey, m AS mismatch, CASE WHEN m THEN 0.5 ELSE 0.9 END AS confidence FROM t
+WITH k AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), f AS (SELECT o, p_type AS t FROM (SELECT o, min(p) AS p FROM k GROUP BY 1) JOIN part ON p_partkey = p WHERE o % 5 > 0),
+m AS (SELECT k.*, coalesce(f.t <> p_type, false) AS m FROM k JOIN part ON p_partkey = p LEFT JOIN f USING (o))
+SELECT o AS chunk_id, p AS technique_id, CASE WHEN m THEN 0.5 ELSE 0.9 END AS confidence, CASE WHEN m THEN 'possible' ELSE 'definite' END AS confidence_bucket, m AS platform_mismatch FROM m
 """
 
 
@@ -71,14 +70,16 @@ SELECT key, count(*) AS n, (min((conv_id, turn)))[1] AS conv_id, (min((conv_id,
 
 
 def tuple_semantics(spark: SparkSession, d: str) -> DataFrame:
-    """Procedures (orders) by what they miss: an error at confidence 70 and more, else a warning; no coverage excuses log sources."""
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_quantity") > 25).alias("ap"), F.count_if(F.col("l_discount") > 0.08).alias("ls"), F.count_if(F.col("l_tax") > 0.06).alias("c"))
-    o = table(spark, d, "orders").join(lines, "o_orderkey", "left").na.fill(0, ["ap", "ls", "c"])
-    sure = (F.col("o_orderkey") * 13 % 101) >= 70
-    excused = F.col("o_orderstatus") == "P"
-    errors = F.filter(F.array(F.when((F.col("ap") == 0) & sure, F.lit("AP")), F.when((F.col("ls") == 0) & sure & ~excused, F.lit("LS"))), lambda x: x.isNotNull())
-    warns = F.filter(F.array(F.when((F.col("ap") == 0) & ~sure, F.lit("AP")), F.when((F.col("ls") == 0) & (~sure | excused), F.lit("LS")), F.when(F.col("c") == 0, F.lit("C"))), lambda x: x.isNotNull())
-    return o.select("o_orderkey", F.array_join(errors, ",").alias("errors"), F.array_join(warns, ",").alias("warnings"), (F.size(errors) == 0).alias("valid"))
+    """Procedures (orders) by what they lack of techniques, log sources and components; some have no coverage."""
+    ids = lambda test: F.transform(F.filter(F.collect_list(F.when(test, F.col("l_partkey"))), lambda x: x.isNotNull()), lambda x: x.cast("string"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(ids(F.col("l_quantity") > 25).alias("ap"), ids(F.col("l_discount") > 0.08).alias("ls"), ids(F.col("l_tax") > 0.06).alias("c"))
+    o = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    none = F.array().cast("array<string>")
+    lists = F.map_from_arrays(F.array(*map(F.lit, ("x_technique_refs", "x_log_source_refs", "x_components_refs"))), F.array(*[F.coalesce(c, none) for c in ("ap", "ls", "c")]))
+    objects = o.select(F.col("o_custkey").alias("bundle"), F.col("o_orderkey").cast("string").alias("id"), F.lit("x-procedure").alias("type"), lists.alias("lists"), "o_orderkey", "o_orderstatus")
+    sure = objects.select("bundle", "id", (F.col("o_orderkey") * 13 % 101).alias("confidence"))
+    found = B.tuple_semantics(objects, sure, objects.where("o_orderstatus = 'P'"))
+    return found.select(F.col("id").cast("long").alias("o_orderkey"), F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "valid")
 
 
 TUPLE_SEMANTICS = """
@@ -90,29 +91,28 @@ SELECT o_orderkey, concat_ws(',', CASE WHEN a AND sure THEN 'AP' END, CASE WHEN
 
 
 def auto_removal(spark: SparkSession, d: str) -> DataFrame:
-    """Entities without a review: denied ones go, unsure ones go, all others are approved; a review decides otherwise."""
+    """Events as entities of their users: denied values go, unsure ones go, others are approved; a review decides otherwise."""
     e = table(spark, d, "events")
-    action = F.when(F.col("event_id") % 10 == 0, F.lit("edit")).when(F.col("user_id") % 50 == 7, F.lit("remove_denied")).when(F.col("value") < 5, F.lit("remove_unsure")).otherwise("approve")
-    return e.groupBy("event_type", action.alias("action")).agg(F.count("*").alias("n"))
+    entities = e.select(F.col("event_id").alias("entity_id"), F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("value"), F.col("event_type").alias("entity_type"), (F.col("value") / 50 < 0.4).alias("low_confidence"))
+    terms = e.where("event_type = 'error' and value > 45").select(F.concat(F.lit(" USER"), F.col("user_id").cast("string")).alias("value"), F.when(F.col("event_id") % 2 == 0, F.array(F.lit("click"), F.lit("view"))).alias("scope"))
+    reviews = e.where("event_id % 10 = 0").select(F.col("event_id").alias("entity_id"), F.lit("edit").alias("action"))
+    found = E.unreviewed_actions(E.denied(entities, terms), reviews)
+    return found.groupBy("entity_type", "gate_action", F.coalesce("removal_reason", F.lit("-")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 AUTO_REMOVAL = """
-SELECT event_type, CASE WHEN event_id % 10 = 0 THEN 'edit' WHEN user_id % 50 = 7 THEN 'remove_denied' WHEN value < 5 THEN 'remove_unsure' ELSE 'approve' END AS action, count(*) AS n FROM events GROUP BY 1, 2
+WITH t AS (SELECT user_id, bool_or(event_id % 2 = 1) AS open, true AS any_ FROM events WHERE event_type = 'error' AND value > 45 GROUP BY 1),
+d AS (SELECT e.*, coalesce(open OR event_type IN ('click', 'view') AND (SELECT count(*) FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.value > 45 AND x.event_id % 2 = 0) > 0, false) AS den FROM events e LEFT JOIN t USING (user_id))
+SELECT event_type AS entity_type, CASE WHEN event_id % 10 = 0 THEN 'edit' WHEN den OR value / 50 < 0.4 THEN 'remove' ELSE 'approve' END AS gate_action, CASE WHEN event_id % 10 = 0 THEN '-' WHEN den THEN 'denylisted' WHEN value / 50 < 0.4 THEN 'low confidence' ELSE '-' END AS reason, count(*) AS n FROM d GROUP BY 1, 2, 3
 """
 
 
 def pattern_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """The report of 15 rules (users): candidates by occurrence, then ranked by score, occurrence and last time seen."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.bool_or(F.col("event_type") == "error").alias("keyword"))
-    candidates = e.orderBy(F.desc("n"), F.desc("last"), "user_id").limit(80)
-    score = F.col("clicks") / F.col("n") + F.when(F.col("keyword"), 0.3).otherwise(0.0) + 0.15 * (F.col("user_id") % 7) / 7
-    return candidates.withColumn("score", score).orderBy(F.desc("score"), F.desc("n"), F.desc("last"), "user_id").limit(15).select("user_id", "n", F.round("score", 6).alias("score"))
+    """How many sources each rule is told to, and its best rank; pinned ones have rank 0."""
+    return feedback_queries.rule_ranking(spark, d).groupBy("pattern_id").agg(F.count("*").alias("told"), F.min("rank").alias("best"))
 
 
-PATTERN_RANKING = """
-WITH c AS (SELECT user_id, count(*) AS n, max(ts) AS last, count(*) FILTER (event_type = 'click') AS clicks, bool_or(event_type = 'error') AS k FROM events GROUP BY 1 ORDER BY n DESC, last DESC, user_id LIMIT 80)
-SELECT user_id, n, round(score, 6) AS score FROM (SELECT *, clicks / n::DOUBLE + CASE WHEN k THEN 0.3::DOUBLE ELSE 0 END + 0.15::DOUBLE * (user_id % 7) / 7 AS score FROM c) ORDER BY score DESC, n DESC, last DESC, user_id LIMIT 15
-"""
+PATTERN_RANKING = f"SELECT pattern_id, count(*) AS told, min(rank)::INT AS best FROM ({feedback_queries.RULE_RANKING}) GROUP BY 1"
 
 
 def published_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -129,10 +129,10 @@ SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-
 
 def routed_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges of a flow led through a node where paths part and one where they meet; the pairs are distinct."""
-    e = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 60 + 1000).alias("dst")).distinct()
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst")).distinct()
     out = e.groupBy("src").agg(F.count("*").alias("out_n"))
     into = e.groupBy("dst").agg(F.count("*").alias("in_n"))
-    told = e.where("src % 7 < 2 and dst % 5 < 2").join(out, "src").join(into, "dst")
+    told = e.join(out, "src").join(into, "dst")
     a, b = F.col("src").cast("string"), F.col("dst").cast("string")
     branch, meet = F.when(F.col("out_n") >= 2, F.concat(F.lit("branch-"), a)), F.when(F.col("in_n") >= 2, F.concat(F.lit("meet-"), b))
     stops = F.filter(F.array(a, branch, meet, b), lambda x: x.isNotNull())
@@ -141,8 +141,8 @@ def routed_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 ROUTED_EDGES = """
-WITH e AS (SELECT DISTINCT l_suppkey % 50 AS src, l_partkey % 60 + 1000 AS dst FROM lineitem), o AS (SELECT src, count(*) >= 2 AS o FROM e GROUP BY 1), i AS (SELECT dst, count(*) >= 2 AS i FROM e GROUP BY 1),
-t AS (SELECT list_filter([src::VARCHAR, CASE WHEN o THEN 'branch-' || src END, CASE WHEN i THEN 'meet-' || dst END, dst::VARCHAR], lambda x: x IS NOT NULL) AS s FROM e JOIN o USING (src) JOIN i USING (dst) WHERE src % 7 < 2 AND dst % 5 < 2)
+WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000 AS dst FROM lineitem), o AS (SELECT src, count(*) >= 2 AS o FROM e GROUP BY 1), i AS (SELECT dst, count(*) >= 2 AS i FROM e GROUP BY 1),
+t AS (SELECT list_filter([src::VARCHAR, CASE WHEN o THEN 'branch-' || src END, CASE WHEN i THEN 'meet-' || dst END, dst::VARCHAR], lambda x: x IS NOT NULL) AS s FROM e JOIN o USING (src) JOIN i USING (dst))
 SELECT DISTINCT h.a AS src, h.b AS dst FROM (SELECT unnest(list_transform(range(1, len(s)), lambda k: {'a': s[k], 'b': s[k + 1]})) AS h FROM t)
 """
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.functions import scores as S, text as T
-from loam.operators import records as R
+from loam.operators import entities as E, picks as P, records as R, turns as N
+from loam.plans import feedback_queries
 from loam.sources.tables import table
 
 #: A fixed "now", so that ages do not depend on the day a query runs.
@@ -24,25 +25,23 @@ _PICKS = """p AS (SELECT user_id AS chunk, event_type AS technique, (event_id *
 
 
 def entity_intake(spark: SparkSession, d: str) -> DataFrame:
-    """Raw entities cleaned: known types only, addresses refanged, victims' accounts dropped, first of a value wins."""
-    e = table(spark, d, "events")
-    host = F.concat(F.when(F.col("event_id") % 2 == 0, F.lit("Host")).otherwise(F.lit("host")), F.col("user_id").cast("string"), F.when(F.col("event_id") % 3 == 0, F.lit("[.]net")).otherwise(F.lit(".net")))
-    kind = F.create_map(*[F.lit(x) for x in ("click", "domain-name", "view", "url", "purchase", "tool", "signup", "unknown-kind", "error", "email-addr")])[F.col("event_type")]
-    raw = e.select(F.col("event_id").alias("pos"), kind.alias("entity_type"), host.alias("raw"), (F.col("value") / 50 - 0.2).alias("confidence"))
-    known = raw.where(F.col("entity_type").isin("domain-name", "url", "tool", "email-addr"))
-    clean = known.withColumn("value", F.when(F.col("entity_type").isin("domain-name", "url"), T.refang(F.col("raw"))).otherwise(T.trimmed(F.col("raw"))))
-    ours = clean.where(~((F.col("entity_type") == "email-addr") & F.col("value").contains("host1")))
-    kept = R.first_wins(ours.withColumn("folded", F.lower("value")), ["folded", "entity_type"], "pos")
-    sure = T.clamp(F.coalesce("confidence", F.lit(0.5)))
-    return kept.select("pos", "entity_type", "value", F.round(sure, 6).alias("confidence"), (sure < 0.4).alias("low_confidence"))
+    """Raw entities cleaned: known types only, addresses refanged, placeholders and victims' accounts dropped, first of a value wins."""
+    e, k, u = table(spark, d, "events"), F.col("event_id"), F.col("user_id").cast("string")
+    kind = F.element_at(F.array(*map(F.lit, ("ioc_domain", "ioc_url", "tool", "unknown", "ioc_email", "organization", "location"))), (k % 7 + 1).cast("int"))
+    host = F.concat(F.when(k % 2 == 0, F.lit("Host")).otherwise(F.lit(" host")), u, F.when(k % 3 == 0, F.lit("[.]net")).otherwise(F.lit(".net")))
+    value = F.when(k % 11 == 0, F.lit(" ")).when(k % 13 == 0, F.concat(F.lit("<org>."), host)).when((k % 5 == 0) & (kind == "ioc_email"), F.concat(F.lit("victim.user@"), host)).otherwise(host)
+    raw = e.select((F.col("user_id") % 10).alias("source_id"), k.alias("position"), value.alias("value"), kind.alias("entity_type"), F.when(k % 17 > 0, F.col("value") / 40 - 0.1).alias("confidence"), F.when(k % 2 == 0, "victim").otherwise("owner").alias("organization_role"), F.lit(None).cast("string").alias("location_role"))
+    found = E.taken_in(raw)
+    return found.select("source_id", "position", "entity_type", "value", F.round("confidence", 6).alias("confidence"), "low_confidence", F.coalesce("organization_role", "location_role", F.lit("-")).alias("role"))
 
 
 ENTITY_INTAKE = """
-WITH r AS (SELECT event_id AS pos, CASE event_type WHEN 'click' THEN 'domain-name' WHEN 'view' THEN 'url' WHEN 'purchase' THEN 'tool' WHEN 'error' THEN 'email-addr' END AS entity_type,
-  (CASE WHEN event_id % 2 = 0 THEN 'Host' ELSE 'host' END) || user_id AS h, event_id % 3 = 0 AS bent, value / 50 - 0.2 AS c FROM events WHERE event_type <> 'signup'),
-v AS (SELECT *, h || CASE WHEN bent AND entity_type IN ('tool', 'email-addr') THEN '[.]net' ELSE '.net' END AS value FROM r),
-k AS (SELECT *, row_number() OVER (PARTITION BY lower(value), entity_type ORDER BY pos) AS n FROM v WHERE NOT (entity_type = 'email-addr' AND contains(value, 'host1')))
-SELECT pos, entity_type, value, round(least(greatest(c, 0.0), 1.0), 6) AS confidence, least(greatest(c, 0.0), 1.0) < 0.4 AS low_confidence FROM k WHERE n = 1
+WITH r AS (SELECT user_id % 10 AS s, event_id AS k, user_id AS u, ['ioc_domain', 'ioc_url', 'tool', 'unknown', 'ioc_email', 'organization', 'location'][event_id % 7 + 1] AS t, CASE WHEN event_id % 17 > 0 THEN value / 40 - 0.1 ELSE 0.5 END AS c FROM events),
+h AS (SELECT *, (CASE WHEN k % 2 = 0 THEN 'Host' ELSE 'host' END) || u || CASE WHEN k % 3 = 0 AND t NOT IN ('ioc_domain', 'ioc_url') THEN '[.]net' ELSE '.net' END AS h, k % 13 = 0 AS ph, t IN ('ioc_domain', 'ioc_url', 'ioc_email') AS ind FROM r WHERE t <> 'unknown' AND k % 11 <> 0),
+v AS (SELECT *, CASE WHEN ph AND ind THEN CASE WHEN k % 2 = 0 THEN h ELSE h END WHEN ph THEN '<org>.' || CASE WHEN k % 2 = 0 THEN h ELSE ' ' || h END WHEN k % 5 = 0 AND t = 'ioc_email' THEN 'victim' ELSE h END AS v FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY s, lower(v), t ORDER BY k) AS n FROM v WHERE v <> 'victim')
+SELECT s AS source_id, k AS position, t AS entity_type, v AS value, round(least(greatest(c, 0.0), 1.0), 6) AS confidence, least(greatest(c, 0.0), 1.0) < 0.4 AS low_confidence,
+  CASE t WHEN 'organization' THEN CASE WHEN k % 2 = 0 THEN 'victim' ELSE 'other' END WHEN 'location' THEN 'context' ELSE '-' END AS role FROM n WHERE n = 1
 """
 
 
@@ -61,17 +60,16 @@ SELECT chunk, technique, confidence, pos, first_pos, CASE WHEN bucket = 'possibl
 
 
 def orphan_promotion(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks without any bundle pick get their best review pick, at confidence 0.7 or more."""
-    picks = _picks(spark, d).where("chunk % 5 <> 0 or bucket = 'possible'").withColumn("lane", S.lane(F.col("bucket")))
-    bundle = picks.where("lane = 'bundle'").select("chunk").distinct()
-    review = picks.where("lane = 'review'").groupBy("chunk").agg(F.max_by(F.struct("technique", "confidence", "pos"), F.struct("confidence", -F.col("pos"))).alias("p"))
-    return review.join(bundle, "chunk", "left_anti").select("chunk", "p.technique", "p.pos", F.greatest("p.confidence", F.lit(0.7)).alias("confidence"))
+    """Chunks (users and kinds of events) without any bundle pick get their best review pick."""
+    e = table(spark, d, "events")
+    picks = e.select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("chunk_id"), F.col("event_id").alias("technique_id"), F.col("event_id").alias("position"), (F.pmod(F.col("event_id") * 37, F.lit(101)) / 100).alias("confidence"), F.when(F.col("value") > 8, "review").otherwise("bundle").alias("lane"))
+    return P.best_orphans(picks, picks.select("chunk_id"))
 
 
-ORPHAN_PROMOTION = f"""
-WITH {_PICKS}, k AS (SELECT *, CASE WHEN bucket = 'possible' THEN 'review' ELSE 'bundle' END AS lane FROM p WHERE chunk % 5 <> 0 OR bucket = 'possible'),
-r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY confidence DESC, pos) AS n FROM k WHERE lane = 'review' AND chunk NOT IN (SELECT chunk FROM k WHERE lane = 'bundle'))
-SELECT chunk, technique, pos, greatest(confidence, 0.7) AS confidence FROM r WHERE n = 1
+ORPHAN_PROMOTION = """
+WITH p AS (SELECT user_id || '-' || event_type AS c, event_id AS k, (event_id * 37 % 101) / 100.0::DOUBLE AS q, value > 8 AS review FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY q DESC, k) AS n FROM p WHERE c NOT IN (SELECT c FROM p WHERE NOT review))
+SELECT c AS chunk_id, k AS technique_id FROM r WHERE n = 1
 """
 
 
@@ -145,19 +143,13 @@ SELECT user_id, hits, misses, round(s, 6) AS salience, s < 0.05 AND age > 90 AS
 
 
 def reviewer_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Per gate (event type) and confidence tier: items, distinct sources, agreed and the rate; moot items left out."""
-    e = table(spark, d, "events").where("event_id % 11 <> 0")
-    tier = F.when(F.col("value") >= 40, "high").when(F.col("value") >= 15, "medium").otherwise("low")
-    agreed = F.count_if(F.col("event_id") % 3 != 0)
-    return e.groupBy(F.col("event_type").alias("gate"), tier.alias("tier")).agg(
-        F.count("*").alias("items"), F.countDistinct("user_id").alias("sources"), agreed.alias("agreed"), S.rate(agreed, F.count("*")).alias("rate"),
-    )
+    """Agreement of each gate by kind of advice; moot advice does not count."""
+    return feedback_queries.B.agreement(feedback_queries._turns(spark, d))["kinds"]
 
 
-REVIEWER_AGREEMENT = """
-SELECT event_type AS gate, CASE WHEN value >= 40 THEN 'high' WHEN value >= 15 THEN 'medium' ELSE 'low' END AS tier, count(*) AS items, count(DISTINCT user_id) AS sources,
-  count(*) FILTER (event_id % 3 <> 0) AS agreed, round(count(*) FILTER (event_id % 3 <> 0) / count(*)::DOUBLE, 3) AS rate
-FROM events WHERE event_id % 11 <> 0 GROUP BY 1, 2
+REVIEWER_AGREEMENT = f"""
+WITH {feedback_queries._TURNS} SELECT gate AS gate_key, ['entity', 'addition'][event_id % 2 + 1] AS kind, count(*) FILTER (event_id % 3 <> 0) AS agreed, count(*) AS total,
+  round(count(*) FILTER (event_id % 3 <> 0) / count(*)::DOUBLE, 3) AS rate FROM i WHERE event_id % 11 <> 0 GROUP BY 1, 2
 """
 
 
@@ -196,10 +188,9 @@ ORDER BY mean DESC NULLS LAST, n DESC, last DESC, user_id LIMIT 20 OFFSET 10
 
 def status_board(spark: SparkSession, d: str) -> DataFrame:
     """Orders by board column; every column is present, unknown statuses fall into the default one."""
-    o = table(spark, d, "orders")
     to = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("working")
-    board = spark.createDataFrame([("queued", 1), ("working", 2), ("review", 3), ("done", 4)], "board string, place int")
-    return F.broadcast(board).join(o.groupBy(to.alias("board")).agg(F.count("*").alias("n")), "board", "left").select("board", "place", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    columns = spark.createDataFrame([("queued", 1), ("working", 2), ("review", 3), ("done", 4)], "board string, place int")
+    return N.board(table(spark, d, "orders"), to, columns)
 
 
 STATUS_BOARD = """
@@ -208,11 +199,24 @@ LEFT JOIN (SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued'
 """
 
 
+def status_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Users' sources by their last event, and those completed on the last day."""
+    e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    last = N.latest(e, ["user_id"], ["at", "event_id"])
+    sources = last.select(F.when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type")).alias("status"), F.col("at").alias("updated_at"))
+    return N.status_counts(sources, F.lit("2024-01-30 12:00:00").cast("timestamp"))
+
+
+STATUS_TOTALS = """
+WITH l AS (SELECT arg_max(event_type, (ts, event_id)) AS t, max(ts) AS seen FROM events GROUP BY user_id), s AS (SELECT CASE WHEN t = 'purchase' THEN 'completed' ELSE t END AS status, seen FROM l)
+SELECT status, count(*) AS n FROM s GROUP BY 1 UNION ALL SELECT 'completed today', count(*) FROM s WHERE status = 'completed' AND seen::DATE = DATE '2024-01-30' HAVING count(*) > 0
+"""
+
+
 def latest_turns(spark: SparkSession, d: str) -> DataFrame:
-    """The newest turn of each role in a conversation and how many came before it; hot conversations combine map side."""
-    c = table(spark, d, "conversations")
-    last = c.groupBy("conv_id", "role").agg(F.max_by(F.struct("turn", "text"), F.struct("turn", "text")).alias("t"), F.count("*").alias("passes"))
-    return last.select("conv_id", "role", "passes", "t.turn", T.short_hash(F.col("t.text")).alias("text_hash"))
+    """The newest turn of each role in a conversation and how many came before it."""
+    last = N.latest(table(spark, d, "conversations"), ["conv_id", "role"], ["turn", "text"])
+    return last.select("conv_id", "role", "passes", "turn", T.short_hash(F.col("text")).alias("text_hash"))
 
 
 LATEST_TURNS = """
@@ -222,9 +226,8 @@ SELECT conv_id, role, count(*) AS passes, max(turn) AS turn, substr(sha256(lower
 
 def prior_turns(spark: SparkSession, d: str) -> DataFrame:
     """For every turn, the running number of turns and characters before it."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("turn", "role", "n").rowsBetween(Window.unboundedPreceding, -1)
-    return c.select("conv_id", "turn", "role", F.count("n").over(before).alias("n_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("chars_before"))
+    c = table(spark, d, "conversations").withColumn("n", F.length("text"))
+    return N.with_prior(c, "conv_id", ["turn", "role", "n"], "text").select("conv_id", "turn", "role", "n_before", "chars_before")
 
 
 PRIOR_TURNS = """
@@ -234,31 +237,47 @@ WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, n ROWS BETWEEN UNBOUNDED
 
 
 def denylist_scope(spark: SparkSession, d: str) -> DataFrame:
-    """Entities against a denylist with optional scope by type; an unscoped entry matches any type."""
-    e = table(spark, d, "events").select("event_id", F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("value"), F.col("event_type").alias("kind"))
-    deny = spark.createDataFrame([("user1", None), ("user2", ["click", "view"]), ("user3", ["error"])], "term string, scope array<string>")
-    hit = (F.lower("value") == F.col("term")) & (F.col("scope").isNull() | F.array_contains("scope", F.col("kind")))
-    return e.join(F.broadcast(deny), hit, "left").select("event_id", "value", "kind", F.col("term").isNotNull().alias("denied"))
+    """Events as entities against a denylist with optional scope by type, made of the rules that were promoted."""
+    e = table(spark, d, "events")
+    entities = e.select("event_id", F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("value"), F.col("event_type").alias("entity_type"))
+    patterns = e.select(F.col("event_id").alias("pattern_id"), F.when(F.col("value") > 48, "promoted").otherwise("active").alias("status"), F.array(F.concat(F.lit(" USER"), (F.col("user_id") + 1).cast("string"))).alias("values"), F.when(F.col("event_id") % 3 > 0, F.array("event_type")).alias("entity_types"), F.array(F.concat(F.lit("T"), F.col("event_id").cast("string"))).alias("technique_ids"))
+    terms, _ = P.denylist_terms(patterns)
+    return E.denied(entities, terms).select("event_id", "value", "entity_type", F.col("denylisted").alias("denied"))
 
 
 DENYLIST_SCOPE = """
-SELECT event_id, 'User' || user_id AS value, event_type AS kind, user_id = 1 OR (user_id = 2 AND event_type IN ('click', 'view')) OR (user_id = 3 AND event_type = 'error') AS denied FROM events
+WITH t AS (SELECT user_id + 1 AS u, event_type AS k, event_id % 3 = 0 AS open FROM events WHERE value > 48)
+SELECT event_id, 'User' || user_id AS value, event_type AS entity_type, EXISTS (SELECT 1 FROM t WHERE u = user_id AND open) OR EXISTS (SELECT 1 FROM t WHERE u = user_id AND k = event_type) AS denied FROM events
 """
 
 
 def verbatim_index(spark: SparkSession, d: str) -> DataFrame:
-    """Part names as strings of an index: kept if few brands use them, with the brands in order."""
-    p = table(spark, d, "part").groupBy(F.lower("p_name").alias("string")).agg(F.array_sort(F.collect_set("p_brand")).alias("b"))
-    return p.where(F.size("b") <= 30).select("string", F.size("b").alias("n"), F.array_join("b", ",").alias("brands"))
+    """Names with their type as strings of an index: kept if three brands at most use them, with the brands in order."""
+    p = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type", (F.col("p_size") % 10).cast("string")).alias("string"), F.col("p_brand").alias("technique_id"))
+    return P.verbatim_strings(p).select("string", F.size("techniques").alias("n"), F.array_join("techniques", ",").alias("brands"))
 
 
 VERBATIM_INDEX = """
-SELECT lower(p_name) AS string, count(DISTINCT p_brand)::INT AS n, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) <= 30
+SELECT lower(p_name || ' ' || p_type || ' ' || p_size % 10) AS string, count(DISTINCT p_brand)::INT AS n, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM part
+WHERE length(p_name || ' ' || p_type || ' ' || p_size % 10) >= 8 GROUP BY 1 HAVING count(DISTINCT p_brand) <= 3
+"""
+
+
+def techniques_in_play(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that lines, parts of a size and orders' picks name, and how many of the three do."""
+    li, p, o = table(spark, d, "lineitem"), table(spark, d, "part"), table(spark, d, "orders")
+    tid = lambda c: F.concat(F.lit("T"), F.col(c).cast("string")).alias("technique_id")
+    return P.in_play(picked=li.select(tid("l_partkey")), listed=p.where("p_size < 10").select(tid("p_partkey")), proposed=o.select(tid("o_custkey")))
+
+
+TECHNIQUES_IN_PLAY = """
+WITH a AS (SELECT DISTINCT l_partkey AS k, 1 AS b FROM lineitem UNION SELECT p_partkey, 2 FROM part WHERE p_size < 10 UNION SELECT o_custkey, 3 FROM orders)
+SELECT 'T' || k AS technique_id, count(*)::INT AS n_sources FROM a GROUP BY 1
 """
 
 QUERIES = {f.__name__: (f, sql) for f, sql in (
     (entity_intake, ENTITY_INTAKE), (best_picks, BEST_PICKS), (orphan_promotion, ORPHAN_PROMOTION), (redirect_chains, REDIRECT_CHAINS), (order_upsert, ORDER_UPSERT),
     (default_decisions, DEFAULT_DECISIONS), (collision_suffix, COLLISION_SUFFIX), (pattern_salience, PATTERN_SALIENCE), (reviewer_agreement, REVIEWER_AGREEMENT),
     (draft_confidence, DRAFT_CONFIDENCE), (pattern_page, PATTERN_PAGE), (status_board, STATUS_BOARD), (latest_turns, LATEST_TURNS), (prior_turns, PRIOR_TURNS),
-    (denylist_scope, DENYLIST_SCOPE), (verbatim_index, VERBATIM_INDEX),
+    (denylist_scope, DENYLIST_SCOPE), (verbatim_index, VERBATIM_INDEX), (status_totals, STATUS_TOTALS), (techniques_in_play, TECHNIQUES_IN_PLAY),
 )}

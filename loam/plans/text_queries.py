@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.functions import text as T
+from loam.operators import entities as E
 from loam.sources.tables import table
 
-STOP = ["the", "and", "that", "for", "with", "from", "was", "are"]
 
 
 def text_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -42,12 +42,13 @@ FROM t a JOIN t b ON b.doc_id = a.doc_id + 1
 
 
 def overlap_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.overlap_tokens(F.col("text"), STOP)), " ").alias("tokens"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.overlap_tokens(F.col("text"), list(T.STOP_WORDS))), " ").alias("tokens"))
 
 
-OVERLAP_TOKENS = r"""
+STOP_LIST = "[" + ",".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+OVERLAP_TOKENS = rf"""
 SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\-./]+'),
-  lambda x: rtrim(x, '.,;:')), lambda x: length(x) > 2 AND NOT list_contains(['the','and','that','for','with','from','was','are'], x)))), ' ') AS tokens
+  lambda x: rtrim(x, '.,;:')), lambda x: length(x) > 2 AND NOT list_contains({STOP_LIST}, x)))), ' ') AS tokens
 FROM conversations
 """
 
@@ -128,24 +129,26 @@ SELECT doc_id, tid || ',' || tid || '.00' || doc_id % 9 AS found, true AS valid,
 
 
 def cve_forms(spark: SparkSession, d: str) -> DataFrame:
-    n, y = (F.col("event_id") + 1000).cast("string"), F.lit("2024")
+    """Identifiers in many written forms, made of prices and dates; too short numbers are none."""
+    o = table(spark, d, "orders")
+    n, y = F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy")
     forms = F.array(F.concat(F.lit("CVE-"), y, F.lit("-"), n), F.concat(F.lit("cve "), y, F.lit(" "), n), F.concat(F.lit("x Cve_"), y, F.lit("_"), n, F.lit("!")), F.concat(F.lit("no id "), n))
-    value = F.element_at(forms, (F.col("event_id") % 4 + 1).cast("int"))
-    return table(spark, d, "events").select("event_id", T.cve_id(value).alias("cve"))
+    value = F.element_at(forms, (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return o.select("o_orderkey", T.cve_id(value).alias("cve"))
 
 
-CVE_FORMS = "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN 'CVE-2024-' || (event_id + 1000) END AS cve FROM events"
+CVE_FORMS = "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 AND length(o_custkey::VARCHAR) BETWEEN 4 AND 7 THEN 'CVE-' || strftime(o_orderdate, '%Y') || '-' || o_custkey END AS cve FROM orders"
 
 
 def quote_support(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 400).alias("quote"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("quote"))
     items = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text"), 4).alias("known"))
     share = T.support(F.col("quote"), F.col("known"))
     return docs.join(items, "item_id").select("item_id", F.round(share, 9).alias("support"), F.coalesce(share >= 0.5, F.lit(True)).alias("grounded"))
 
 
 QUOTE_SUPPORT = r"""
-WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(substr(d.text, 1, 400)), '[a-z]{4,}')) AS q, list_distinct(regexp_extract_all(lower(b.text), '[a-z]{4,}')) AS k
+WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(d.text), '[a-z]{4,}')) AS q, list_distinct(regexp_extract_all(lower(b.text), '[a-z]{4,}')) AS k
   FROM documents d JOIN benchmark b ON d.doc_id = b.item_id),
 s AS (SELECT item_id, CASE WHEN len(q) >= 4 AND len(k) > 0 THEN len(list_intersect(q, k)) / len(q)::DOUBLE END AS s FROM q)
 SELECT item_id, round(s, 9) AS support, coalesce(s >= 0.5, true) AS grounded FROM s
@@ -185,15 +188,15 @@ FROM lineitem GROUP BY l_orderkey
 
 
 def rule_bodies(spark: SparkSession, d: str) -> DataFrame:
-    marks = ["condition:", "alert ", "detection:"]
-    head = F.substring("text", 1, 60)
-    content = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("alert "), head)).when(F.col("turn") % 3 == 1, head).otherwise(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", T.looks_like_rule(content, marks).alias("is_body"))
+    """Turns as detection rules: bodies stay, names and unknown types go; some turns are cut to their first word, as a name."""
+    name = F.element_at(F.split("text", " "), 1)
+    raw = table(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), "turn", F.when(F.col("turn") % 4 > 0, "yara").otherwise("other").alias("rule_type"), F.when(F.col("turn") % 3 == 0, name).otherwise(F.col("text")).alias("rule_content"))
+    return E.detection_rules(raw).select("source_id", "turn", F.length("rule_content").alias("n"))
 
 
 RULE_BODIES = r"""
-WITH c AS (SELECT conv_id, turn, trim(CASE turn % 3 WHEN 0 THEN 'alert ' || substr(text, 1, 60) WHEN 1 THEN substr(text, 1, 60) ELSE text END) AS c FROM conversations)
-SELECT conv_id, turn, contains(c, chr(10)) OR contains(c, 'condition:') OR contains(c, 'alert ') OR contains(c, 'detection:') OR length(c) > 120 AS is_body FROM c
+WITH c AS (SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 3 = 0 THEN string_split(text, ' ')[1] ELSE text END, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS c FROM conversations WHERE turn % 4 > 0)
+SELECT conv_id AS source_id, turn, length(c)::INT AS n FROM c WHERE c <> '' AND (contains(c, chr(10)) OR regexp_matches(c, '[:{}|=()$\\]|->') OR length(c) > 120)
 """
 
 QUERIES = {

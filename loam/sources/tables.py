@@ -19,6 +19,41 @@ def read_texts(spark: SparkSession, path: str, least: int = 10) -> DataFrame:
     return files.select("path", text.alias("text"), status.alias("status"), warnings.alias("warnings"))
 
 
+#: Source types that are read as text and as pages; documents and images need a layout model, which a caller passes.
+TEXT_TYPES, PAGE_TYPES = ("markdown", "free_text"), ("html",)
+
+
+def parsed(rows: DataFrame, layout=None, least: int = 10, few_words: int = 50) -> DataFrame:
+    """(source_id, parsed_text, status, warnings) of sources (source_id, source_type, content: bytes), by type.
+
+    Texts are decoded, bytes that are no UTF-8 become replacement signs; pages lose their tags; other types go through
+    ``layout`` (a Column function of the bytes) or fail without one. Nothing raises: a source that gives under ``least``
+    characters has failed and has an empty text.
+    """
+    decoded = F.make_valid_utf8(F.col("content").cast("string"))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(decoded, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]*>", " "), r"\s+", " "))
+    other = layout(F.col("content")) if layout is not None else F.lit(None).cast("string")
+    text = F.when(F.col("source_type").isin(*TEXT_TYPES), decoded).when(F.col("source_type").isin(*PAGE_TYPES), plain).otherwise(other)
+    told = rows.select("source_id", F.coalesce(text, F.lit("")).alias("text"))
+    good = F.length(F.trim("text")) >= least
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    warnings = F.when(~good, F.array(F.lit("nothing could be read"))).when(words < few_words, F.array(F.lit(f"fewer than {few_words} words"))).otherwise(F.array().cast("array<string>"))
+    return told.select("source_id", F.when(good, F.col("text")).otherwise("").alias("parsed_text"), F.when(good, "parsed").otherwise("failed").alias("status"), warnings.alias("warnings"))
+
+
+def write_figures(figures: DataFrame, path: str) -> None:
+    """Figures (source_id, place, kind, content) in a folder per source; ids with other signs than letters, digits, hyphens and underscores are refused."""
+    bad = figures.where(~F.rlike(F.col("source_id").cast("string"), F.lit(r"\A[A-Za-z0-9_-]+\z"))).limit(1).count()
+    if bad:
+        raise ValueError("a source's id is no safe folder name")
+    figures.write.mode("overwrite").partitionBy("source_id").parquet(path)
+
+
+def read_figures(spark: SparkSession, path: str, source_id: str) -> DataFrame:
+    """A source's figures in their order."""
+    return spark.read.option("basePath", path).parquet(f"{path}/source_id={source_id}").orderBy("place")
+
+
 CATALOGUE = T.StructType([
     T.StructField("objects", T.ArrayType(T.StructType([
         T.StructField("id", T.StringType()), T.StructField("type", T.StringType()), T.StructField("name", T.StringType()), T.StructField("description", T.StringType()),
