@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors. A vector is described by its ``nearest`` closest
-pivots, in order (equally close ones in the order of the sample), and stands in the inverted list of each. Two vectors are candidates if they share at least
+Reference points (pivots) are a bounded sample of the vectors, whose number grows as the root of the vectors. They stand in
+groups about as many pivots again, and a vector is compared with those of its GROUPS closest groups, so describing it costs
+the root of the pivots. A vector is described by its ``nearest`` closest pivots, in order (equally close ones in the order of the sample), and stands in the inverted list of each. Two vectors are candidates if they share at least
 ``shared`` pivots; a pair is counted in the list of its smallest shared pivot alone, so no pair is seen twice, and a
 vector need not enter the list of its largest one. Candidates are verified by cosine in double precision. Lists
 longer than a block are cut into blocks that hash, and each pair of blocks is one group: what comes out of a group is
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 from loam.llm.components import connected_components, forest
 from loam.llm.shared import hashed_share, saved
 
-#: Vectors in a block of an inverted list; bounds of the number of pivots, which is 4 times the root of the vectors.
-BLOCK, LEAST_PIVOTS, MOST_PIVOTS = 256, 64, 2048
+#: Vectors in a block of an inverted list; bounds of the number of pivots, which is 4 times the root of the vectors; groups of
+#: pivots that a vector is compared with.
+BLOCK, LEAST_PIVOTS, MOST_PIVOTS, GROUPS = 256, 64, 16_384, 8
 #: The largest cosine between two pivots.
 SPREAD = 0.8
 
@@ -42,25 +44,59 @@ def choose_pivots(unique: DataFrame, n_unique: int) -> dict[int, np.ndarray]:
     wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 4 * n_unique**0.5)))
     share = hashed_share(n_unique, 2 * wanted)
     sample = unique.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1_000_000)) < share)
-    rows = [r.embedding for r in sample.orderBy("rep", "label").select("embedding").limit(3 * MOST_PIVOTS).collect()]
+    rows = [r.embedding for r in sample.orderBy("rep", "label").select("embedding").limit(2 * wanted).collect()]
     pivots = {}
     for n in sorted(set(map(len, rows))):
         found = unit([v for v in rows if len(v) == n])
-        most, kept = -(-wanted * len(found) // len(rows)), found[:0]
+        most = -(-wanted * len(found) // len(rows))
+        kept, held = np.empty((min(most, len(found)), n)), 0
         for v in found:
-            if len(kept) == most:
+            if held == len(kept):
                 break
-            if not len(kept) or (kept @ v).max() <= SPREAD:
-                kept = np.vstack([kept, v])
-        pivots[n] = kept
+            if not held or (kept[:held] @ v).max() <= SPREAD:
+                kept[held] = v
+                held += 1
+        pivots[n] = kept[:held]
     return pivots
 
 
+def grouped(pivots: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the pivots that are closest to each of the first ones, as many groups as the root of the pivots."""
+    heads = pivots[: max(1, round(len(pivots) ** 0.5))]
+    of = np.argmax(pivots @ heads.T, axis=1)
+    return [np.nonzero(of == k)[0] for k in range(len(heads))]
+
+
+def closest(x: np.ndarray, pivots: np.ndarray, groups: list[np.ndarray], nearest: int) -> np.ndarray:
+    """Numbers of each row's ``nearest`` closest pivots among those of its GROUPS closest groups, closest first.
+
+    A row whose groups hold fewer is compared with all pivots.
+    """
+    nearest, n_groups = min(nearest, len(pivots)), min(GROUPS, len(groups))
+    top = np.argsort(-(x @ pivots[: len(groups)].T), axis=1, kind="stable")[:, :n_groups]
+    close = np.full((len(x), n_groups * nearest), -np.inf)
+    number = np.zeros(close.shape, np.int64)
+    for g in np.unique(top).tolist():
+        row, slot = np.nonzero(top == g)
+        cosines = x[row] @ pivots[groups[g]].T
+        m = min(nearest, cosines.shape[1])
+        best = np.argsort(-cosines, axis=1, kind="stable")[:, :m]
+        at = slot[:, None] * nearest + np.arange(m)
+        close[row[:, None], at] = np.take_along_axis(cosines, best, axis=1)
+        number[row[:, None], at] = groups[g][best]
+    order = np.argsort(-close, axis=1, kind="stable")[:, :nearest]
+    near = np.take_along_axis(number, order, axis=1)
+    few = np.take_along_axis(close, order, axis=1)[:, -1] == -np.inf
+    if few.any():
+        near[few] = np.argsort(-(x[few] @ pivots.T), axis=1, kind="stable")[:, :nearest]
+    return near
+
+
 def _describe(pivots: dict[int, np.ndarray], nearest: int):
     """Embedding -> numbers of its closest pivots, closest first; numbers go on from length to length. None for a length without pivots."""
-    first, at = {}, 0
+    first, groups, at = {}, {}, 0
     for n, p in pivots.items():
-        first[n], at = at, at + len(p)
+        first[n], groups[n], at = at, grouped(p), at + len(p)
 
     def nearest_pivots(embeddings: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in embeddings:
@@ -70,7 +106,7 @@ def _describe(pivots: dict[int, np.ndarray], nearest: int):
                 at = np.nonzero(length == n)[0] if n in pivots else np.zeros(0, np.int64)
                 for k in range(0, len(at), 2048):
                     some = at[k : k + 2048]
-                    near = np.argsort(-(unit(batch.iloc[some].tolist()) @ pivots[n].T), axis=1, kind="stable")[:, :nearest] + first[n]
+                    near = closest(unit(batch.iloc[some].tolist()), pivots[n], groups[n], nearest) + first[n]
                     for place, v in zip(some.tolist(), near.tolist(), strict=True):
                         order[place] = v
             yield pd.Series(order)

@@ -38,8 +38,15 @@ STARTS, FOLDS = (3, 4, 5, 6), 5
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+#: For texts of ASCII alone: letters lower-cased, all else blanks.
+_ASCII = "".join(chr(c).lower() if chr(c).isalpha() else " " for c in range(128))
+
+
 def words_of(text: str | None) -> set[str]:
-    return set(_LETTERS.findall(text.lower())) if isinstance(text, str) else set()
+    """The distinct runs of letters of a text, lower-cased."""
+    if not isinstance(text, str):
+        return set()
+    return set(text.translate(_ASCII).split()) if text.isascii() else set(_LETTERS.findall(text.lower()))
 
 
 def of_word(word: str) -> tuple[str, ...]:
@@ -68,6 +75,22 @@ class WordTable(dict):
         return np.unique(np.fromiter(chain.from_iterable(map(self.__getitem__, words_of(text))), np.int64))
 
 
+class Finder:
+    """Finds those of some features that a text has, by their places in the list; most words are passed over at a glance."""
+
+    def __init__(self, chosen: list[str]):
+        self.whole = {f[1:]: k for k, f in enumerate(chosen) if f[:1] == "="}
+        self.starts = {f: k for k, f in enumerate(chosen) if f[:1] != "="}
+        self.first = {f[: STARTS[0]] for f in self.starts}
+
+    def places(self, text: str | None) -> list[int]:
+        words = words_of(text)
+        found = {self.whole[w] for w in words & self.whole.keys()}
+        for w in [w for w in words if w[: STARTS[0]] in self.first]:
+            found.update([self.starts[w[:n]] for n in STARTS if len(w) > n and w[:n] in self.starts])
+        return sorted(found)
+
+
 def features(text: str) -> set[str]:
     """Distinct words as ``=word`` and beginnings of longer words, lower-cased."""
     return WordTable(of_word).union(text)
@@ -179,13 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, most_confirmed: int = MOST_CONFIRM
     chosen = stand_out(marked, prior)
     if not chosen:
         return bias
-    column = {f: k for k, f in enumerate(chosen)}
+    finder = Finder(chosen)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = WordTable(lambda word: tuple(column[f] for f in of_word(word) if f in column))
         for batch in batches:
-            rows = [table.distinct(t) for t in batch["text"]]
-            yield pd.DataFrame({"confirmed": batch["confirmed"], "columns": rows})
+            yield pd.DataFrame({"confirmed": batch["confirmed"], "columns": list(map(finder.places, batch["text"]))})
 
     rows = marked.mapInPandas(encode, "confirmed int, columns array<int>").groupBy("columns").agg(F.sum("confirmed").alias("c"), F.count("*").alias("u"))
     rows = saved(rows, "toxicity-rows")
@@ -205,18 +226,17 @@ def train(docs: DataFrame, labels: DataFrame, most_confirmed: int = MOST_CONFIRM
     fitted = rows.withColumn("share", share).groupBy("share").applyInPandas(fit, "place int, weight double, documents long")
     mean = fitted.groupBy("place").agg((F.sum(F.col("weight") * F.col("documents")) / F.sum("documents")).alias("w"))
     w = {r.place: r.w for r in mean.collect()}
-    return {"": w[width]} | {f: w[k] for f, k in column.items()}
+    return {"": w[width]} | {f: w[k] for k, f in enumerate(chosen)}
 
 
 def scorer(model: dict[str, float]):
     """Text -> score from 0 to 1; null and empty texts get the bias alone."""
     names = [f for f in model if f]
-    column, weights = {f: k for k, f in enumerate(names)}, np.array([model[f] for f in names])
+    finder, weights = Finder(names), [model[f] for f in names]
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = WordTable(lambda word: tuple(column[f] for f in of_word(word) if f in column))
         for batch in texts:
-            sums = [model[""] + weights[table.distinct(text)].sum() for text in batch]
+            sums = [model[""] + sum(map(weights.__getitem__, finder.places(text))) for text in batch]
             yield pd.Series(sigmoid(np.array(sums, np.float64)))
 
     return F.pandas_udf(score, "double")

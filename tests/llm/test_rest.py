@@ -80,6 +80,70 @@ def test_mixed_documents_hold_the_taken_words(docs):
     assert all(texts[r.doc_id].startswith(r.text) for r in rows if r.doc_id is not None)
 
 
+def test_the_tree_decides_what_is_taken(docs, monkeypatch):
+    monkeypatch.setattr(op2_mixing, "LEAST_BLOCK", 16)
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.size_, r.taken, tuple(r.shards), tuple(r.places))
+    rows = lambda: sorted(map(key, op2_mixing.taken_words(op2_mixing.mix(docs, n_shards=8)).withColumnRenamed("size", "size_").collect()))
+    before = rows()
+    tree = op2_mixing.splitting_tree
+    monkeypatch.setattr(op2_mixing, "splitting_tree", lambda *a: tree(*a)[:, ::-1])  # the same counts, dealt to other shards
+    after = rows()
+    assert [r[:3] for r in before] != [r[:3] for r in after]
+    assert sum(r[2] for r in before) == sum(r[2] for r in after)
+    monkeypatch.setattr(op2_mixing, "splitting_tree", tree)
+    fewer = op2_mixing.taken_words(op2_mixing.mix(docs, n_shards=3)).withColumnRenamed("size", "size_").collect()
+    assert [r[:3] for r in sorted(map(key, fewer))] != [r[:3] for r in before]
+
+
+def test_shards_hold_the_blocks_that_the_tree_gave_them(docs, monkeypatch):
+    monkeypatch.setattr(op2_mixing, "LEAST_BLOCK", 16)
+    given = {}
+    tree = op2_mixing.splitting_tree
+
+    def watched(blocks, n_shards, seed):
+        given["quotas"] = tree(blocks, n_shards, seed)
+        return given["quotas"]
+
+    monkeypatch.setattr(op2_mixing, "splitting_tree", watched)
+    rows = op2_mixing.mix(docs, n_shards=8).where("taken > 0").collect()
+    order = sorted({r.source for r in docs.collect()}, key=lambda s: (s is None, s or ""))
+    drawn = {}
+    for r in rows:
+        drawn.setdefault((r.source, r.shard), set()).add(r.place >> 32)
+    for k, source in enumerate(order):
+        got = [len(drawn.get((source, s), ())) for s in range(8)]
+        # Blocks of 16 words hold documents of up to 200, so a source's words end some blocks before or after its quota.
+        assert abs(sum(got) - given["quotas"][k].sum()) <= 3 + 0.1 * given["quotas"][k].sum()
+        assert (np.abs(np.array(got) - given["quotas"][k]) <= 2 + 0.2 * given["quotas"][k]).all()
+    places = {}
+    for r in rows:
+        places.setdefault(r.place >> 32, set()).add((r.source, r.shard))
+    assert all(len(v) == 1 for v in places.values())  # a block is in one shard
+
+
+def test_mixed_documents_take_any_column_names_and_keep_the_order_of_shards(docs, monkeypatch):
+    monkeypatch.setattr(op2_mixing, "LEAST_BLOCK", 64)
+    names = ["tie", "_tie", "id", "_id", "doc", "taken", "_taken", "_copy", "shard", "place", "row", "range", "block", "copy", "words", "start"]
+    odd = docs
+    for k, name in enumerate(names):
+        odd = odd.withColumn(name, F.lit(f"v{k}"))
+    mixed = op2_mixing.mixed_documents(odd, n_shards=4)
+    rows = mixed.collect()
+    assert mixed.columns == odd.columns and all(r[name] == f"v{k}" for r in rows[:50] for k, name in enumerate(names))
+    plain = op2_mixing.mixed_documents(docs, n_shards=4).collect()
+    assert [(r.doc_id, r.text) for r in rows] == [(r.doc_id, r.text) for r in plain]
+    shard = {(r.doc_id, r.copy): r.shard for r in op2_mixing.mix(docs, n_shards=4).where("taken > 0 and doc_id > 10").collect()}
+    once = [r.doc_id for r in plain if (r.doc_id, 1) not in shard and (r.doc_id, 0) in shard and (r.doc_id, 2) not in shard]
+    found = [shard[d, 0] for d in once]
+    assert found == sorted(found) and len(set(found)) == 4
+
+
+def test_a_very_long_document_is_mixed_whole(spark):
+    docs = spark.createDataFrame([(1, "a " * 100_000, "x"), (2, "b c", "x"), (3, "d", "y")], "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in op2_mixing.taken_words(op2_mixing.mix(docs)).collect()}
+    assert found[1]["size"] == 100_000 and found[3].taken == 3 and sum(r.taken for r in found.values()) == round(found[1].target) + round(found[3].target)
+
+
 def test_mix_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert op2_mixing.taken_words(op2_mixing.mix(none)).count() == 0
@@ -127,6 +191,24 @@ def test_documents_keep_to_their_shard(spark, docs):
     assert op4_sharding.shard_documents(docs.limit(0), names, slots=1009).count() == 0
 
 
+def test_sharded_columns_keep_their_names(docs, tmp_path):
+    odd = docs.withColumn("_slot", F.lit("a")).withColumn("_SHARD", F.lit("b")).withColumn("of", F.lit("c")).withColumn("owner", F.lit("d"))
+    sharded = op4_sharding.shard_documents(odd, ["p", "q"], slots=101)
+    assert sharded.columns == [*odd.columns, "__slot", "__shard"]
+    assert {(r._slot, r._SHARD, r.of, r.owner) for r in sharded.collect()} == {("a", "b", "c", "d")}
+    op4_sharding.write_shards(op4_sharding.shard_documents(docs, ["p", "q"], slots=101), f"{tmp_path}/shards")
+    assert docs.sparkSession.read.parquet(f"{tmp_path}/shards").count() == docs.count()
+
+
+def test_sharding_equals_its_sql(spark):
+    docs = spark.createDataFrame([(k, "é" * k) for k in range(400)] + [(None, None), (5, "twice")], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(op4_sharding.oracle_sql(registry.SHARDS)).fetchall()
+    found = op4_sharding.shard_documents(docs, registry.SHARDS).select("doc_id", "_slot", "_shard", F.coalesce(F.octet_length("text"), F.lit(0)))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found.collect())
+
+
 def slow_repeats(words):
     windows = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
     return len({k + j for k in range(len(words) - 7) if windows[tuple(words[k : k + 8])] > 1 for j in range(8)})
@@ -182,6 +264,78 @@ def test_pipeline_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
 
 
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A small corpus with rude, shouting, equal and near-equal documents, nulls, empty texts, clashing names; and its labels."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    docs, labels = [], []
+    for k in range(700):
+        text = " ".join(word() for _ in range(rng.randint(40, 90)))
+        toxic, good = k % 5 == 0, k % 7 > 1
+        text = text + " zzrude zzvile" if toxic else text
+        text = text if good else text.upper().replace(" ", "!! ")
+        docs.append((k, text, "en", rng.choice(["web", "web", "book", None]), len(text), "x"))
+        if k % 2:
+            labels.append((k, int(good), int(toxic)))
+    docs += [(1000 + k, docs[8 * k + 1][1], "en", "web", 1, "x") for k in range(20)]
+    near = [docs[8 * k + 2][1].split() for k in range(20)]
+    docs += [(2000 + k, " ".join([*w[:-1], "changed"]), "en", "book", 1, "x") for k, w in enumerate(near)]
+    docs += [(3000, None, None, None, None, None), (3001, "", "en", "web", 0, "x"), (None, "no id " * 30, "en", "web", 1, "x"), docs[3], docs[3]]
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, component string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_pipeline_stages_equal_plain_versions(spark, corpus):
+    from loam.llm import op3_cotraining, op9_toxicity, shingles
+    from loam.llm.tokens import vocabulary
+    from tokenizers import Tokenizer
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    labels = spark.read.parquet(f"{corpus}/labels.parquet")
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    clean = stages["toxicity"](spark, docs, corpus)
+    model = op9_toxicity.train(docs, labels)
+    score = lambda t: op9_toxicity.sigmoid(model[""] + sum(model.get(f, 0) for f in op9_toxicity.features(t or "")))
+    assert rows(clean) == Counter(tuple(r) for r in docs.collect() if score(r.text) < 0.5)
+    assert not any("zzrude" in (r.text or "").lower() for r in clean.collect()) and clean.count() > 500
+    good = stages["quality"](spark, clean, corpus)
+    model = op3_cotraining.train(op3_cotraining.viewed(clean, []), labels)
+    kept = Counter()
+    for r in clean.collect():
+        x = [op3_cotraining.content_view(r.text or ""), op3_cotraining.metadata_view(r.text or "", r.lang, r.source, r.n_chars)]
+        z = np.array([p[0] * op3_cotraining.logit(w, v.astype(np.float32).astype(float)) + p[1] for p, w, v in zip(model["platt"], model["weights"], x, strict=True)])
+        kept[tuple(r)] += op3_cotraining.sigmoid(op3_cotraining.logit(model["both"], z)) >= 0.5
+    assert rows(good) == +kept
+    apart = stages["near_duplicates"](spark, good, corpus)
+    table = sorted(set(map(tuple, good.collect())), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    sets = [frozenset(shingles.shingles(r[1]).tolist()) for r in table]
+    group = list(range(len(table)))
+    for a in range(len(table)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if (not sets[a] and not sets[b]) or both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    assert apart.count() == len(set(group)) < len(table)
+    assert {r.doc_id for r in apart.collect()} == {table[g][0] for g in set(group)}
+    mixed = stages["mixing"](spark, apart, corpus)
+    taken = op2_mixing.taken_words(op2_mixing.mix(apart)).groupBy("doc_id").agg(F.sum("taken").alias("n")).where("n > 0").collect()
+    words = Counter()
+    for r in mixed.collect():
+        words[r.doc_id] += len(WORD.findall(r.text))
+    assert words == Counter({r.doc_id: r.n for r in taken})
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    packed = stages["packing"](spark, mixed, corpus).collect()
+    ids = Counter()
+    for r in packed:
+        ids[r.doc_id] += r.length
+        assert r.length & (r.length - 1) == 0
+    assert ids == sum((Counter({r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) + 1}) for r in mixed.collect()), Counter())
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -212,3 +212,17 @@ def test_vectors_of_several_lengths_and_any_size_equal_brute_force(spark, monkey
     assert all(found[j].n_links <= near[j].sum() for j in range(k))
     few = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0)], "vec_id long, embedding array<double>, label int")
     assert [r.n_links for r in op6_pivots.near_vectors(few).collect()] == [1, 1]
+
+
+def test_closest_pivots_over_groups():
+    rng = np.random.default_rng(4)
+    pivots = op6_pivots.unit(rng.normal(size=(400, 16)).tolist())
+    x = op6_pivots.unit(rng.normal(size=(300, 16)).tolist())
+    groups = op6_pivots.grouped(pivots)
+    assert sorted(np.concatenate(groups).tolist()) == list(range(400)) and len(groups) == 20
+    found = op6_pivots.closest(x, pivots, groups, 10)
+    plain = np.argsort(-(x @ pivots.T), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(found.tolist(), plain.tolist(), strict=True)]) > 8
+    few = op6_pivots.unit(rng.normal(size=(5, 16)).tolist())
+    assert op6_pivots.closest(x, few, op6_pivots.grouped(few), 10).shape == (300, 5)
+    assert (np.sort(op6_pivots.closest(x, few, op6_pivots.grouped(few), 5)) == np.arange(5)).all()
