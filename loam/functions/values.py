@@ -158,7 +158,7 @@ def unnested(body: Column, field: str) -> Column:
     v = F.try_parse_json(body)
     keys = F.json_object_keys(body)
     only = F.get(keys, F.lit(0))
-    lifted = F.when((F.size(keys) == 1) & (only != field), F.get_json_object(body, F.concat(F.lit("$."), only))).otherwise(body)
+    lifted = F.when((F.size(keys) == 1) & (only != field), F.call_function("get_json_object", body, F.concat(F.lit("$."), only))).otherwise(body)
     held = F.try_variant_get(v, f"$.{field}", "string")
     told = F.when(F.try_parse_json(held).isNotNull() & F.rlike(held, F.lit(r"\A\s*[\[{]")), F.concat(F.lit(f'{{"{field}":'), held, F.lit("}"))).otherwise(lifted)
     return F.when(v.isNotNull(), told)

@@ -65,7 +65,7 @@ def test_records(spark):
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 2), (1, 1), (5, None), (1, 2)], "src long, dst long")
     assert {(r.node, r.role, r.n) for r in G.joints(edges).collect()} == {(2, "converge", 2)}
-    assert {r.node for r in G.cyclic(edges).collect()} == {2, 3, 4}
+    assert {r.node for r in G.cyclic(edges).collect()} == {1, 2, 3, 4}  # a loop is a cycle
     present = spark.createDataFrame([(1,), (4,)], "node long")
     assert {(r.src, r.dst) for r in G.splice(edges, present).collect()} == {(1, 4)}
     assert {(r.node, r.depth) for r in G.reachable(edges, spark.createDataFrame([(1,)], "node long")).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
