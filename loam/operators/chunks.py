@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loam.functions.text import STOP_WORDS, jaccard, overlap_tokens
+from loam.functions.text import STOP_WORDS, jaccard, overlap_tokens, tokens
 from loam.operators.graph import section_ranges, splice
 from loam.sources.shared import saved
 
@@ -53,6 +53,11 @@ def text_without(texts: DataFrame, sections: DataFrame, left_out: list[str]) ->
     return texts.join(kept.withColumnRenamed("text", "kept"), "doc", "left").select("doc", F.coalesce(F.nullif(F.col("kept"), F.lit("")), F.col("text")).alias("text"))
 
 
+def grounding_words(texts: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc, words): distinct words of four letters or more that advice on a document may quote: of its sections but reference lists and detection logic."""
+    return text_without(texts, sections, ["technique_reference", "detection_logic"]).select("doc", tokens(F.col("text"), 4).alias("words"))
+
+
 # --- features and overlaps ------------------------------------------------------------------------------------------
 
 

@@ -136,3 +136,47 @@ def reviewer_submission(advice: DataFrame, drafts: DataFrame) -> DataFrame:
     told = advice.join(drafts.select("draft_id", "techniques"), "draft_id")
     left = F.filter("techniques", lambda t: ~F.array_contains(F.coalesce("remove_technique_ids", F.array().cast("array<string>")), t.technique_id))
     return told.select("draft_id", "action", tier_confidence(F.col("confidence")).alias("confidence"), F.when(F.size(left) > 0, left).otherwise(F.col("techniques")).alias("techniques"))
+
+
+def process_objects(commands: DataFrame, files: DataFrame) -> DataFrame:
+    """(source_id, command_line, id, image_ref, exe_name): a process per command line, with the file it was started from.
+
+    ``files`` (source_id, name, stix_id). The executable's name is looked up as it stands, and with .exe behind a name without
+    a dot; what is not among the files keeps its name as a label.
+    """
+    from loam.functions.values import executable
+
+    key = F.substring(F.sha2(F.concat_ws("|", F.col("source_id").cast("string"), "command_line"), 256), 1, 12)
+    told = commands.select("source_id", "command_line", F.concat(F.lit("process--"), key).alias("id"), executable(F.col("command_line")).alias("exe"))
+    known = files.select("source_id", F.lower(F.trim("name")).alias("name"), "stix_id").groupBy("source_id", "name").agg(F.min("stix_id").alias("stix_id"))
+    asked = told.withColumn("as_is", F.lower("exe")).withColumn("with_exe", F.when(~F.contains("exe", F.lit(".")), F.concat(F.lower("exe"), F.lit(".exe"))))
+    one = asked.join(known.select("source_id", F.col("name").alias("as_is"), F.col("stix_id").alias("first")), ["source_id", "as_is"], "left")
+    two = one.join(known.select("source_id", F.col("name").alias("with_exe"), F.col("stix_id").alias("second")), ["source_id", "with_exe"], "left")
+    image = F.coalesce("first", "second")
+    return two.select("source_id", "command_line", "id", image.alias("image_ref"), F.when(image.isNull(), F.col("exe")).alias("exe_name"))
+
+
+def indicators(rules: DataFrame, identity: Column) -> DataFrame:
+    """Objects of detection rules (source_id, rule_type, rule_content, description): an indicator each, its id made from its content."""
+    key = F.substring(F.sha2(F.concat_ws("|", "rule_type", "rule_content"), 256), 1, 12)
+    return rules.select("source_id", F.concat(F.lit("indicator--"), key).alias("id"), F.lit("indicator").alias("type"), F.concat_ws(" ", "rule_type", F.lit("rule")).alias("name"), "description", F.col("rule_content").alias("pattern"), F.col("rule_type").alias("pattern_type"), identity.alias("created_by_ref"))
+
+
+def log_sources(components: DataFrame) -> DataFrame:
+    """Objects of data components (name, description, stix_id): a log source each, its id made from its name."""
+    key = F.substring(F.sha2(F.col("name"), 256), 1, 12)
+    return components.where("name is not null").select(F.concat(F.lit("x-log-source--"), key).alias("id"), F.lit("x-log-source").alias("type"), "name", F.coalesce(F.nullif(F.col("description"), F.lit("")), F.concat(F.lit("Log source: "), F.col("name"))).alias("description"), F.coalesce("stix_id", F.lit("")).alias("x_mitre_data_component_ref"))
+
+
+def extension_objects(objects: DataFrame) -> DataFrame:
+    """(bundle, id, type): the definitions of the extensions whose types a bundle's objects have and that it lacks."""
+    from loam.operators.bundle import FLOW_EXTENSION, FLOW_TYPES, PROCEDURE_EXTENSION
+
+    wanted = F.when(F.col("type") == "x-procedure", F.lit(PROCEDURE_EXTENSION)).when(F.col("type").isin(*FLOW_TYPES), F.lit(FLOW_EXTENSION))
+    found = objects.select("bundle", wanted.alias("id")).where("id is not null").distinct()
+    return found.join(objects.select("bundle", "id"), ["bundle", "id"], "left_anti").select("bundle", "id", F.lit("extension-definition").alias("type"))
+
+
+def unembedded(rows: DataFrame, embed, column: str = "embedding") -> DataFrame:
+    """Rows with the vectors that are missing filled by ``embed`` (a function from the rows that lack one to the same rows with it)."""
+    return rows.where(F.col(column).isNotNull()).unionByName(embed(rows.where(F.col(column).isNull())))

@@ -210,7 +210,7 @@ def detection_chain(techniques: DataFrame, strategies: DataFrame, analytics: Dat
     """
     chain = techniques.select("technique_id").distinct().join(strategies, "technique_id", "left").join(analytics, "strategy_id", "left").join(log_sources, "analytic_id", "left").join(components, "log_source_id", "left")
     steps = (("strategy_id", "detection-strategy"), ("analytic_id", "analytic"), ("log_source_id", "log-source"), ("component_id", "data-component"))
-    nodes = reduce(DataFrame.unionByName, [chain.select(F.col(c).alias("id"), F.lit(label).alias("label")).where("id is not null") for c, label in steps]).distinct()
+    nodes = reduce(DataFrame.unionByName, [chain.select(F.col(c).cast("string").alias("id"), F.lit(label).alias("label")).where("id is not null") for c, label in steps]).distinct()
     pairs = (("strategy_id", "detects", "technique_id"), ("strategy_id", "uses-analytic", "analytic_id"), ("analytic_id", "reads", "log_source_id"), ("log_source_id", "provides", "component_id"))
-    edges = reduce(DataFrame.unionByName, [chain.select(F.col(s).alias("src"), F.lit(verb).alias("verb"), F.col(t).alias("dst")).where("src is not null and dst is not null") for s, verb, t in pairs]).distinct()
+    edges = reduce(DataFrame.unionByName, [chain.select(F.col(s).cast("string").alias("src"), F.lit(verb).alias("verb"), F.col(t).cast("string").alias("dst")).where("src is not null and dst is not null") for s, verb, t in pairs]).distinct()
     return nodes, edges

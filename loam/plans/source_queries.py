@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loam.functions import values as V
-from loam.operators import chunks as K, drafts as D, relationships as R
+from loam.operators import chunks as K, drafts as D, relationships as R, schemas
+from loam.sources import tables
 from loam.sources.shared import saved
 from loam.sources.tables import table
 
@@ -273,7 +274,120 @@ SELECT event_id, event_id % 7 IN (0, 1, 3, 4, 5) AS region, [('a' || user_id ||
   event_id % 3 > 0 AS repaired, event_id % 3 = 2 AS cut, CASE WHEN event_id % 3 = 1 THEN 'A' WHEN event_id % 2 = 0 THEN event_type ELSE 'none' END AS title, user_id::VARCHAR AS parameter FROM events
 """
 
+def process_images(spark: SparkSession, d: str) -> DataFrame:
+    """Command lines of events with the files of the same user that they were started from."""
+    e, u = table(spark, d, "events"), F.col("user_id").cast("string")
+    command = F.element_at(F.array(F.concat(F.lit("C:\\\\bin\\\\"), F.upper("event_type"), F.lit(".EXE -x")), F.concat(F.col("event_type"), F.lit(" /q")), F.concat(F.lit("/opt/run"), u)), (F.col("event_id") % 3 + 1).cast("int"))
+    commands = e.select(F.col("user_id").alias("source_id"), command.alias("command_line")).distinct()
+    files = e.where("value > 25").select(F.col("user_id").alias("source_id"), F.concat(F.lit(" "), F.col("event_type"), F.lit(".exe")).alias("name"), F.concat(F.lit("file--"), F.col("event_type")).alias("stix_id"))
+    return D.process_objects(commands, files).select("source_id", "command_line", "image_ref", "exe_name")
+
+
+PROCESS_IMAGES = r"""
+WITH f AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 25),
+c AS (SELECT DISTINCT user_id, event_type, event_id % 3 AS k, ['C:\\bin\\' || upper(event_type) || '.EXE -x', event_type || ' /q', '/opt/run' || user_id][event_id % 3 + 1] AS l FROM events)
+SELECT DISTINCT c.user_id AS source_id, l AS command_line, CASE WHEN k < 2 AND f.user_id IS NOT NULL THEN 'file--' || c.event_type END AS image_ref,
+  CASE WHEN k = 2 THEN 'run' || c.user_id WHEN f.user_id IS NULL THEN CASE WHEN k = 0 THEN upper(c.event_type) || '.EXE' ELSE c.event_type END END AS exe_name FROM c LEFT JOIN f ON f.user_id = c.user_id AND f.event_type = c.event_type
+"""
+
+
+def draft_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Completeness, composite confidence and fingerprint of approved drafts (orders that are not pending)."""
+    o = table(spark, d, "orders")
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("l_partkey")).alias("p"), F.array_sort(F.collect_set("l_returnflag")).alias("f"))
+    told = o.join(lines, "o_orderkey", "left")
+    tech = F.transform(F.coalesce("p", F.array().cast("array<bigint>")), lambda p: F.struct(F.lit("").alias("stix_id"), p.cast("string").alias("technique_id")))
+    none = F.array().cast(_NONE)
+    drafts = told.select(
+        F.col("o_custkey").alias("source_id"), F.col("o_orderkey").cast("string").alias("draft_id"), F.repeat("o_orderpriority", (F.col("o_orderkey") % 15).cast("int")).alias("description"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("c"))).otherwise(none).alias("raw_command_lines"), tech.alias("techniques"),
+        F.when(F.col("o_orderkey") % 3 == 0, "2024").alias("first_observed"), none.alias("source_refs"), F.coalesce("f", none).alias("platforms"), (F.col("o_orderstatus") == "F").alias("detail_gap"), (F.col("o_custkey") % 101).cast("int").alias("confidence"), F.array("o_orderstatus").alias("phases"),
+    )
+    sources = table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.when(F.col("c_custkey") % 5 > 0, (F.col("c_custkey") % 101).cast("int")).alias("source_reliability"))
+    return D.normalised(drafts, o.where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").cast("string").alias("draft_id")), sources)
+
+
+DRAFT_SCORES = """
+WITH l AS (SELECT l_orderkey, list(DISTINCT l_partkey) AS p, list(DISTINCT l_returnflag) AS f FROM lineitem GROUP BY 1),
+o AS (SELECT orders.*, coalesce(p, []) AS p, coalesce(f, []) AS f, length(o_orderpriority) * (o_orderkey % 15) AS w FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'),
+c AS (SELECT *, least(100, CASE WHEN w > 100 THEN 25 WHEN w > 30 THEN 15 WHEN w > 0 THEN 5 ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN 25 ELSE 0 END + CASE WHEN len(p) >= 1 THEN 15 ELSE 0 END + CASE WHEN len(p) >= 2 THEN 5 ELSE 0 END
+  + CASE WHEN o_orderkey % 3 = 0 THEN 10 ELSE 0 END + CASE WHEN len(f) > 0 THEN 5 ELSE 0 END + CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 5 END) AS c FROM o)
+SELECT o_custkey AS source_id, o_orderkey::VARCHAR AS draft_id, c::INT AS completeness, trunc(0.30::DOUBLE * (CASE WHEN o_custkey % 5 > 0 THEN o_custkey % 101 ELSE 50 END) + 0.25::DOUBLE * c + 0.45::DOUBLE * (o_custkey % 101))::INT AS composite_confidence,
+  substr(sha256(array_to_string(list_sort(list_transform(p, lambda x: 'attack-pattern--' || x)), '|') || '::' || array_to_string(list_sort(f), '|') || '::' || o_orderstatus), 1, 32) AS fingerprint FROM c
+"""
+
+
+def mirrored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that take the order of their approved drafts: every third one follows two that stand before it."""
+    c = _chunks(spark, d).drop("o_orderkey")
+    drafts = c.where("sequence_index % 3 = 0").select("source_id", "chunk_id", "sequence_index", F.array(F.col("sequence_index") - 1, F.col("sequence_index") - 2, F.col("sequence_index")).alias("predecessor_indices"), F.lit(False).alias("chain_root"), F.lit("m").alias("chain_label"))
+    out = K.mirrored(c, drafts)
+    return out.select("source_id", "chunk_id", F.array_join(F.col("predecessor_indices").cast(_NONE), ",").alias("before"), F.size("precedes_ids").alias("n_next"), F.coalesce("chain_label", F.lit("")).alias("label"))
+
+
+MIRRORED_CHUNKS = f"""
+WITH {_CHUNKS}, e AS (SELECT ed.s, a.i AS src, b.i AS dst FROM ed JOIN ch a ON a.s = ed.s AND a.k = ed.src JOIN ch b ON b.s = ed.s AND b.k = ed.dst WHERE b.i % 3 > 0 UNION SELECT s, i - 1, i FROM ch WHERE i % 3 = 0 UNION SELECT s, i - 2, i FROM ch WHERE i % 3 = 0)
+SELECT ch.s AS source_id, 'c' || k AS chunk_id, coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY src) FROM e WHERE e.s = ch.s AND e.dst = ch.i), '') AS before, (SELECT count(*) FROM e WHERE e.s = ch.s AND e.src = ch.i)::INT AS n_next,
+  CASE WHEN i % 3 = 0 THEN 'm' WHEN i = 1 OR k % 9 = 0 THEN 'L' || i ELSE '' END AS label FROM ch
+"""
+
+
+def detection_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """What detects techniques (parts): suppliers as strategies, their nations as analytics, regions as log sources; steps may be missing."""
+    p, li, s, n = (table(spark, d, t) for t in ("part", "lineitem", "supplier", "nation"))
+    techniques = p.select(F.col("p_partkey").alias("technique_id"))
+    strategies = li.select(F.col("l_partkey").alias("technique_id"), F.col("l_suppkey").alias("strategy_id")).distinct()
+    analytics = s.where("s_acctbal > 0").select(F.col("s_suppkey").alias("strategy_id"), F.col("s_nationkey").alias("analytic_id"))
+    logs = n.where("n_regionkey < 3").select(F.col("n_nationkey").alias("analytic_id"), F.col("n_regionkey").alias("log_source_id"))
+    components = table(spark, d, "region").where("r_regionkey = 1").select(F.col("r_regionkey").alias("log_source_id"), F.col("r_name").alias("component_id"))
+    nodes, edges = R.detection_chain(techniques, strategies, analytics, logs, components)
+    return nodes.groupBy(F.col("label").alias("what")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("verb").alias("what")).agg(F.count("*").alias("n")))
+
+
+DETECTION_NODES = """
+WITH c AS (SELECT DISTINCT p_partkey AS t, l_suppkey AS s, n1.n AS a, n_regionkey AS l, r_name AS c FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN (SELECT s_suppkey, s_nationkey AS n FROM supplier WHERE s_acctbal > 0) n1 ON s_suppkey = l_suppkey
+  LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON n_nationkey = n1.n LEFT JOIN (SELECT * FROM region WHERE r_regionkey = 1) r ON r_regionkey = n_regionkey)
+SELECT * FROM (SELECT 'detection-strategy' AS what, count(DISTINCT s) AS n FROM c UNION ALL SELECT 'analytic', count(DISTINCT a) FROM c UNION ALL SELECT 'log-source', count(DISTINCT l) FROM c UNION ALL SELECT 'data-component', count(DISTINCT c) FROM c
+UNION ALL SELECT 'detects', count(DISTINCT (s, t)) FROM c WHERE s IS NOT NULL UNION ALL SELECT 'uses-analytic', count(DISTINCT (s, a)) FROM c WHERE a IS NOT NULL UNION ALL SELECT 'reads', count(DISTINCT (a, l)) FROM c WHERE l IS NOT NULL UNION ALL SELECT 'provides', count(DISTINCT (l, c)) FROM c WHERE c IS NOT NULL) WHERE n > 0
+"""
+
+
+def parsed_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, documents and a type that nothing reads, by source type."""
+    pages = table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("source_id"), F.lit("html").alias("source_type"), F.encode("html", "UTF-8").alias("content"))
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.when(F.col("doc_id") % 5 == 0, "pdf").otherwise("markdown").alias("source_type"), F.encode("text", "UTF-8").alias("content"))
+    found = tables.parsed(pages.unionByName(docs))
+    return found.select("source_id", "status", F.md5("parsed_text").alias("text_hash"), F.size("warnings").alias("warnings"))
+
+
+PARSED_SOURCES = r"""
+WITH t AS (SELECT 'p' || page_id AS id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS x FROM pages
+  UNION ALL SELECT 'd' || doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END FROM documents), g AS (SELECT *, length(trim(x, ' ')) >= 10 AS ok, len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+')) AS n FROM t)
+SELECT id AS source_id, CASE WHEN ok THEN 'parsed' ELSE 'failed' END AS status, md5(CASE WHEN ok THEN x ELSE '' END) AS text_hash, CASE WHEN NOT ok OR n < 50 THEN 1 ELSE 0 END AS warnings FROM g
+"""
+
+
+def schema_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies of two types against what their schemas ask for."""
+    known = {
+        "order": {"required": ["id", "status"], "fields": {"id": {"type": "string", "enum": []}, "type": {"type": "string", "enum": []}, "status": {"type": "string", "enum": ["O", "F"]}, "price": {"type": "number", "enum": []}}, "closed": True},
+        "note": {"required": ["text"], "fields": {"text": {"type": "string", "enum": []}}, "closed": False},
+    }
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    body = F.to_json(F.struct(
+        k.cast("string").alias("id"), F.when(k % 3 == 0, "note").when(k % 3 == 1, "order").otherwise("free").alias("type"), F.when(k % 5 > 0, F.col("o_orderstatus")).alias("status"),
+        F.when(k % 7 == 0, "dear").otherwise(F.floor("o_totalprice").cast("string")).alias("price"), F.when(k % 2 == 0, "x").alias("extra"),
+    ))
+    return schemas.schema_errors(o.select(F.col("o_custkey").alias("bundle"), k.alias("position"), body.alias("body")), known)
+
+
+SCHEMA_VIOLATIONS = """
+SELECT o_custkey AS bundle, o_orderkey::VARCHAR AS id, 'note' AS type, 'missing:text' AS error FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_custkey, o_orderkey::VARCHAR, 'order', 'missing:status' FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 5 = 0 UNION ALL SELECT o_custkey, o_orderkey::VARCHAR, 'order', 'value:status' FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 5 > 0 AND o_orderstatus = 'P'
+UNION ALL SELECT o_custkey, o_orderkey::VARCHAR, 'order', 'type:price' FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT o_custkey, o_orderkey::VARCHAR, 'order', 'unknown:extra' FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 2 = 0
+"""
+
 QUERIES = {f.__name__: (f, sql) for f, sql in (
     (chunk_shapes, CHUNK_SHAPES), (chain_labels, CHAIN_LABELS), (chunk_decisions, CHUNK_DECISIONS), (chunk_operators, CHUNK_OPERATORS), (chunk_overlaps, None), (section_texts, SECTION_TEXTS),
     (source_relationships, SOURCE_RELATIONSHIPS), (analyst_rows, ANALYST_ROWS), (draft_assembly, DRAFT_ASSEMBLY), (odd_values, ODD_VALUES),
+    (process_images, PROCESS_IMAGES), (draft_scores, DRAFT_SCORES), (mirrored_chunks, MIRRORED_CHUNKS), (detection_nodes, DETECTION_NODES), (parsed_sources, PARSED_SOURCES), (schema_violations, SCHEMA_VIOLATIONS),
 )}

@@ -153,6 +153,21 @@ def bundle_rows(objects: DataFrame, titles: DataFrame) -> DataFrame:
     return titles.join(bundle_counts(objects), "bundle").join(listed, "bundle", "left").na.fill(0, ["listed"])
 
 
+def created(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """New sources (source_id, source_type, title, gate_modes: map, source_reliability) as they are queued: modes that exist, reliability from 0 to 100 or 50."""
+    from loam.operators.turns import gate_modes
+
+    modes = gate_modes(F.coalesce("gate_modes", F.create_map().cast("map<string,string>")), defaults)
+    told = F.create_map(*[x for gate, mode in modes.items() for x in (F.lit(gate), mode)])
+    sure = F.least(F.greatest(F.coalesce("source_reliability", F.lit(50)), F.lit(0)), F.lit(100))
+    return rows.select("source_id", "source_type", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled Source")).alias("title"), F.lit("queued").alias("status"), told.alias("gate_modes"), sure.alias("source_reliability"))
+
+
+def captured(state: DataFrame, path: str) -> None:
+    """A state's rows (key, props: map) as JSON lines, secrets blotted out."""
+    state.withColumn("props", redacted(F.col("props"))).write.mode("overwrite").json(path)
+
+
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> tuple[DataFrame, int]:
     """One page of a list in a given order, and how many rows there are in all."""
     return rows.orderBy(*order).offset(offset).limit(limit), rows.count()
