@@ -1,12 +1,13 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors, whose number grows as the root of the vectors. They stand in
-groups about as many pivots again, and a vector is compared with those of its GROUPS closest groups, so describing it costs
-the root of the pivots. A vector is described by its ``nearest`` closest pivots, in order (equally close ones in the order of the sample), and stands in the inverted list of each. Two vectors are candidates if they share at least
-``shared`` pivots; a pair is counted in the list of its smallest shared pivot alone, so no pair is seen twice, and a
-vector need not enter the list of its largest one. Candidates are verified by cosine in double precision. Lists
-longer than a block are cut into blocks that hash, and each pair of blocks is one group: what comes out of a group is
-a row for each linked vector (its number of links and the root of its tree), never the pairs.
+Reference points (pivots) are a bounded sample of the vectors, whose number grows as the root of the vectors. They stand
+in as many groups as the root of the pivots, and a vector is compared with those of its GROUPS closest groups. A vector is
+described by its ``nearest`` closest pivots, in order (equally close ones in the order of the sample), and stands in the
+inverted list of each. Two vectors are candidates if they share at least ``shared`` pivots; a pair is counted in the list
+of its smallest shared pivot alone, so no pair is seen twice, and a vector need not enter the list of its largest one.
+Candidates are verified by cosine in double precision. Lists longer than a block are cut into blocks that hash, and each
+pair of blocks is one group: what comes out of a group is a row for each linked vector (its number of links and the root of
+its tree), never the pairs.
 """
 
 from __future__ import annotations
