@@ -44,16 +44,30 @@ def closeness(command: str | None, source: str | None) -> float:
 
 
 def excerpt_span(excerpt: Column, text: Column) -> Column:
+    """Struct of first and last (left out) of an excerpt in its text, from 0; -1 for both where it is not there.
+
+    As it stands it is found in the JVM; only the others go to Python, which passes over white space and cuts prefixes.
+    """
+
     def spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for a, b in batches:
             yield pd.DataFrame([find_excerpt(x, y) or (-1, -1) for x, y in zip(a, b, strict=True)], columns=["first", "last"])
 
-    return F.pandas_udf(spans, "first int, last int")(excerpt, text)
+    at = F.when(excerpt != "", F.call_function("locate", excerpt, text))
+    other = F.coalesce(at == 0, F.lit(False))
+    found = F.pandas_udf(spans, "first int, last int")(F.when(other, excerpt), F.when(other, text))
+    return F.when(at > 0, F.struct((at - 1).cast("int").alias("first"), (at - 1 + F.length(excerpt)).cast("int").alias("last"))).otherwise(found)
 
 
 def near_ratio(command: Column, source: Column) -> Column:
+    """closeness(); only commands that share a long word with their source, but do not stand in it whole, go to Python."""
+
     def ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             yield pd.Series([closeness(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return F.pandas_udf(ratios, "double")(command, source)
+    long = F.filter(F.split(command, r"\s+"), lambda w: F.length(w) >= LEAST_WORD)
+    shares = F.coalesce(F.exists(long, lambda w: F.contains(source, w)), F.lit(False))
+    whole = shares & F.contains(source, command)
+    asked = shares & ~whole
+    return F.when(whole, F.lit(1.0)).otherwise(F.pandas_udf(ratios, "double")(F.when(asked, command), F.when(asked, source)))

@@ -31,3 +31,20 @@ def test_entry_reads_without_the_training_operators():
     import __spark_entry__ as entry
 
     assert set(SQL) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+def test_queries_without_sql(spark, sf_dir):
+    """Their operators have brute-force tests; here a ratio of difflib and pairs that go both ways."""
+    from loam.operators.spans import closeness
+
+    found = catalogue.queries()
+    assert set(found) - set(SQL) == {"chunk_overlaps", "command_closeness"}
+    pairs = found["chunk_overlaps"](spark, sf_dir).collect()
+    assert pairs and {(r.source_id, r.chunk_id, r.other) for r in pairs} == {(r.source_id, r.other, r.chunk_id) for r in pairs}
+    turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    ratios = found["command_closeness"](spark, sf_dir).collect()
+    for r in ratios[:20]:
+        command = " ".join(turns[r.conv_id, r.turn].split(" ")[:12])
+        source = turns[r.conv_id, r.turn + 1] + (f" {command}" if r.turn % 2 == 0 else "")
+        assert r.ratio == round(closeness(command, source), 6)
+    assert any(r.near for r in ratios) and not all(r.near for r in ratios)
