@@ -303,7 +303,7 @@ def test_pipeline_stages_equal_plain_versions(spark, corpus):
     assert rows(clean) == Counter(tuple(r) for r in docs.collect() if score(r.text) < 0.5)
     assert not any("zzrude" in (r.text or "").lower() for r in clean.collect()) and clean.count() > 500
     good = stages["quality"](spark, clean, corpus)
-    model = op3_cotraining.train(op3_cotraining.viewed(clean, []), labels)
+    model = op3_cotraining.train(op3_cotraining.viewed(clean, ["doc_id"]), labels)
     kept = Counter()
     for r in clean.collect():
         x = [op3_cotraining.content_view(r.text or ""), op3_cotraining.metadata_view(r.text or "", r.lang, r.source, r.n_chars)]
