@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loam.llm import op1_token_codes, op2_mixing, op3_cotraining, op4_sharding, op5_language, op6_pivots, op7_packing, op8_rules, op9_toxicity, op10_simhash
+from loam.llm import op1_token_codes, op2_mixing, op3_cotraining, op4_sharding, op5_language, op6_pivots, op7_packing, op8_rules, op9_toxicity, op10_simhash, op11_best_position, op12_repair_search, op13_suffix_arrays
 from loam.llm.tokens import vocabulary
 
 
@@ -62,9 +62,26 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", op10_simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_best_position.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return op12_repair_search.repaired(op12_repair_search.damaged(conversations), conversations)
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op13_suffix_arrays.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "_found")
+    f = F.col("_found")
+    digest = F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256")
+    return found.select("doc_id", f["n_words"].alias("n_words"), f["n_hit"].alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), digest, (f["n_hit"] > 0).alias("contaminated"))
+
+
 OPERATORS = (
     op1_token_output, op2_source_mixing, op3_quality_classifier, op4_document_sharding, op5_language_id,
     op6_embedding_dedup, op7_sequence_packing, op8_quality_rules, op9_toxicity_scores, op10_simhash_dedup,
+    op11_best_position_search, op12_conversation_repair, op13_benchmark_decontamination,
 )
 
 
@@ -93,4 +110,5 @@ def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     sql = {"op4_document_sharding": op4_sharding.oracle_sql(SHARDS), "op6_embedding_dedup": _OP6, "op8_quality_rules": op8_rules.ORACLE_SQL}
+    sql |= {"op11_best_position_search": op11_best_position.ORACLE_SQL, "op12_conversation_repair": op12_repair_search.ORACLE_SQL, "op13_benchmark_decontamination": op13_suffix_arrays.ORACLE_SQL}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
