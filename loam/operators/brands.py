@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loam.functions.text import technique_ids
+from loam.operators.patterns import found_names, leftmost
 
-#: Names that one pattern may hold; more are refused rather than dropped.
-MOST_BRANDS = 5000
 #: Fixed value: the strength of a brand that is the technique; all others only suggest it.
 DEFINITIONAL = "definitional"
 
@@ -17,16 +14,15 @@ DEFINITIONAL = "definitional"
 def brand_hits(texts: DataFrame, brands: DataFrame) -> DataFrame:
     """(id, brand) for every brand (brand: string) that stands in a text (id, text) between signs that are no letters or digits.
 
-    The brands are a catalogue of at most MOST_BRANDS names, so they travel as one pattern and a text is scanned once.
-    Letter case does not matter; a brand counts once per text; null texts hold none.
+    Matches are taken from left to right and do not overlap; of brands that begin at one place the first by ``place`` counts, a number that
+    ``brands`` may have, and without it the longest. Letter case does not matter; a brand counts once per text; null texts hold
+    none; there may be any number of brands.
     """
-    rows = sorted({r.brand.lower() for r in brands.select("brand").where("brand is not null and brand <> ''").limit(MOST_BRANDS + 1).collect()}, key=lambda b: (-len(b), b))
-    if len(rows) > MOST_BRANDS:
-        raise ValueError(f"more than {MOST_BRANDS} brands")
-    if not rows:
-        return texts.select("id", F.lit("").alias("brand")).where(F.lit(False))
-    pattern = rf"(?<![a-z0-9])({'|'.join(map(re.escape, rows))})(?![a-z0-9])"
-    return texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(1)))).alias("brand"))
+    place = F.col("place") if "place" in brands.columns else -F.length("brand")
+    order = brands.where("brand is not null and brand <> ''").groupBy(F.lower("brand").alias("name")).agg(F.min(place).alias("place"))
+    lowered = texts.select("id", F.lower("text").alias("text"))
+    found = found_names(lowered, order, alone=True, settle=leftmost)
+    return found.select("id", F.explode(F.array_distinct(F.transform("found", lambda m: m["name"]))).alias("brand"))
 
 
 def brand_techniques(chunks: DataFrame, brands: DataFrame) -> DataFrame:

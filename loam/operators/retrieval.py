@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.functions.text import jaccard, tokens
-from loam.sources.shared import saved
+from loam.operators.patterns import first_of_each, found_names
 
-#: Rows of a catalogue that may travel to every task as they are.
-MOST_SMALL = 5000
+#: Centres that may travel to every task as they are, and in a block of them; vectors in a block; bytes of tokens that travel at once, about.
+MOST_SMALL, VECTORS, BLOCK_BYTES = 5000, 50_000, 8 << 20
+#: Entries of a text's lists by item under which they are counted without bounds.
+DENSE = 100
 
 
 def shared_tokens(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -25,47 +29,79 @@ def shared_tokens(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
     return shared.select("id", "item", (F.col("count") / (F.col("na") + F.col("nb") - F.col("count"))).alias("score"))
 
 
+def _best_shared(own: list[np.ndarray], na: int, sizes: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Items that share a token with a set of ``na``, and their Jaccard: all that may be among the k best with ``floor`` at least.
+
+    ``own``: the items of each of its tokens, sorted. The rarest tokens are read first; r tokens that are left unread give an item that
+    none of the others has r / na at most, so reading stops where that is below the k-th best so far, and the items met are
+    looked up in the lists that were not read. Where all lists together are short beside the items, all are counted at once.
+    """
+    if sum(map(len, own)) < DENSE * len(sizes):
+        both = np.bincount(np.concatenate(own), minlength=len(sizes))
+        met = np.flatnonzero(both)
+        value = both[met] / (na + sizes[met] - both[met])
+        if len(met) > k:
+            kth = np.partition(value, len(met) - k)[len(met) - k]
+            met, value = met[value >= kth], value[value >= kth]
+        return met, value
+    own = sorted(own, key=len)
+    read = min(len(own), 4)
+    while True:
+        met, both = np.unique(np.concatenate(own[:read]), return_counts=True)
+        least = both / (na + sizes[met] - both)
+        kth = max(floor, np.partition(least, len(least) - k)[len(least) - k]) if len(least) >= k else floor
+        if read == len(own) or (len(own) - read) / na < kth:
+            break
+        read = min(len(own), 2 * read)
+    for rest in own[read:]:
+        at = np.minimum(np.searchsorted(rest, met), len(rest) - 1)
+        both = both + (rest[at] == met)
+    return met, both / (na + sizes[met] - both)
+
+
 def best_by_tokens(texts: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
     """(id, item, score, rank): the k items of the catalogue whose token sets overlap each text most, equal ones by item.
 
-    A catalogue of MOST_SMALL items at most, whose size is checked, travels with the function as an inverted index, and a text
-    is scored against it where it lies: nothing is shuffled and no common word becomes a hot key. A larger one is joined by
-    token. Texts without a shared token have no row.
+    The catalogue travels as an inverted index, in blocks of about BLOCK_BYTES of tokens, and a text is scored against each block where it
+    lies, carrying its best items along: nothing is shuffled, no common word becomes a hot key, and no pair is a row. Texts
+    without a shared token have no row.
     """
-    rows = catalogue.select("item", tokens(F.col("text")).alias("t")).where(F.size("t") > 0).limit(MOST_SMALL + 1).collect()
-    if len(rows) > MOST_SMALL:
-        return top(shared_tokens(texts, catalogue), k)
-    kind = catalogue.schema["item"].dataType.simpleString()
-    if not rows:
-        return texts.select("id", F.lit(None).cast(kind).alias("item"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
-    rows.sort(key=lambda r: r.item)
-    names, sizes = np.array([r.item for r in rows]), np.array([len(r.t) for r in rows])
-    lists: dict[str, list[int]] = {}
-    for place, r in enumerate(rows):
-        for token in r.t:
-            lists.setdefault(token, []).append(place)
-    index = {token: np.array(places) for token, places in lists.items()}
-
-    def score(batches):
-        for batch in batches:
-            ids, items, scores, ranks = [], [], [], []
-            for name, own in zip(batch["id"], batch["t"], strict=True):
-                hits = [index[t] for t in own if t in index]
-                if not hits:
-                    continue
-                both = np.bincount(np.concatenate(hits), minlength=len(names))
-                value = both / (len(own) + sizes - both)
-                best = np.argsort(-value, kind="stable")[:k]
-                best = best[both[best] > 0]
-                ids += [name] * len(best)
-                items.append(names[best])
-                scores.append(value[best])
-                ranks += range(1, len(best) + 1)
-            if ids:
-                yield pd.DataFrame({"id": ids, "item": np.concatenate(items), "score": np.concatenate(scores), "rank": ranks})
-
-    told = texts.select("id", tokens(F.col("text")).alias("t"))
-    return told.mapInPandas(score, f"id {texts.schema['id'].dataType.simpleString()}, item {kind}, score double, rank int")
+    spark, kind = texts.sparkSession, catalogue.schema["item"].dataType.simpleString()
+    schema = f"array<struct<item: {kind}, score: double>>"
+    items = catalogue.select("item", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    size = items.agg(F.coalesce(F.sum(F.octet_length(F.array_join("t", " "))), F.lit(0))).first()[0]
+    blocks = -(-size // BLOCK_BYTES)
+
+    def scorer(rows: list) -> Callable:
+        rows.sort(key=lambda r: r.item)
+        lists: dict[str, list[int]] = {}
+        for place, r in enumerate(rows):
+            for token in r.t:
+                lists.setdefault(token, []).append(place)
+        index = {token: np.array(places, np.int32) for token, places in lists.items()}
+        sent = spark.sparkContext.broadcast(([r.item for r in rows], np.array([len(r.t) for r in rows]), index))
+
+        def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            names, sizes, index = sent.value
+            for sets, before in batches:
+                out = []
+                for own, known in zip(sets, before, strict=True):
+                    best = [(-b["score"], b["item"]) for b in known]
+                    hits = [index[t] for t in own if t in index] if own is not None else []
+                    if hits:
+                        met, value = _best_shared(hits, len(own), sizes, k, -best[-1][0] if len(best) == k else 0.0)
+                        few = np.lexsort((met, -value))[:k]
+                        best = sorted(best + [(-float(value[j]), names[met[j]]) for j in few])[:k]
+                    out.append([{"item": item, "score": -minus} for minus, item in best])
+                yield pd.Series(out, dtype=object)
+
+        return score
+
+    told = texts.select("id", tokens(F.col("text")).alias("t"), F.array().cast(schema).alias("best"))
+    for number in range(blocks):
+        block = F.pmod(F.xxhash64("item", "t"), F.lit(blocks).cast("long")) == number
+        told = told.withColumn("best", F.pandas_udf(scorer(items.where(block).collect()), schema)("t", "best"))
+    return told.select("id", F.posexplode("best")).select("id", "col.item", "col.score", (F.col("pos") + 1).alias("rank"))
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -79,66 +115,61 @@ def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def contained(texts: DataFrame, phrases: DataFrame, width: int = 3) -> DataFrame:
+def contained(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(id, item, phrase) for every phrase that occurs in a text, letter case and white space aside; of an item's phrases each is told apart.
 
-    Phrases of ``width`` inner words and more are found through their rarest run of that many words: the runs of texts are
-    first reduced to those that any phrase has, then only the runs chosen meet their phrases, and the whole phrase is
-    checked last. Shorter ones are looked up by their longest inner word in the same way; what has no inner word (its
-    first and last word may be parts of words in a text) is matched as it stands by a broadcast join, MOST_SMALL at most.
+    All phrases are looked for in one reading of a text where it lies (found_names()); what is shuffled is a row per text and phrase in it.
     """
-    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    told = phrases.select("item", folded(F.col("text")).alias("phrase")).where("phrase <> ''").distinct().withColumn("w", words(F.col("phrase")))
-    inner = told.withColumn("inner", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))
-    n = F.size("inner")
-    runs = lambda a, k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - k + 1, F.lit(1))), lambda at: F.array_join(F.slice(a, at, k), " "))
-    long = inner.where(n >= width).select("item", "phrase", F.explode(F.array_distinct(runs(F.col("inner"), width))).alias("run"))
-    middle = inner.where((n > 0) & (n < width)).select("item", "phrase", F.explode(F.array_distinct("inner")).alias("run"))
-    keys = saved(long.unionByName(middle), "phrase-runs")
-    wanted = keys.select("run").distinct()
-    split = texts.select("id", words(folded(F.col("text"))).alias("w"))
-    both = F.concat(F.when(F.size("w") >= width, runs(F.col("w"), width)).otherwise(F.array().cast("array<string>")), "w")
-    seen = saved(split.select("id", F.explode(F.array_distinct(both)).alias("run")).join(wanted, "run", "left_semi"), "text-runs")
-    frequency = seen.groupBy("run").count()
-    rarest = keys.join(frequency, "run", "left").groupBy("item", "phrase").agg(F.min_by("run", F.struct(F.coalesce("count", F.lit(0)), F.col("run"))).alias("run"))
-    found = seen.join(rarest, "run").select("id", "item", "phrase")
-    checked = found.join(texts.select("id", folded(F.col("text")).alias("text")), "id").where(F.contains("text", "phrase")).select("id", "item", "phrase")
-    short = inner.where(n == 0).select("item", "phrase")
-    few = short.limit(MOST_SMALL + 1).count()
-    if few > MOST_SMALL:
-        raise ValueError(f"more than {MOST_SMALL} phrases have no whole word to be looked up by")
-    if few:
-        as_is = texts.select("id", folded(F.col("text")).alias("text")).join(F.broadcast(short), F.contains("text", "phrase")).select("id", "item", "phrase")
-        checked = checked.unionByName(as_is)
-    return checked.distinct()
+    told = phrases.select("item", folded(F.col("text")).alias("phrase")).where("phrase <> ''").distinct()
+    names = told.select(F.col("phrase").alias("name"), F.lit(0).alias("place")).distinct()
+    found = found_names(texts.select("id", folded(F.col("text")).alias("text")), names, settle=first_of_each)
+    return found.select("id", F.explode(F.transform("found", lambda m: m["name"])).alias("phrase")).distinct().join(told, "phrase").select("id", "item", "phrase")
 
 
 def nearest_centres(vectors: DataFrame, centres: DataFrame, k: int) -> DataFrame:
-    """(id, item, score, rank): the k centres (item, vector) with the largest dot product for each (id, vector).
+    """(id, item, score, rank): the k centres (item, vector) with the largest dot product for each (id, vector), equal ones by item.
 
-    Centres are a catalogue of known size, so they travel with the function; a batch of vectors is one matrix product.
+    MOST_SMALL centres at most travel with the function, and a batch of vectors is one matrix product. More are dealt into blocks, and so
+    are the vectors; every pair of blocks is a matrix product of one task, which keeps the k best of each vector, and the best of all
+    blocks are ranked. Null vectors have no row. All vectors are equally long.
     """
-    rows = sorted(centres.limit(MOST_SMALL + 1).collect(), key=lambda r: r.item)
-    if len(rows) > MOST_SMALL:
-        raise ValueError(f"more than {MOST_SMALL} centres")
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], f"id long, item {centres.schema['item'].dataType.simpleString()}, score double, rank int")
-    names, matrix = np.array([r.item for r in rows]), np.array([r.vector for r in rows], np.float64)
-
-    def score(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            close = np.array(batch["vector"].tolist(), np.float64) @ matrix.T
-            order = np.argsort(-close, axis=1, kind="stable")[:, :k]
-            n = order.shape[1]
-            yield pd.DataFrame({
-                "id": np.repeat(batch["id"].to_numpy(), n), "item": names[order.ravel()],
-                "score": np.take_along_axis(close, order, axis=1).ravel(), "rank": np.tile(np.arange(1, n + 1), len(batch)),
-            })
-
-    kind = centres.schema["item"].dataType.simpleString()
-    return vectors.select("id", "vector").mapInPandas(score, f"id long, item {kind}, score double, rank int")
+    kind, key = centres.schema["item"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    schema = f"id {key}, item {kind}, score double, rank int"
+    vectors, centres = vectors.select("id", "vector").where("vector is not null"), centres.select("item", "vector").where("vector is not null")
+    few = centres.limit(MOST_SMALL + 1).count() <= MOST_SMALL
+
+    def best(batch: pd.DataFrame, names: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
+        for start in range(0, len(batch), 1000):
+            some = batch.iloc[start : start + 1000]
+            close = np.array(some["vector"].tolist(), np.float64) @ matrix.T
+            n = min(k, close.shape[1])
+            kth = np.partition(close, close.shape[1] - n, axis=1)[:, close.shape[1] - n]
+            rows, columns = np.nonzero(close >= kth[:, None])  # the centres stand by item
+            score = close[rows, columns]
+            order = np.lexsort((columns, -score, rows))
+            rows, columns, score = rows[order], columns[order], score[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+            kept = rank <= n
+            yield pd.DataFrame({"id": some["id"].to_numpy()[rows[kept]], "item": names[columns[kept]], "score": score[kept], "rank": rank[kept]})
+
+    if few:
+        rows = sorted(centres.collect(), key=lambda r: r.item)
+        if not rows:
+            return vectors.select("id", F.lit(None).cast(kind).alias("item"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
+        names, matrix = np.array([r.item for r in rows]), np.array([r.vector for r in rows], np.float64)
+        return vectors.mapInPandas(lambda batches: (part for batch in batches for part in best(batch, names, matrix)), schema)
+
+    def of_blocks(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        others = others.sort_values("item")
+        parts = list(best(some, others["item"].to_numpy(), np.array(others["vector"].tolist(), np.float64))) if len(others) else []
+        return pd.concat(parts) if parts else pd.DataFrame({"id": [], "item": [], "score": [], "rank": []})
+
+    dealt = lambda df, c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long")).cast("int")
+    across, down = -(-centres.count() // MOST_SMALL), -(-vectors.count() // VECTORS)
+    left = vectors.select("id", "vector", dealt(vectors, "id", down).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("c"))
+    right = centres.select("item", "vector", dealt(centres, "item", across).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(max(0, down - 1)))).alias("v"))
+    found = left.groupBy("v", "c").cogroup(right.groupBy("v", "c")).applyInPandas(of_blocks, schema)
+    return top(found.drop("rank"), k)
 
 
 def overlapping(texts: DataFrame, least: float) -> DataFrame:
