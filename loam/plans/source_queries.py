@@ -369,8 +369,8 @@ SELECT id AS source_id, CASE WHEN ok THEN 'parsed' ELSE 'failed' END AS status,
 def schema_violations(spark: SparkSession, d: str) -> DataFrame:
     """Bodies of two types against what their schemas ask for."""
     known = {
-        "order": {"required": ["id", "status"], "fields": {"id": {"type": "string", "enum": []}, "type": {"type": "string", "enum": []}, "status": {"type": "string", "enum": ["O", "F"]}, "price": {"type": "number", "enum": []}}, "closed": True},
-        "note": {"required": ["text"], "fields": {"text": {"type": "string", "enum": []}}, "closed": False},
+        "order": {"required": ["id", "status"], "properties": {"id": {"type": "string"}, "type": {}, "status": {"enum": ["O", "F"]}, "price": {"type": "number"}}, "additionalProperties": False},
+        "note": {"required": ["text"], "properties": {"text": {"type": "string"}}},
     }
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
     body = F.to_json(F.struct(
@@ -386,8 +386,59 @@ UNION ALL SELECT o_custkey, o_orderkey::VARCHAR, 'order', 'missing:status' FROM
 UNION ALL SELECT o_custkey, o_orderkey::VARCHAR, 'order', 'type:price' FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT o_custkey, o_orderkey::VARCHAR, 'order', 'unknown:extra' FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 2 = 0
 """
 
+def nested_schema_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies of orders with their lines against a schema with references, alternatives, items, patterns and formats."""
+    known = {"order": {
+        "definitions": {
+            "line": {"type": "object", "required": ["part", "how"], "properties": {"part": {"type": "integer", "minimum": 100}, "how": {"type": "string", "pattern": "^[AN]", "maxLength": 7}}, "additionalProperties": {"type": "string"}},
+            "name": {"type": "string", "minLength": 1},
+        },
+        "required": ["id"],
+        "allOf": [{"properties": {"id": {"type": "string", "pattern": "^order--[0-9]+$"}}}],
+        "properties": {
+            "lines": {"type": "array", "minItems": 2, "maxItems": 6, "uniqueItems": True, "items": {"$ref": "#/definitions/line"}},
+            "when": {"type": "string", "format": "date-time"},
+            "buyer": {"anyOf": [{"$ref": "#/definitions/name"}, {"type": "integer", "maximum": 500}]},
+            "priority": {"oneOf": [{"pattern": "^1"}, {"pattern": "URGENT$"}, {"pattern": "^5"}]},
+            "status": {"not": {"const": "P"}},
+        },
+    }}
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    line = F.struct(F.col("l_partkey").alias("part"), F.when(F.col("l_linenumber") % 3 > 0, F.concat("l_returnflag", F.when(F.col("l_quantity") > 48, "-------").otherwise(""))).alias("how"), F.when(F.col("l_quantity") > 45, F.lit(1)).alias("extra"))
+    lines = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    body = F.to_json(F.struct(
+        F.concat(F.when(k % 11 == 0, "x").otherwise("order--"), k.cast("string")).alias("id"), F.lit("order").alias("type"), "lines", F.concat(day, F.when(k % 4 == 0, "T25:00:00Z").otherwise("T05:00:00.5Z")).alias("when"),
+        F.col("o_custkey").alias("buyer"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"),
+    ))
+    return schemas.schema_errors(o.join(lines, "o_orderkey").select(F.col("o_custkey").alias("bundle"), k.alias("position"), body.alias("body")), known, formats=True)
+
+
+NESTED_SCHEMA_VIOLATIONS = """
+WITH o AS (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE 'order--' END || o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+h AS (SELECT *, CASE WHEN l_linenumber % 3 > 0 THEN l_returnflag || CASE WHEN l_quantity > 48 THEN '-------' ELSE '' END END AS how FROM lineitem),
+li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, how NULLS FIRST, l_quantity > 45) - 1 AS nth FROM h),
+n AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT (l_partkey, coalesce(how, ''), l_quantity > 45)) AS different FROM li GROUP BY 1),
+e AS (
+SELECT o_orderkey AS k, 'pattern:id' AS error FROM o WHERE o_orderkey % 11 = 0
+UNION ALL SELECT o_orderkey, 'format:when' FROM o WHERE o_orderkey % 4 = 0
+UNION ALL SELECT o_orderkey, 'no_match:buyer' FROM o WHERE o_custkey > 500
+UNION ALL SELECT o_orderkey, 'no_match:priority' FROM o WHERE NOT (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '%URGENT' OR o_orderpriority LIKE '5%')
+UNION ALL SELECT o_orderkey, 'several:priority' FROM o WHERE o_orderpriority LIKE '1%URGENT'
+UNION ALL SELECT o_orderkey, 'forbidden:status' FROM o WHERE o_orderstatus = 'P'
+UNION ALL SELECT l_orderkey, 'short:lines' FROM n WHERE n < 2
+UNION ALL SELECT l_orderkey, 'long:lines' FROM n WHERE n > 6
+UNION ALL SELECT l_orderkey, 'repeated:lines' FROM n WHERE different < n
+UNION ALL SELECT l_orderkey, 'small:lines/' || nth || '/part' FROM li WHERE l_partkey < 100
+UNION ALL SELECT l_orderkey, 'missing:lines/' || nth || '/how' FROM li WHERE l_linenumber % 3 = 0
+UNION ALL SELECT l_orderkey, 'long:lines/' || nth || '/how' FROM li WHERE length(how) > 7
+UNION ALL SELECT l_orderkey, 'pattern:lines/' || nth || '/how' FROM li WHERE NOT regexp_matches(how, '^[AN]')
+UNION ALL SELECT l_orderkey, 'type:lines/' || nth || '/extra' FROM li WHERE l_quantity > 45)
+SELECT o_custkey AS bundle, id, 'order' AS type, error FROM e JOIN o ON o_orderkey = k
+"""
+
 QUERIES = {f.__name__: (f, sql) for f, sql in (
     (chunk_shapes, CHUNK_SHAPES), (chain_labels, CHAIN_LABELS), (chunk_decisions, CHUNK_DECISIONS), (chunk_operators, CHUNK_OPERATORS), (chunk_overlaps, None), (section_texts, SECTION_TEXTS),
     (source_relationships, SOURCE_RELATIONSHIPS), (analyst_rows, ANALYST_ROWS), (draft_assembly, DRAFT_ASSEMBLY), (odd_values, ODD_VALUES),
-    (process_images, PROCESS_IMAGES), (draft_scores, DRAFT_SCORES), (mirrored_chunks, MIRRORED_CHUNKS), (detection_nodes, DETECTION_NODES), (parsed_sources, PARSED_SOURCES), (schema_violations, SCHEMA_VIOLATIONS),
+    (process_images, PROCESS_IMAGES), (draft_scores, DRAFT_SCORES), (mirrored_chunks, MIRRORED_CHUNKS), (detection_nodes, DETECTION_NODES), (parsed_sources, PARSED_SOURCES), (schema_violations, SCHEMA_VIOLATIONS), (nested_schema_violations, NESTED_SCHEMA_VIOLATIONS),
 )}
