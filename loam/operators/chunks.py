@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.functions.text import STOP_WORDS, jaccard, overlap_tokens, tokens
-from loam.operators.graph import section_ranges, splice
+from loam.operators.graph import section_ranges, sole_starts, splice
 from loam.sources.shared import saved
 
 #: Words in capitals that name no entity.
@@ -158,37 +158,21 @@ def chain_labels(chunks: DataFrame, skipped: DataFrame | None = None) -> DataFra
     """(source_id, chunk_id, chain_label, n_roots): labels of the chains' roots handed down to what they alone reach.
 
     A root without a label is ``chain``. A chunk that two roots or more reach is shared: it keeps its own label, and no label
-    goes past it. A chunk with a label keeps it; of roots that could label one, the first by index does. ``skipped``
-    (source_id, src, dst by id) are edges that do not count. One join a step over all sources at once.
+    goes past it. A chunk with a label keeps it. n_roots is 0, 1 or 2, which stands for two or more: sole_starts() finds the first and the
+    last root that reach a chunk over all sources at once, not all of them. ``skipped`` (source_id, src, dst by id) are edges that do not count.
     """
     edges = successors(chunks)
     if skipped is not None:
         edges = edges.join(skipped, ["source_id", "src", "dst"], "left_anti")
-    edges = saved(edges, "chain-edges")
     root = F.coalesce("chain_root", F.lit(False))
     own = F.when(F.coalesce("chain_label", F.lit("")) != "", F.col("chain_label")).when(root, "chain")
-    labels = saved(chunks.select("source_id", "chunk_id", "sequence_index", own.alias("own"), root.alias("root")), "chain-chunks")
-    starts = labels.where("root").select("source_id", F.col("chunk_id").alias("start"), F.col("chunk_id").alias("node"))
-
-    def walked(front: DataFrame, stops: DataFrame | None) -> DataFrame:
-        seen = front
-        while True:
-            if stops is not None:  # shared chunks are reached but not walked on from, unless they are the start
-                front = front.join(stops, ["source_id", "node"], "left_anti").unionByName(front.where("node = start").join(stops, ["source_id", "node"], "left_semi"))
-            step = front.join(edges.select("source_id", F.col("src").alias("node"), "dst"), ["source_id", "node"]).select("source_id", "start", F.col("dst").alias("node")).distinct()
-            front = saved(step.join(seen, ["source_id", "start", "node"], "left_anti"), "chain-reach")
-            if front.isEmpty():
-                return seen
-            seen = seen.unionByName(front)
-
-    reach = walked(starts, None).groupBy("source_id", "node").agg(F.count("*").alias("n_roots"))
-    reach = saved(reach, "chain-roots")
-    shared = reach.where("n_roots >= 2").select("source_id", "node")
-    told = walked(starts, shared).join(shared.withColumn("is_shared", F.lit(True)), ["source_id", "node"], "left").where("is_shared is null or node = start")
-    given = told.join(labels.select("source_id", F.col("chunk_id").alias("start"), "sequence_index", F.col("own").alias("label")), ["source_id", "start"])
-    given = given.groupBy("source_id", F.col("node").alias("chunk_id")).agg(F.min_by("label", F.struct("sequence_index", "start")).alias("label"))
-    out = labels.join(given, ["source_id", "chunk_id"], "left").join(reach.withColumnRenamed("node", "chunk_id"), ["source_id", "chunk_id"], "left")
-    return out.select("source_id", "chunk_id", F.coalesce("own", "label", F.lit("")).alias("chain_label"), F.coalesce("n_roots", F.lit(0)).alias("n_roots"))
+    labels = saved(chunks.select("source_id", "chunk_id", own.alias("own"), root.alias("root")), "chain-chunks")
+    key = lambda c: F.struct("source_id", F.col(c).alias("chunk_id"))
+    found = sole_starts(edges.select(key("src").alias("src"), key("dst").alias("dst")), labels.where("root").select(key("chunk_id").alias("node")))
+    reach = found.select("node.source_id", "node.chunk_id", F.col("first.chunk_id").alias("start"), F.when(F.col("first") == F.col("last"), 1).otherwise(2).alias("n_roots"))
+    given = labels.where("root").select("source_id", F.col("chunk_id").alias("start"), F.col("own").alias("label"), F.lit(1).alias("n_roots"))
+    told = labels.join(reach, ["source_id", "chunk_id"], "left").join(given, ["source_id", "start", "n_roots"], "left")
+    return told.select("source_id", "chunk_id", F.coalesce("own", "label", F.lit("")).alias("chain_label"), F.coalesce("n_roots", F.lit(0)).alias("n_roots"))
 
 
 def shape(chunks: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ GATE_ORDER, TIERS = ("entities", "chunks", "procedures", "bundle"), ("high", "me
 MATCH, LEXICAL, SALIENCE_WEIGHT, CEILING, TOLD, PINNED, MOST_AGE_DAYS = 0.55, 0.20, 0.15, 80, 15, 25, 90
 KEYWORD, TECHNIQUE, ENTITY_TYPE, TACTIC = 0.3, 0.5, 0.2, 0.2
 EXAMPLE_CEILING, EXAMPLES_TOLD, MOST_OVERRIDES = 120, 6, 25
+#: Terms of a kind that a denylist looks at, and the longest value.
+MOST_TERMS, LONGEST_TERM = 200, 256
 #: The longest rationale and context that an example keeps.
 MOST_RATIONALE, MOST_CONTEXT = 400, 300
 
@@ -354,18 +356,49 @@ def told_rules(rows: DataFrame) -> DataFrame:
     return each.select("source_id", F.array_join(F.transform("b", lambda x: x.text), "\n\n").alias("text"))
 
 
+def denylist_terms(values: Column, technique_ids: Column, entity_types: Column) -> Column:
+    """Terms that a denylist enforces, as a struct of three arrays in order, each term once: values trimmed, without control signs and of 256 signs at most
+    (letter case aside; the first spelling stays), ids of techniques in capitals, types in small letters. At most MOST_TERMS of each are looked at."""
+    some = lambda c: F.filter(F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, MOST_TERMS), lambda x: x.isNotNull())
+    first = lambda c, key: F.filter(c, lambda x, k: F.array_position(F.transform(c, key), key(x)) == k + 1)
+    clean = F.filter(F.transform(some(values), lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) <= LONGEST_TERM) & ~F.rlike(x, F.lit(r"[\x00-\x1F\x7F]")))
+    ids = F.array_distinct(F.filter(F.transform(some(technique_ids), lambda x: F.upper(F.trim(x))), lambda x: F.rlike(x, F.lit(r"^T\d{4}(\.\d{3})?$"))))
+    types = F.array_distinct(F.filter(F.transform(some(entity_types), lambda x: F.lower(F.trim(x))), lambda x: (x != "") & (F.length(x) <= 64) & ~F.rlike(x, F.lit(r"[\x00-\x1F\x7F]"))))
+    return F.struct(first(clean, lambda x: F.lower(x)).alias("values"), ids.alias("technique_ids"), types.alias("entity_types"))
+
+
 def updated_patterns(patterns: DataFrame, changes: DataFrame) -> DataFrame:
-    """Patterns after promotions, dismissals and edits (pattern_id, action, by, text): statuses and texts of those named.
+    """Patterns after changes (pattern_id, at, action, by, text, category, terms: struct of values, technique_ids, entity_types), each kind apart and by time.
 
-    promote_to_prompt, promote_to_denylist, dismiss and archive set the status; edit replaces the text; the note of who did
-    what is cut to 255 characters. One change per pattern counts, the last by name.
+    promote_to_prompt, promote_to_denylist, dismiss and archive set the status, the last of them counts; a dismissal leaves what the last promotion wrote:
+    promoted_at, promoted_by, promoted_action and denylist_terms. A promotion to the denylist takes its terms and names them, in 255 signs
+    at most; one to the prompt clears terms and names the category that the pattern had then. An edit sets the text and the category where it has
+    one, the last of each counts. Changes of one time go by action, then by who made them. Patterns without changes keep what they have; changes of unknown
+    patterns and with unknown actions do nothing.
     """
-    status = _lookup({"promote_to_prompt": "promoted_to_prompt", "promote_to_denylist": "promoted_to_denylist", "dismiss": "dismissed", "archive": "archived"}, F.col("action"))
-    one = changes.groupBy("pattern_id").agg(F.max(F.struct("action", "by", "text")).alias("c")).select("pattern_id", "c.*")
-    told = patterns.join(one, "pattern_id", "left")
-    note = F.when(F.col("action").isNotNull(), F.substring(F.concat_ws(" ", "action", F.lit("by"), "by"), 1, 255))
-    new = {"status": F.coalesce(status, "status"), "pattern": F.when(F.col("action") == "edit", F.coalesce("text", "pattern")).otherwise(F.col("pattern"))}
-    return told.select(*[new[c].alias(c) if c in new else F.col(c) for c in patterns.columns], note.alias("promoted_action"))
+    promotions, kinds = ("promote_to_prompt", "promote_to_denylist"), {"promote_to_prompt": "promoted_to_prompt", "promote_to_denylist": "promoted_to_denylist", "dismiss": "dismissed", "archive": "archived"}
+    when = F.struct("at", "action", "by", "text", "category")
+    known = changes.join(patterns.select("pattern_id", F.col("category").alias("own")).dropDuplicates(["pattern_id"]), "pattern_id")
+    edits = F.when(F.col("action") == "edit", F.col("category"))
+    then = F.coalesce(F.last(edits, ignorenulls=True).over(Window.partitionBy("pattern_id").orderBy("at", "action", "by", "text", "category")), "own")
+    terms = denylist_terms(F.col("terms.values"), F.col("terms.technique_ids"), F.col("terms.entity_types"))
+    none = denylist_terms(F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"))
+    listed = F.col("action") == "promote_to_denylist"
+    told = known.withColumn("then", then).withColumn("clean", F.when(listed, terms).otherwise(none))
+    enforced = F.concat(F.col("clean.values"), F.col("clean.technique_ids"))
+    note = F.when(~listed, F.concat(F.lit("prompt:"), F.col("then"))).when(F.size(enforced) == 0, "denylist:(no enforceable terms — advisory only)").otherwise(F.substring(F.concat(F.lit("denylist:"), F.array_join(enforced, ", ")), 1, 255))
+    promoted = F.struct(F.col("at").alias("promoted_at"), F.col("by").alias("promoted_by"), note.alias("promoted_action"), F.col("clean").alias("denylist_terms"))
+    last = lambda value, test: F.max_by(value, F.when(test, when)).alias
+    is_edit = F.col("action") == "edit"
+    one = told.groupBy("pattern_id").agg(
+        last(_lookup(kinds, F.col("action")), F.col("action").isin(*kinds))("new_status"), last(promoted, F.col("action").isin(*promotions))("promotion"),
+        last(F.col("text"), is_edit & F.col("text").isNotNull())("new_text"), last(F.col("category"), is_edit & F.col("category").isNotNull())("new_category"),
+    )
+    out = patterns.join(one, "pattern_id", "left")
+    new = {"status": F.coalesce("new_status", "status"), "pattern": F.coalesce("new_text", "pattern"), "category": F.coalesce("new_category", "category")}
+    written = ("promoted_at", "promoted_by", "promoted_action", "denylist_terms")
+    kept = lambda c: F.when(F.col("promotion").isNotNull(), F.col(f"promotion.{c}")).otherwise(F.col(c)) if c in patterns.columns else F.col(f"promotion.{c}")
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in patterns.columns if c not in written], *[kept(c).alias(c) for c in written])
 
 
 def searched(patterns: DataFrame, search: str | None = None, category: str | None = None, status: str | None = None, least: float | None = None) -> DataFrame:

@@ -65,15 +65,16 @@ def splice(edges: DataFrame, present: DataFrame) -> DataFrame:
     return done.where("src <> dst").distinct()
 
 
-def reachable(edges: DataFrame, starts: DataFrame, hops: int = 10) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, hops: int | None = None) -> DataFrame:
     """(start, node, depth): every node reached from each start, by its least depth; starts are at 0.
 
-    One join a hop, written to the shared folder; a node already reached is not walked again, so cycles end.
+    ``hops`` bounds the depth; without it the walk goes on until nothing new is reached. One join a hop, written to the shared folder;
+    a node already reached is not walked again, so cycles end. The clean edges are written once.
     """
-    seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
-    front = seen
-    clean = clean_edges(edges)
-    for depth in range(1, hops + 1):
+    seen = saved(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).where("node is not null").distinct(), "reached")
+    front, clean, depth = seen, saved(clean_edges(edges), "reach-edges"), 0
+    while hops is None or depth < hops:
+        depth += 1
         step = front.join(clean, front["node"] == clean["src"]).select("start", F.col("dst").alias("node")).distinct()
         front = saved(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reached")
         if front.isEmpty():
@@ -82,6 +83,57 @@ def reachable(edges: DataFrame, starts: DataFrame, hops: int = 10) -> DataFrame:
     return seen
 
 
+def _passing(edges: DataFrame, starts: DataFrame) -> DataFrame | None:
+    """(node, up): for every node that has one way in and is no start the nearest node before it that is none of these, null where there is none.
+
+    Ups double their reach in every round; those that have not arrived after as many rounds as nodes have binary digits run in a circle, which
+    no start reaches. None if no such node has a way out.
+    """
+    one = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("up")).where("n = 1").select(F.col("dst").alias("node"), "up")
+    up = saved(one.join(starts, "node", "left_anti"), "chain-ups")
+    if up.join(edges.select(F.col("src").alias("node")), "node", "left_semi").isEmpty():
+        return None
+    passing = saved(up.select(F.col("node").alias("up")), "chain-passing")
+    for _ in range(up.count().bit_length() // 2 + 1):
+        if up.join(passing, "up", "left_semi").isEmpty():
+            return up
+        before, on = up, up
+        for _ in range(2):
+            over = on.select(F.col("node").alias("up"), F.col("up").alias("over"))
+            on = on.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"))
+        up = saved(on, "chain-ups")
+        dropped(before)
+    circling = passing.withColumn("circling", F.lit(True))
+    return up.join(circling, "up", "left").select("node", F.when(F.col("circling").isNull(), F.col("up")).alias("up"))
+
+
+def sole_starts(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, first, last): the smallest and the largest start (node) that each reached node is reached from, itself included if it is one.
+
+    They are equal where one start alone reaches a node. Instead of all starts of all nodes two a node are carried. A node with one way in
+    is reached by what reaches the node before it, so its ways out may begin there instead: chains become single steps (one of 2,000
+    nodes in 11 rounds), and ways that part and meet again become one, which makes new chains. What is left, where ways of different
+    origin meet, is walked a step at a time, and only nodes whose starts have changed walk on. Cycles end; nodes that no start reaches
+    are left out.
+    """
+    starts = saved(starts.select("node").where("node is not null").distinct(), "starts")
+    short = saved(clean_edges(edges), "start-edges")
+    while (up := _passing(short, starts)) is not None:
+        moved = short.join(up.select(F.col("node").alias("src"), "up", F.lit(True).alias("passing")), "src", "left")
+        moved = moved.select(F.when(F.col("passing"), F.col("up")).otherwise(F.col("src")).alias("src"), "dst").where("src is not null and src <> dst")
+        before, short = short, saved(moved.distinct(), "start-edges")
+        dropped(before)
+    known = saved(starts.select("node", F.col("node").alias("first"), F.col("node").alias("last"), F.lit(True).alias("new")), "sole-starts")
+    while not known.where("new").isEmpty():
+        told = known.where("new").select(F.col("node").alias("src"), "first", "last").join(short, "src")
+        told = told.groupBy(F.col("dst").alias("node")).agg(F.min("first").alias("f"), F.max("last").alias("l"))
+        both = known.join(told, "node", "full_outer").select("node", F.least("first", "f").alias("a"), F.greatest("last", "l").alias("b"), "first", "last")
+        same = F.col("a").eqNullSafe(F.col("first")) & F.col("b").eqNullSafe(F.col("last"))
+        before, known = known, saved(both.select("node", F.col("a").alias("first"), F.col("b").alias("last"), (~same).alias("new")), "sole-starts")
+        dropped(before)
+    return known.select("node", "first", "last")
+
+
 def flipped(edges: DataFrame, kinds: DataFrame, rules: DataFrame) -> DataFrame:
     """Edges (id, src, dst, verb) with the ends swapped where only the reverse fits the rules (verb, src_kind, dst_kind)."""
     s = kinds.select(F.col("node").alias("src"), F.col("kind").alias("sk"))

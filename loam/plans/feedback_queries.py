@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.operators import feedback as B
 from loam.plans.bundle_queries import objects
+from loam.sources.shared import new_path
 from loam.sources import store as S
 from loam.sources.tables import table
 
@@ -282,7 +283,59 @@ SELECT CASE WHEN o_custkey % 3 = 0 THEN 'ann' WHEN o_orderkey % 2 = 0 THEN ['ann
 FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1, 2, 3
 """
 
+def rule_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Rules after what customers, in order, did to them: promotions with terms, dismissals and edits, several to a rule."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    text = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
+    terms = F.struct(
+        F.when(k % 3 > 0, F.array(F.concat(F.lit(" "), text("Name", 50)), F.upper(text("name", 50)), F.lit(""), F.lit("a\tb"))).alias("values"),
+        F.when(k % 4 > 0, F.array(F.concat(F.lit("t"), (k % 20 + 1000).cast("string")), F.lit("nope"))).alias("technique_ids"), F.array(F.lit("Tool"), F.lit("tool ")).alias("entity_types"),
+    )
+    changes = c.select(
+        (k % 149).cast("string").alias("pattern_id"), k.alias("at"), _nth(("promote_to_prompt", "edit", "promote_to_denylist", "dismiss", "edit", "rename"), F.floor(k / 7)).alias("action"), F.col("c_mktsegment").alias("by"),
+        F.when(k % 2 == 0, text("text ", 30)).alias("text"), F.when(k % 5 == 0, text("category ", 6)).alias("category"), terms.alias("terms"),
+    )
+    found = B.updated_patterns(_patterns(spark, d).select("pattern_id", "category", "pattern", "status"), changes)
+    joined = lambda f: F.array_join(F.col(f"denylist_terms.{f}"), ",").alias(f)
+    return found.select("pattern_id", "category", "pattern", "status", F.coalesce("promoted_at", F.lit(-1)).alias("promoted_at"), "promoted_by", "promoted_action", joined("values"), joined("technique_ids"), joined("entity_types"))
+
+
+RULE_UPDATES = f"""
+WITH {_PATTERNS}, c AS (SELECT (c_custkey % 149)::VARCHAR AS p, c_custkey AS k, c_mktsegment AS by_, ['promote_to_prompt', 'edit', 'promote_to_denylist', 'dismiss', 'edit', 'rename'][(c_custkey // 7) % 6 + 1] AS action,
+  CASE WHEN c_custkey % 2 = 0 THEN 'text ' || c_custkey % 30 END AS text, CASE WHEN c_custkey % 5 = 0 THEN 'category ' || c_custkey % 6 END AS cat, CASE WHEN c_custkey % 3 > 0 THEN 'Name' || c_custkey % 50 END AS val, CASE WHEN c_custkey % 4 > 0 THEN 'T' || (c_custkey % 20 + 1000) END AS tid FROM customer),
+o AS (SELECT u::VARCHAR AS p, category, 'rule about CVE-2024-' || (u % 3 + 1000) AS pattern, status FROM pt),
+st AS (SELECT p, arg_max(CASE action WHEN 'dismiss' THEN 'dismissed' WHEN 'promote_to_prompt' THEN 'promoted_to_prompt' ELSE 'promoted_to_denylist' END, k) AS status FROM c WHERE action IN ('dismiss', 'promote_to_prompt', 'promote_to_denylist') GROUP BY 1),
+tx AS (SELECT p, arg_max(text, k) AS text FROM c WHERE action = 'edit' AND text IS NOT NULL GROUP BY 1), ca AS (SELECT p, arg_max(cat, k) AS cat FROM c WHERE action = 'edit' AND cat IS NOT NULL GROUP BY 1),
+pr AS (SELECT * FROM c WHERE action LIKE 'promote%' QUALIFY row_number() OVER (PARTITION BY p ORDER BY k DESC) = 1)
+SELECT o.p AS pattern_id, coalesce(ca.cat, category) AS category, coalesce(tx.text, pattern) AS pattern, coalesce(st.status, o.status) AS status, coalesce(pr.k, -1) AS promoted_at, pr.by_ AS promoted_by,
+  CASE WHEN pr.action = 'promote_to_prompt' THEN 'prompt:' || coalesce((SELECT arg_max(x.cat, x.k) FROM c x WHERE x.p = o.p AND x.action = 'edit' AND x.cat IS NOT NULL AND x.k < pr.k), category)
+    WHEN pr.action IS NOT NULL AND val IS NULL AND tid IS NULL THEN 'denylist:(no enforceable terms — advisory only)' WHEN pr.action IS NOT NULL THEN 'denylist:' || concat_ws(', ', val, tid) END AS promoted_action,
+  CASE WHEN pr.action = 'promote_to_denylist' THEN coalesce(val, '') WHEN pr.action IS NOT NULL THEN '' END AS "values", CASE WHEN pr.action = 'promote_to_denylist' THEN coalesce(tid, '') WHEN pr.action IS NOT NULL THEN '' END AS technique_ids,
+  CASE WHEN pr.action = 'promote_to_denylist' THEN 'tool' WHEN pr.action IS NOT NULL THEN '' END AS entity_types
+FROM o LEFT JOIN st USING (p) LEFT JOIN tx USING (p) LEFT JOIN ca USING (p) LEFT JOIN pr USING (p)
+"""
+
+
+def graph_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Two bundles of reports taken into a graph on disk one after the other, and the first again with other names: what lies there then."""
+    nodes, _, describes = _report_graph(spark, d)
+    path = new_path(spark, "graph")
+    number = F.split("stix_id", "--")[1].cast("long")
+    for turn, (side, mark) in enumerate(((0, ""), (1, ""), (0, "!"))):
+        name = F.concat(F.try_element_at("props", F.lit("name")), F.lit(mark))
+        mine = nodes.where(number % 2 == side).withColumn("props", F.create_map(F.lit("name"), name)).withColumn("bundle", F.lit(turn))
+        S.upserted(mine, describes.where(F.split("src", "--")[1].cast("long") % 2 == side), path, buckets=32)
+    there, links = S.graph_at(spark, path)
+    told = there.groupBy(F.col("label").alias("what")).agg(F.count("*").alias("n"), F.count_if(F.endswith(F.try_element_at("props", F.lit("name")), F.lit("!"))).alias("n_new"))
+    return told.unionByName(links.groupBy(F.col("verb").alias("what")).agg(F.count("*").alias("n"), F.count_if(F.lit(False)).alias("n_new")))
+
+
+GRAPH_UPSERTS = """
+SELECT upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS what, count(*) AS n, count(*) FILTER (p_partkey % 2 = 0 AND p_partkey % 5 > 0) AS n_new FROM part GROUP BY 1 UNION ALL SELECT 'Report', count(*), count(*) FILTER (c_custkey % 2 = 0) FROM customer
+UNION ALL SELECT 'DESCRIBES', count(*), 0 FROM (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+"""
+
 QUERIES = {f.__name__: (f, sql) for f, sql in (
     (advice_outcomes, ADVICE_OUTCOMES), (gate_agreement, GATE_AGREEMENT), (tier_agreement, TIER_AGREEMENT), (surfacing_outcomes, SURFACING_OUTCOMES), (pattern_scores, PATTERN_SCORES), (rule_ranking, RULE_RANKING),
-    (rule_upsert, RULE_UPSERT), (correction_examples, CORRECTION_EXAMPLES), (graph_writes, GRAPH_WRITES), (report_undo, REPORT_UNDO), (report_list, REPORT_LIST), (source_claims, SOURCE_CLAIMS),
+    (rule_upsert, RULE_UPSERT), (rule_updates, RULE_UPDATES), (graph_upserts, GRAPH_UPSERTS), (correction_examples, CORRECTION_EXAMPLES), (graph_writes, GRAPH_WRITES), (report_undo, REPORT_UNDO), (report_list, REPORT_LIST), (source_claims, SOURCE_CLAIMS),
 )}

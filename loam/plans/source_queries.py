@@ -53,7 +53,7 @@ WITH RECURSIVE {_CHUNKS}, ro AS (SELECT s, k, i, 'L' || i AS label FROM ch WHERE
 w(s, root, node) AS (SELECT s, k, k FROM ro UNION SELECT w.s, w.root, ed.dst FROM w JOIN ed ON ed.s = w.s AND ed.src = w.node), n AS (SELECT s, node, count(*) AS n FROM w GROUP BY 1, 2),
 v(s, root, node) AS (SELECT s, k, k FROM ro UNION SELECT v.s, v.root, ed.dst FROM v JOIN ed ON ed.s = v.s AND ed.src = v.node JOIN n ON n.s = v.s AND n.node = v.node WHERE n.n < 2 OR v.node = v.root),
 g AS (SELECT v.s, v.node, arg_min(label, (ro.i, 'c' || ro.k)) AS label FROM v JOIN ro ON ro.s = v.s AND ro.k = v.root JOIN n ON n.s = v.s AND n.node = v.node WHERE n.n < 2 OR v.node = v.root GROUP BY 1, 2)
-SELECT ch.s AS source_id, 'c' || ch.k AS chunk_id, coalesce(ro.label, g.label, '') AS chain_label, coalesce(n.n, 0) AS n_roots FROM ch LEFT JOIN ro ON ro.k = ch.k LEFT JOIN g ON g.s = ch.s AND g.node = ch.k LEFT JOIN n ON n.s = ch.s AND n.node = ch.k
+SELECT ch.s AS source_id, 'c' || ch.k AS chunk_id, coalesce(ro.label, g.label, '') AS chain_label, least(coalesce(n.n, 0), 2)::INT AS n_roots FROM ch LEFT JOIN ro ON ro.k = ch.k LEFT JOIN g ON g.s = ch.s AND g.node = ch.k LEFT JOIN n ON n.s = ch.s AND n.node = ch.k
 """
 
 

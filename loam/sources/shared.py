@@ -47,6 +47,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Deletes tables that saved() gave and that nothing will read again; other DataFrames are left alone."""
     for table in tables:

@@ -1,16 +1,19 @@
 """What finished sources leave behind: the property graph, bundles and the tables of sources, as rows that are rewritten by key.
 
 Parquet has no updates, so a change gives the new table and the caller writes it; every function here is a DataFrame function
-but write_tables(). Graph rows are nodes (stix_id, label, props, ingested_by) and edges (src, verb, dst).
+but upserted(), which takes a bundle into the graph on disk. Graph rows are nodes (stix_id, label, props, ingested_by) and edges (src, verb, dst).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import MapType
 
 from loam.functions.values import SAFE_KEY, safe_props
 from loam.operators.bundle import references, report_refs
-from loam.sources.shared import saved
+from loam.sources.shared import exists, saved
 
 #: Labels of object types and names of verbs in the graph.
 LABELS = {
@@ -88,10 +91,48 @@ def writable(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame,
     return told.where("ok").drop("ok"), counts, told.where("not ok").drop("ok").orderBy("bundle", "src", "verb", "dst").limit(MOST_DETAILS)
 
 
-def write_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes by label and edges by verb in folders of their own; a run that is repeated replaces them."""
-    nodes.write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("verb").parquet(f"{path}/edges")
+def _bucket(ref: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(ref), F.lit(buckets).cast("long")).cast("int").alias("bucket")
+
+
+def _rewritten(spark: SparkSession, new: DataFrame, path: str, buckets: int, key: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+    """Writes the buckets of ``key`` that ``new`` has rows for and that change by them; ``merge`` makes a bucket's rows of the old ones and the new."""
+    touched = [r[0] for r in new.select(_bucket(key, buckets)).distinct().collect()]  # numbers below ``buckets``
+    if not touched:
+        return
+    here = exists(spark, path)
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)) if here else None
+    after = merge(old.drop("bucket") if old is not None else None, new).withColumn("bucket", _bucket(key, buckets))
+    if old is not None:
+        # what stands there already is not written again: a bucket counts as changed if its rows differ
+        print_ = lambda df: df.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[F.to_json(c) if isinstance(df.schema[c].dataType, MapType) else F.col(c) for c in sorted(df.columns) if c != "bucket"]).cast("decimal(38,0)")).alias("h"))
+        after = saved(after.select(old.columns), "graph-buckets")
+        same = print_(after).join(print_(old), ["bucket", "n", "h"], "left_semi").select("bucket")
+        after = saved(after.join(F.broadcast(same), "bucket", "left_anti"), "graph-buckets")  # at most one row a bucket
+        if after.isEmpty():
+            return
+    after.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def upserted(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 256) -> None:
+    """A bundle's nodes (bundle, stix_id, label, props, ingested_by) and edges (bundle, src, verb, dst) taken into the graph under ``path``.
+
+    Nodes are merged() with those there, an edge that is there already stays as it is. Both lie in folders by a hash of the node or of the
+    edge's start; only the folders that a bundle changes are written, each by one task and as one file, so a repeated bundle writes
+    nothing and a bundle costs its own buckets whatever the graph holds. Choose ``buckets`` for the graph's final size and keep it.
+    Edges go last, so a run that is lost between the two leaves nodes without edges, which the next run mends.
+    """
+    spark = nodes.sparkSession
+    fresh = saved(nodes.select("bundle", "stix_id", "label", "props", "ingested_by"), "graph-nodes")
+    none = fresh.drop("bundle").limit(0)
+    _rewritten(spark, fresh, f"{path}/nodes", buckets, "stix_id", lambda old, new: merged(old if old is not None else none, new))
+    links = saved(edges.select("src", "verb", "dst").distinct(), "graph-links")
+    _rewritten(spark, links, f"{path}/edges", buckets, "src", lambda old, new: new if old is None else old.unionByName(new).distinct())
+
+
+def graph_at(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges that upserted() has written."""
+    return spark.read.parquet(f"{path}/nodes").drop("bucket"), spark.read.parquet(f"{path}/edges").drop("bucket")
 
 
 def reports(nodes: DataFrame, describes: DataFrame) -> DataFrame:
@@ -128,7 +169,7 @@ def observables_of(techniques: DataFrame, edges: DataFrame, nodes: DataFrame) ->
 def visible(nodes: DataFrame, edges: DataFrame, layers: dict[str, list[str]], on: list[str]) -> tuple[DataFrame, DataFrame]:
     """Nodes whose label lies in a layer that is on, or in none, and the edges between them."""
     hidden = [label for layer, labels in layers.items() if layer not in on for label in labels]
-    kept = nodes.where(~F.col("label").isin(hidden)) if hidden else nodes
+    kept = nodes.where(~F.coalesce(F.col("label").isin(hidden), F.lit(False))) if hidden else nodes
     ids = kept.select("stix_id").distinct()
     ends = edges.join(ids.withColumnRenamed("stix_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("stix_id", "dst"), "dst", "left_semi")
     return kept, ends
@@ -169,7 +210,8 @@ def captured(state: DataFrame, path: str) -> None:
 
 
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> tuple[DataFrame, int]:
-    """One page of a list in a given order, and how many rows there are in all."""
+    """One page of a list in a given order, and how many rows there are in all; what makes the rows runs once."""
+    rows = saved(rows, "listed")
     return rows.orderBy(*order).offset(offset).limit(limit), rows.count()
 
 
