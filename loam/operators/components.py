@@ -10,7 +10,7 @@ from loam.sources.shared import dropped, saved
 HEAVY = 100_000
 
 
-def _looked_up(rows: DataFrame, key: str, names: DataFrame, heavy: DataFrame | None) -> DataFrame:
+def looked_up(rows: DataFrame, key: str, names: DataFrame, heavy: DataFrame | None) -> DataFrame:
     """``rows`` with the columns that ``names`` has for ``key``, null where it has none; ``heavy``: the keys that may have over HEAVY rows."""
     if heavy is None:
         return rows.join(names, key, "left")
@@ -20,7 +20,8 @@ def _looked_up(rows: DataFrame, key: str, names: DataFrame, heavy: DataFrame | N
     return often.unionByName(rest)
 
 
-def _heavy(counted: DataFrame, key: str, name: str) -> DataFrame | None:
+def heavy_keys(counted: DataFrame, key: str, name: str) -> DataFrame | None:
+    """The values of ``key`` that ``counted`` (key, n) gives over HEAVY rows, as ``name``; None if there are none."""
     heavy = counted.where(F.col("n") > HEAVY).select(F.col(key).alias(name))
     return None if heavy.isEmpty() else heavy
 
@@ -29,7 +30,7 @@ def _renamed(edges: DataFrame, to: DataFrame, heavy: DataFrame | None) -> DataFr
     """The different edges between the names that ``to`` gives both ends."""
     for end in "ab":
         names = to.select(F.col("node").alias(end), F.col("to").alias(f"new_{end}"))
-        edges = _looked_up(edges, end, names, None if heavy is None else heavy.select(F.col("node").alias(end)))
+        edges = looked_up(edges, end, names, None if heavy is None else heavy.select(F.col("node").alias(end)))
     x, y = F.col("new_a"), F.col("new_b")
     return edges.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
@@ -60,7 +61,7 @@ def connected_components(edges: DataFrame, contractions: list[int] | None = None
         least = both.groupBy("a").agg(F.min_by("b", place("b")).alias("first"), F.count("*").alias("n"))
         name = F.when(place("first") < place("a"), F.col("first")).otherwise(F.col("a"))
         to = saved(least.select(F.col("a").alias("node"), name.alias("to"), "n"), "names")
-        heavy = _heavy(to, "node", "node")
+        heavy = heavy_keys(to, "node", "node")
         before, edges = edges, saved(_renamed(edges, to, heavy), "edges")
         rounds.append((to.select("node", "to"), heavy))
         rounds[-1][0].__dict__["_table"] = to
@@ -75,8 +76,8 @@ def connected_components(edges: DataFrame, contractions: list[int] | None = None
             continue
         # a name is taken by a hub's neighbours only, so the hubs are all names that may have many rows
         later = known.select(F.col("node").alias("to"), F.col("to").alias("last"))
-        found = _looked_up(to, "to", later, None if heavy is None else heavy.select(F.col("node").alias("to")))
+        found = looked_up(to, "to", later, None if heavy is None else heavy.select(F.col("node").alias("to")))
         before, known = known, saved(found.select("node", F.coalesce("last", "to").alias("to")), "names")
         dropped(before, to.__dict__["_table"])
     classes = saved(known.groupBy("to").agg(F.min("node").alias("component"), F.count("*").alias("n")), "classes")
-    return _looked_up(known, "to", classes.select("to", "component"), _heavy(classes, "to", "to")).select("node", "component")
+    return looked_up(known, "to", classes.select("to", "component"), heavy_keys(classes, "to", "to")).select("node", "component")
