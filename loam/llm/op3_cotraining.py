@@ -154,7 +154,8 @@ def handed_over(unlabelled: DataFrame, weights: list[np.ndarray], counts: tuple[
     rows = unlabelled.select("a", "b", F.xxhash64(F.lit(turn), "id", "a").alias("draw"))
     found = rows.mapInPandas(judge, "view int, verdict int, draw long, features binary")
     ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("view", "verdict").orderBy("draw", "features")))
-    chosen = ranked.where(F.col("place") <= F.when(F.col("verdict") == 1, counts[1]).otherwise(counts[0]))
+    # a literal bound lets every task pass on no more rows than may be taken
+    chosen = ranked.where(F.col("place") <= max(counts)).where(F.col("place") <= F.when(F.col("verdict") == 1, counts[1]).otherwise(counts[0]))
     return chosen.orderBy("view", "verdict", "place").select("view", "verdict", "features").collect()  # at most twice HANDED rows
 
 

@@ -287,3 +287,18 @@ def test_shapes_see_whole_words_and_labelled_rows_are_bounded(spark, pages):
     assert op3_cotraining.classify(many, labels, most_labelled=50).count() == many.count()
     none = spark.createDataFrame([], DOCS)
     assert op3_cotraining.classify(none, labels).count() == 0
+
+
+def test_a_task_hands_over_no_more_than_may_be_taken(spark, monkeypatch):
+    """The plan of a round limits each view and verdict in its tasks, before anything is shuffled."""
+    from loam.llm import op3_cotraining as op3
+
+    frame = type(spark.range(1))
+    plans, collect = [], frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    weights = [np.zeros(op3.CONTENT + 1), np.zeros(op3.METADATA + 1)]
+    weights[0][-1] = weights[1][-1] = 10.0
+    rows = [(k, np.zeros(op3.CONTENT, np.float32).tobytes(), np.zeros(op3.METADATA, np.float32).tobytes()) for k in range(50)]
+    given = op3.handed_over(spark.createDataFrame(rows, "id long, a binary, b binary"), weights, (2, 3), 0)
+    assert sorted((r.view, r.verdict) for r in given) == [(0, 1)] * 3 + [(1, 1)] * 3
+    assert plans[-1].count("WindowGroupLimit") >= 2
