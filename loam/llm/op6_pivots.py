@@ -24,6 +24,8 @@ from loam.llm.shared import hashed_share, saved
 #: Vectors in a block of an inverted list; bounds of the number of pivots, which is 4 times the root of the vectors; groups of
 #: pivots that a vector is compared with.
 BLOCK, LEAST_PIVOTS, MOST_PIVOTS, GROUPS = 256, 64, 16_384, 8
+#: Copies of a vector beyond which they take its entry from a broadcast.
+HEAVY = 100_000
 #: The largest cosine between two pivots.
 SPREAD = 0.8
 
@@ -180,7 +182,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, nearest: int = 10, sha
     entries = unique.join(linked, "rep", "left").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
     entries = saved(entries.withColumn("component", F.coalesce("component", "rep")), "vector-entries")
     smallest = entries.groupBy("component").agg(F.min("least").alias("component_id"))
-    entries = entries.join(smallest, "component").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    joined = good.join(entries, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    entries = entries.join(smallest, "component").select("label", "embedding", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    often = F.col("copies") > HEAVY  # one entry in HEAVY vectors at most, so broadcast
+    many = entries.where(often)
+    joined = good.join(entries.where(~often), ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    if not many.isEmpty():
+        joined = joined.unionByName(good.join(F.broadcast(many), ["label", "embedding"]).select("vec_id", "n_links", "component_id"))
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
