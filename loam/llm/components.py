@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from loam.operators.components import connected_components
+from loam.operators.components import connected_components, heavy_keys, looked_up
 
-__all__ = ["connected_components", "forest"]
+__all__ = ["connected_components", "forest", "heavy_keys", "looked_up"]
 
 
 def forest(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:

@@ -15,7 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loam.llm.components import connected_components, forest
+from loam.llm.components import connected_components, forest, heavy_keys, looked_up
 from loam.llm.shared import saved
 
 SHINGLE, SEED, SEGMENT_BITS = 3, 42, 32
@@ -110,9 +110,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest while there is another; repeated rows each give a row; other columns are ignored.
     """
     prints = saved(docs.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
-    unique = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "unique-fingerprints")
+    unique = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "unique-fingerprints")
     component = connected_components(links(unique.select("fp")))
     named = unique.join(component.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_print = saved(named.join(smallest, "component").select("fp", "component_id"), "fingerprint-components")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return looked_up(prints, "fp", of_print, heavy_keys(unique, "fp", "fp")).select("doc_id", "fp", "component_id")

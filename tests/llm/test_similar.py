@@ -226,3 +226,40 @@ def test_closest_pivots_over_groups():
     few = op6_pivots.unit(rng.normal(size=(5, 16)).tolist())
     assert op6_pivots.closest(x, few, op6_pivots.grouped(few), 10).shape == (300, 5)
     assert (np.sort(op6_pivots.closest(x, few, op6_pivots.grouped(few), 5)) == np.arange(5)).all()
+
+
+def test_links_among_vectors_made_from_the_given_ones(spark, sf_dir):
+    """Each given vector with turned copies at cosines from 0.90 to 0.96; copies of one vector go by broadcast where they are many."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").limit(300).collect()
+    rng = np.random.default_rng(4)
+    made = []
+    for r in rows:
+        v = np.array(r.embedding, np.float64)
+        v /= np.linalg.norm(v)
+        away = rng.normal(size=len(v))
+        away -= (away @ v) * v
+        away /= np.linalg.norm(away)
+        made += [(len(made) + k, (c * v + np.sqrt(1 - c * c) * away).tolist(), r.label) for k, c in enumerate((1.0, 0.90, 0.925, 0.935, 0.96))]
+    made += [(10_000 + k, made[0][1], made[0][2]) for k in range(8)]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>, label int")
+    before, op6_pivots.HEAVY = op6_pivots.HEAVY, 5
+    try:
+        found = {r.vec_id: (r.n_links, r.component_id) for r in op6_pivots.near_vectors(table).collect()}
+    finally:
+        op6_pivots.HEAVY = before
+    x, label = np.array([e for _, e, _ in made]), np.array([lab for *_, lab in made])
+    close = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(close, False)
+    expected = close.sum(1)
+    got = np.array([found[k][0] for k, *_ in made])
+    assert (got <= expected).all() and got.sum() >= 0.98 * expected.sum() and expected.sum() > 1500
+    assert all(found[10_000 + k] == found[0] for k in range(8))
+
+
+def test_a_print_of_many_documents_goes_by_broadcast(spark, monkeypatch):
+    from loam.operators import components
+
+    monkeypatch.setattr(components, "HEAVY", 3)
+    docs = spark.createDataFrame([(k, "" if k % 2 else f"word{k} and more words here {k}") for k in range(20)] + [(None, None)], "doc_id long, text string")
+    found = op10_simhash.near_duplicates(docs).collect()
+    assert len(found) == 21 and {r.component_id for r in found if r.fp == 0} == {1}
