@@ -11,10 +11,14 @@ HEAVY = 100_000
 
 
 def looked_up(rows: DataFrame, key: str, names: DataFrame, heavy: DataFrame | None) -> DataFrame:
-    """``rows`` with the columns that ``names`` has for ``key``, null where it has none; ``heavy``: the keys that may have over HEAVY rows."""
+    """``rows`` with the columns that ``names`` has for ``key``, null where it has none; ``heavy``: the keys that may have over HEAVY rows.
+
+    Names are shuffled at any size: the many small tables of late rounds would else each be collected and broadcast by the driver.
+    """
+    names = names.hint("merge")
     if heavy is None:
         return rows.join(names, key, "left")
-    known = heavy.join(names, key, "left")
+    known = heavy.join(names, key, "left")  # as few as the heavy keys
     often = rows.join(F.broadcast(known), key)
     rest = rows.join(F.broadcast(heavy), key, "left_anti").join(names, key, "left")
     return often.unionByName(rest)
