@@ -86,7 +86,8 @@ def links(unique: DataFrame, distance: int = 3) -> DataFrame:
     dense = not counted.isEmpty()
     sparse = entry.join(counted, ["seg", "key"], "left_anti") if dense else entry
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
-    joined = balls.join(sparse, ["seg", "key"]).where((F.col("fp") < F.col("other")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    # neither side is broadcast: a ball has 33 rows where Spark's estimate counts one
+    joined = balls.hint("merge").join(sparse.hint("merge"), ["seg", "key"]).where((F.col("fp") < F.col("other")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     if not dense:
         return joined
     blocks = F.ceil(F.col("entries") / F.lit(BLOCK)).cast("int")
