@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that each hold QUERIES: name -> (function of session and folder, SQL or None).
-MODULES: tuple[str, ...] = ("text_queries", "record_queries", "graph_queries", "entity_queries", "flow_queries", "pick_queries", "stream_queries", "bundle_queries", "technique_queries", "source_queries", "feedback_queries", "sql_queries")
+MODULES: tuple[str, ...] = ("text_queries", "record_queries", "graph_queries", "entity_queries", "flow_queries", "pick_queries", "stream_queries", "bundle_queries", "technique_queries", "source_queries", "feedback_queries", "review_queries", "sql_queries")
 FLAGSHIP = "text_profile"
 
 
