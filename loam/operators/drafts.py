@@ -31,12 +31,12 @@ def assembled(raw: DataFrame, chunks: DataFrame, picks: DataFrame) -> DataFrame:
     behavioral_confidence), with the chunk's picks (chunk_id, position, technique_id, technique_name, tactic, stix_id).
 
     Names that nothing evidences are dropped, phases are the picks' tactics in order, each once, confidence is a whole
-    percentage cut off. The draft's id follows from source, chunk and position.
+    percentage cut off. The draft's id follows from source, chunk and position; its 128 bits keep ids apart at any number of drafts.
     """
     of = picks.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("position", "technique_id", "technique_name", "tactic", "stix_id"))).alias("t"))
     of = of.select("chunk_id", F.transform("t", lambda t: F.struct(t.technique_id.alias("technique_id"), t.technique_name.alias("technique_name"), t.tactic.alias("tactic"), t.stix_id.alias("stix_id"))).alias("techniques"))
     told = raw.join(chunks.select("source_id", "chunk_id", F.col("text").alias("c_text"), F.col("source_excerpt").alias("c_excerpt"), "sequence_index", "behavioral_confidence"), ["source_id", "chunk_id"]).join(of, "chunk_id", "left")
-    key = F.substring(F.sha2(F.concat_ws("|", F.col("source_id").cast("string"), "chunk_id", F.col("position").cast("string")), 256), 1, 8)
+    key = F.substring(F.sha2(F.concat_ws("|", F.col("source_id").cast("string"), "chunk_id", F.col("position").cast("string")), 256), 1, 32)
     texts = (F.col("c_text"), F.col("c_excerpt"), F.array_join(F.coalesce("command_lines", F.array().cast("array<string>")), "\n"), F.col("description"))
     phases = F.array_distinct(F.filter(F.transform("techniques", lambda t: t.tactic), lambda t: F.coalesce(t != "", F.lit(False))))
     actors = F.filter(F.transform("attributed_actors", F.trim), lambda a: a != "")
