@@ -217,28 +217,32 @@ def path_elements(paths: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 10, most: int = 100) -> DataFrame:
     """(src, dst, path) for all shortest undirected paths between each pair, ``hops`` long at most.
 
-    Depths are found first, a row per start and node; paths are then walked back from the end along falling depths
+    Depths are found first, a row per start and node, from the side of the pairs that has fewer different nodes: one end that all
+    share is searched from once. Paths are then walked back from the other side along falling depths
     alone, so no dead end is ever carried as a path. Of a pair's paths the ``most`` first by order are told, each step
     keeping the ``most`` first, which by their order are those of the whole.
     """
     ways = saved(both_ways(edges).select(F.col("src").alias("at"), F.col("dst").alias("next")), "ways")
     asked = saved(pairs.select("src", "dst").where("src <> dst").distinct(), "asked-pairs")
-    depths = saved(asked.select(F.col("src").alias("start"), F.col("src").alias("node"), F.lit(0).alias("depth")).distinct(), "depths")
+    sides = asked.agg(F.count_distinct("src").alias("src"), F.count_distinct("dst").alias("dst")).first()
+    near, far = ("dst", "src") if sides["dst"] < sides["src"] else ("src", "dst")
+    depths = saved(asked.select(F.col(near).alias("start"), F.col(near).alias("node"), F.lit(0).alias("depth")).distinct(), "depths")
     front = depths
     for depth in range(1, hops + 1):
-        open_ = asked.join(depths.select(F.col("start").alias("src"), F.col("node").alias("dst")), ["src", "dst"], "left_anti").select(F.col("src").alias("start")).distinct()
+        open_ = asked.join(depths.select(F.col("start").alias(near), F.col("node").alias(far)), [near, far], "left_anti").select(F.col(near).alias("start")).distinct()
         step = front.join(open_, "start", "left_semi").join(ways, front["node"] == ways["at"]).select("start", F.col("next").alias("node")).distinct()
         front = saved(step.join(depths.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "depths")
         if front.isEmpty():
             break
         depths = depths.unionByName(front)
-    ends = asked.join(depths, (F.col("src") == F.col("start")) & (F.col("dst") == F.col("node")))
-    paths = ends.select("src", "dst", F.col("dst").alias("at"), F.array("dst").alias("path"), "depth")
+    ends = asked.join(depths, (F.col(near) == F.col("start")) & (F.col(far) == F.col("node")))
+    paths = ends.select("src", "dst", F.col(far).alias("at"), F.array(far).alias("path"), "depth")
     done = paths.where("depth = 0").select("src", "dst", "path")
     for _ in range(hops):
-        earlier = depths.select(F.col("start").alias("src"), F.col("node").alias("next"), (F.col("depth") + 1).alias("depth"))
-        back = paths.join(ways, "at").join(earlier, ["src", "next", "depth"])
-        back = back.select("src", "dst", F.col("next").alias("at"), F.concat(F.array("next"), F.col("path")).alias("path"), (F.col("depth") - 1).alias("depth"))
+        earlier = depths.select(F.col("start").alias(near), F.col("node").alias("next"), (F.col("depth") + 1).alias("depth"))
+        back = paths.join(ways, "at").join(earlier, [near, "next", "depth"])
+        longer = F.concat(F.array("next"), F.col("path")) if near == "src" else F.concat(F.col("path"), F.array("next"))
+        back = back.select("src", "dst", F.col("next").alias("at"), longer.alias("path"), (F.col("depth") - 1).alias("depth"))
         rank = F.row_number().over(Window.partitionBy("src", "dst", "at").orderBy("path"))
         paths = saved(back.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank"), "paths")
         if paths.isEmpty():

@@ -105,3 +105,17 @@ def test_rules_after_several_changes(spark):
     again = X.updated_patterns(X.updated_patterns(rules, changes), changes.where("pattern_id = 'b' and action = 'dismiss'"))
     assert {r.pattern_id: r.promoted_action for r in again.collect()} == {k: v[4] for k, v in told.items()}
     assert X.updated_patterns(rules, changes.where(F.lit(False))).where("status = 'active'").count() == 6
+
+
+def test_shortest_paths_search_from_the_side_with_fewer_ends(spark, monkeypatch):
+    """All leaves of a hub asked for the way to one node: a row of depth a node, not one for every two leaves; the first paths by order are kept."""
+    held, save = [], G.saved
+    monkeypatch.setattr(G, "saved", lambda df, name: held.append((name, save(df, name))) or held[-1][1])
+    leaves = list(range(100, 120))
+    edges = spark.createDataFrame([(k, 1) for k in leaves] + [(k, 2) for k in leaves[:10]] + [(1, 3), (2, 3), (3, 0)], "src int, dst int")
+    pairs = spark.createDataFrame([(k, 0) for k in leaves], "src int, dst int")
+    found = {(r.src, tuple(r.path)) for r in G.shortest_paths(edges, pairs, 3).collect()}
+    assert found == {(k, (k, 1, 3, 0)) for k in leaves} | {(k, (k, 2, 3, 0)) for k in leaves[:10]}
+    assert sum(df.count() for name, df in held if name == "depths") <= len(leaves) + 4
+    one = G.shortest_paths(edges, pairs, 3, 1).where("src < 110").collect()
+    assert {tuple(r.path) for r in one} == {(k, 1, 3, 0) for k in leaves[:10]}
