@@ -107,6 +107,23 @@ def _passing(edges: DataFrame, starts: DataFrame) -> DataFrame | None:
     return up.join(circling, "up", "left").select("node", F.when(F.col("circling").isNull(), F.col("up")).alias("up"))
 
 
+def _shortened(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Edges by which each start reaches what it reaches by ``edges``, those out of a node with one way in beginning at the node before it."""
+    short = saved(clean_edges(edges), "start-edges")
+    while (up := _passing(short, starts)) is not None:
+        moved = short.join(up.select(F.col("node").alias("src"), "up", F.lit(True).alias("passing")), "src", "left")
+        moved = moved.select(F.when(F.col("passing"), F.col("up")).otherwise(F.col("src")).alias("src"), "dst").where("src is not null and src <> dst")
+        before, short = short, saved(moved.distinct(), "start-edges")
+        dropped(before)
+    return short
+
+
+def all_starts(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, start): every start (node) that each reached node is reached from, itself included if it is one; along shortened chains."""
+    starts = saved(starts.select("node").where("node is not null").distinct(), "starts")
+    return reachable(_shortened(edges, starts), starts).select("node", "start")
+
+
 def sole_starts(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, first, last): the smallest and the largest start (node) that each reached node is reached from, itself included if it is one.
 
@@ -117,12 +134,7 @@ def sole_starts(edges: DataFrame, starts: DataFrame) -> DataFrame:
     are left out.
     """
     starts = saved(starts.select("node").where("node is not null").distinct(), "starts")
-    short = saved(clean_edges(edges), "start-edges")
-    while (up := _passing(short, starts)) is not None:
-        moved = short.join(up.select(F.col("node").alias("src"), "up", F.lit(True).alias("passing")), "src", "left")
-        moved = moved.select(F.when(F.col("passing"), F.col("up")).otherwise(F.col("src")).alias("src"), "dst").where("src is not null and src <> dst")
-        before, short = short, saved(moved.distinct(), "start-edges")
-        dropped(before)
+    short = _shortened(edges, starts)
     known = saved(starts.select("node", F.col("node").alias("first"), F.col("node").alias("last"), F.lit(True).alias("new")), "sole-starts")
     while not known.where("new").isEmpty():
         told = known.where("new").select(F.col("node").alias("src"), "first", "last").join(short, "src")

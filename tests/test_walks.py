@@ -119,3 +119,13 @@ def test_shortest_paths_search_from_the_side_with_fewer_ends(spark, monkeypatch)
     assert sum(df.count() for name, df in held if name == "depths") <= len(leaves) + 4
     one = G.shortest_paths(edges, pairs, 3, 1).where("src < 110").collect()
     assert {tuple(r.path) for r in one} == {(k, 1, 3, 0) for k in leaves[:10]}
+
+
+def test_chain_labels_count_every_root(spark):
+    """Four roots that meet, one of them also inside a chain, are counted as four; a label goes to what its root alone reaches."""
+    from loam.operators import chunks as K
+
+    rows = [("a", 1, [], True, "A"), ("b", 2, [], True, "B"), ("c", 3, [], True, None), ("d", 4, [1], None, None), ("e", 5, [2, 3, 4], True, "E"), ("f", 6, [5], None, None), ("g", 7, [], None, None)]
+    c = spark.createDataFrame([(1, k, i, back, root, label) for k, i, back, root, label in rows], "source_id long, chunk_id string, sequence_index int, predecessor_indices array<int>, chain_root boolean, chain_label string")
+    found = {r.chunk_id: (r.chain_label, r.n_roots) for r in K.chain_labels(c).collect()}
+    assert found == {"a": ("A", 1), "b": ("B", 1), "c": ("chain", 1), "d": ("A", 1), "e": ("E", 4), "f": ("", 4), "g": ("", 0)}
