@@ -124,12 +124,13 @@ def relationships(procedures: DataFrame, entities: DataFrame, precedes: DataFram
         edge(campaigns.withColumnRenamed("stix_id", "campaign").join(sure.select("source_id", "stix_id"), "source_id"), "campaign", "attributed-to", "stix_id"),
         edge(sponsors_of_actors(entities), "from_id", "attributed-to", "to_id"),
         edge(sets.withColumnRenamed("stix_id", "actor").join(victims, "source_id"), "actor", "targets", "ref"), edge(both.join(places.unionByName(software), "source_id"), "actor", "targets", "ref"),
-        edge(acts.join(uses, ["source_id", "draft_id"]), "to_id", "uses", "ref"), edge(campaigns.join(uses.select("source_id", "ref").distinct(), "source_id"), "stix_id", "uses", "ref"),
+        edge(acts.join(uses, ["source_id", "draft_id"]), "to_id", "uses", "ref").distinct(), edge(campaigns.join(uses.select("source_id", "ref").distinct(), "source_id"), "stix_id", "uses", "ref"),
         edge(both.join(exploited.select("source_id", "ref").distinct(), "source_id"), "actor", "exploits", "ref"),
     ]
     if precedes is not None:
         parts.append(edge(precedes, "source_ref", "precedes", "target_ref"))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    # Products of a source's actors and targets leave the task that joins them as they are made: a first distinct() there would hold a whole source's.
+    return reduce(DataFrame.unionByName, parts).repartition("source_id", "source_ref", "verb", "target_ref").distinct()
 
 
 def name_index(procedures: DataFrame, entities: DataFrame) -> DataFrame:

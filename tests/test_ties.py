@@ -32,3 +32,15 @@ def test_drafts_with_equal_starts_of_their_hash_stay_apart(spark):
     assert made.select("draft_id").distinct().count() == 2
     out = D.edited(made, made.where("source_id = 5700004987").select("draft_id", F.lit("edit").alias("action"), F.lit("new").alias("name")))
     assert sorted((r.chunk_id, r.name) for r in out.collect()) == [("1200064725", "n"), ("5700007385", "new")]
+
+
+def test_products_of_a_source_are_not_gathered_where_they_are_joined(spark, sf_dir):
+    """The rows of all parts are dealt by their whole key before the last distinct(): no aggregate stands between the joins of a source and that exchange."""
+    from loam.operators import relationships as R
+    from loam.plans import source_queries as Q
+
+    plan = R.relationships(Q._procedures(spark, sf_dir), Q._entities(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    nodes = [line.lstrip(" :+-") for line in plan.splitlines()]
+    at = next(k for k, node in enumerate(nodes) if "Union" in node)
+    above = [node.split("(")[0] for node in nodes[:at]]
+    assert [node for node in above if "Aggregate" in node or "Exchange" in node] == ["HashAggregate", "HashAggregate", "Exchange hashpartitioning"]
