@@ -94,8 +94,13 @@ def all_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is as large as its bundles. Planned by the size of its compressed columns it would be broadcast at many times that size."""
+    return df.hint("merge")
+
+
 def ids(objects: DataFrame, name: str = "ref") -> DataFrame:
-    return objects.where(~_blank(F.col("id"))).select("bundle", F.col("id").alias(name)).distinct()
+    return _shuffled(objects.where(~_blank(F.col("id"))).select("bundle", F.col("id").alias(name)).distinct())
 
 
 def references(objects: DataFrame) -> DataFrame:
@@ -244,7 +249,7 @@ def single_flow(objects: DataFrame) -> DataFrame:
 
 def validated(objects: DataFrame, brands: DataFrame | None = None) -> DataFrame:
     """The corrections of all checks over typed objects."""
-    objects = saved(objects.select(COLUMNS), "bundle-objects")
+    objects = saved(objects.select(COLUMNS), "bundle-objects", "zstd")
     parts = [object_schema, id_uniqueness, procedure_fields, extension_declarations, dangling_checks, flow_cycles, operator_integrity, condition_integrity, single_flow]
     found = [check(objects) for check in parts]
     return all_of(found + ([brand_as_malware(objects, brands)] if brands is not None else []))
@@ -259,130 +264,163 @@ def verdicts(objects: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 # --- mends ----------------------------------------------------------------------------------------------------------
-# Each gives the mended objects and the corrections; auto_fixed() runs them in their order.
+# auto_fixed() runs them in their order. Those of relationships go over their ends alone, a narrow row each; those of single
+# objects note what they change in the object's own column ``told``, so that one pass over the objects gives both.
+
+_NOTE = f"struct<{', '.join(f'{c}: string' for c in RECORD[1:])}>"
+
+
+def _note(rule: str | Column, severity: str | Column = "auto_fix", **fields: Column) -> Column:
+    given = {"rule": rule if isinstance(rule, Column) else F.lit(rule), "severity": severity if isinstance(severity, Column) else F.lit(severity)} | fields
+    return F.struct(*[given.get(c, F.lit(None)).cast("string").alias(c) for c in RECORD[1:]])
+
 
+def _noted(notes: Column) -> Column:
+    """What was told so far and ``notes``, an array or null."""
+    return F.concat("told", F.coalesce(notes, F.array().cast(f"array<{_NOTE}>")))
 
-def flipped_relationships(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Relationships whose ends fit their verb only the other way round, turned; both ends must be in the bundle."""
+
+def _notes(objects: DataFrame) -> DataFrame:
+    return objects.select("bundle", F.explode("told").alias("n")).select("bundle", "n.*")
+
+
+def flipped_relationships(links: DataFrame, objects: DataFrame) -> DataFrame:
+    """Links with ``turned``: those whose ends fit their verb only the other way round have them changed; both ends must be in the bundle."""
     kinds = objects.where(~_blank(F.col("id"))).groupBy("bundle", "id").agg(F.max_by("type", "position").alias("kind"))
-    end = lambda ref, kind: kinds.select("bundle", F.col("id").alias(ref), F.col("kind").alias(kind))
-    links = objects.where("type = 'relationship'").select("bundle", "position", "id", _get("props", "relationship_type").alias("verb"), _get("single", "source_ref").alias("src"), _get("single", "target_ref").alias("dst"))
-    typed = links.join(end("src", "sk"), ["bundle", "src"]).join(end("dst", "dk"), ["bundle", "dst"])
+    end = lambda ref, kind: _shuffled(kinds.select("bundle", F.col("id").alias(ref), F.col("kind").alias(kind)))
+    typed = links.where(F.col("verb").isin(*DIRECTIONS)).join(end("src", "sk"), ["bundle", "src"], "left").join(end("dst", "dk"), ["bundle", "dst"], "left")
     turns = F.lit(False)
     for verb, (sources, targets) in DIRECTIONS.items():
         turns = turns | ((F.col("verb") == verb) & ~F.col("sk").isin(*sources) & F.col("sk").isin(*targets) & F.col("dk").isin(*sources))
-    turned = typed.where(turns)
-    marked = objects.join(turned.select("bundle", "position", F.lit(True).alias("turn")), ["bundle", "position"], "left")
-    ends = F.create_map(F.lit("source_ref"), _get("single", "target_ref"), F.lit("target_ref"), _get("single", "source_ref"))
-    others = F.map_filter("single", lambda k, _: ~k.isin("source_ref", "target_ref"))
-    fixed = marked.withColumn("single", F.when(F.col("turn"), F.map_concat(others, ends)).otherwise(F.col("single"))).select(COLUMNS)
-    return fixed, _told(turned, "sro_direction_flipped", "auto_fix", ref_id=F.col("id"), before=F.concat_ws(" ", "src", "dst"), after=F.concat_ws(" ", "dst", "src"))
+    typed = typed.withColumn("turned", F.coalesce(turns, F.lit(False)))
+    ends = [F.when(F.col("turned"), F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("src", "dst"), ("dst", "src"))]
+    others = links.where(~F.coalesce(F.col("verb").isin(*DIRECTIONS), F.lit(False))).withColumn("turned", F.lit(False))
+    return typed.select("bundle", "position", "id", "verb", *ends, "turned").unionByName(others)
 
 
-def deduplicated_relationships(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of relationships with equal ends and verb the first by position stays; those that lack one of the three all stay."""
-    key = [_get("single", "source_ref"), _get("single", "target_ref"), _get("props", "relationship_type")]
-    whole = (F.col("type") == "relationship") & ~_blank(key[0]) & ~_blank(key[1]) & ~_blank(key[2])
-    links = objects.where(F.coalesce(whole, F.lit(False))).select("bundle", "position", "id", *[k.alias(n) for k, n in zip(key, ("s", "t", "v"), strict=True)])
-    first = links.groupBy("bundle", "s", "t", "v").agg(F.min("position").alias("first"))
-    later = links.join(first, ["bundle", "s", "t", "v"]).where("position > first").select("bundle", "position", "id")
-    return objects.join(later.select("bundle", "position"), ["bundle", "position"], "left_anti"), _told(later, "sro_duplicate_dropped", "auto_fix", ref_id=F.col("id"))
+def deduplicated_relationships(links: DataFrame) -> DataFrame:
+    """Links with ``fate``: of those with equal ends and verb all but the first by position are duplicates; those that lack one of the three all stay."""
+    whole = links.where(~_blank(F.col("src")) & ~_blank(F.col("dst")) & ~_blank(F.col("verb")))
+    first = whole.groupBy("bundle", "src", "dst", "verb").agg(F.min("position").alias("first"), F.max("position").alias("last")).where("last > first").drop("last")
+    later = F.coalesce(F.col("position") > F.col("first"), F.lit(False))
+    return links.join(_shuffled(first), ["bundle", "src", "dst", "verb"], "left").withColumn("fate", F.when(later, "duplicate")).drop("first")
 
 
-def deduplicated_refs(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lists of references without blanks and repeats, in order."""
-    clean = F.transform_values("lists", lambda k, v: F.when(k.isin(*LIST_REFS), F.array_distinct(F.filter(v, lambda r: F.coalesce(r != "", F.lit(False))))).otherwise(v))
-    changed = F.map_keys(F.map_filter(F.map_zip_with("lists", clean, lambda _, a, b: F.size(a) != F.size(b)), lambda _, c: c))
-    bad = objects.select("bundle", "id", F.explode(changed).alias("field"))
-    return objects.withColumn("lists", clean), _told(bad, "embedded_refs_deduplicated", "auto_fix", ref_field=F.col("field"), holder_id=F.col("id"))
+def without_loops(links: DataFrame) -> DataFrame:
+    loop = F.coalesce((F.col("verb") == "precedes") & F.col("src").eqNullSafe(F.col("dst")), F.lit(False))
+    return links.withColumn("fate", F.coalesce("fate", F.when(loop, "loop")))
+
+
+def without_order(links: DataFrame, sequential: DataFrame) -> DataFrame:
+    """Bundles that ``sequential`` (bundle, is_sequential) marks as unordered lose what precedes what; null means ordered."""
+    unordered = sequential.where("not is_sequential").select("bundle", F.lit(True).alias("unordered")).distinct()
+    return links.join(unordered, "bundle", "left").withColumn("fate", F.coalesce("fate", F.when(F.col("unordered") & (F.col("verb") == "precedes"), "unordered"))).drop("unordered")
 
 
-def without_loops(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    loop = F.coalesce((F.col("type") == "relationship") & (_get("props", "relationship_type") == "precedes") & _get("single", "source_ref").eqNullSafe(_get("single", "target_ref")), F.lit(False))
-    return objects.where(~loop), _told(objects.where(loop), "precedes_self_loop_dropped", "auto_fix", ref_id=F.col("id"))
+def mended_links(objects: DataFrame, sequential: DataFrame) -> DataFrame:
+    """(bundle, position, id, verb, src, dst, turned, fate) of relationships that the mends change or drop, and of all that tell what a procedure uses."""
+    links = objects.where("type = 'relationship'").select("bundle", "position", "id", _get("props", "relationship_type").alias("verb"), _get("single", "source_ref").alias("src"), _get("single", "target_ref").alias("dst"))
+    done = without_order(without_loops(deduplicated_relationships(flipped_relationships(links, objects))), sequential)
+    return done.where(F.col("turned") | F.col("fate").isNotNull() | (F.col("verb") == "uses"))
 
 
-def without_order(objects: DataFrame, sequential: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bundles that ``sequential`` (bundle, is_sequential) marks as unordered lose what precedes what, one record each; null means ordered."""
-    unordered = sequential.where("not is_sequential").select("bundle").distinct()
-    step = F.coalesce((F.col("type") == "relationship") & (_get("props", "relationship_type") == "precedes"), F.lit(False))
-    gone = objects.where(step).join(unordered, "bundle", "left_semi")
-    kept = objects.join(gone.select("bundle", "position"), ["bundle", "position"], "left_anti")
-    counted = gone.groupBy("bundle").agg(F.count("*").alias("n"))
-    return kept, _told(counted, "precedes_dropped_non_sequential", "auto_fix", before=F.col("n"))
+def link_records(links: DataFrame) -> DataFrame:
+    """The corrections of mended links: a record per link, but one per bundle for those that were dropped as unordered."""
+    ends = lambda a, b: F.concat_ws(" ", a, b)
+    turned = F.when(F.col("turned"), _note("sro_direction_flipped", ref_id=F.col("id"), before=ends("dst", "src"), after=ends("src", "dst")))
+    rule = F.when(F.col("fate") == "duplicate", "sro_duplicate_dropped").when(F.col("fate") == "loop", "precedes_self_loop_dropped")
+    single = links.withColumn("told", F.filter(F.array(turned, F.when(rule.isNotNull(), _note(rule, ref_id=F.col("id")))), lambda n: n.isNotNull()))
+    counted = links.where("fate = 'unordered'").groupBy("bundle").agg(F.count("*").alias("n"))
+    return _notes(single).unionByName(_told(counted, "precedes_dropped_non_sequential", "auto_fix", before=F.col("n")))
 
 
-def synced_techniques(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+def deduplicated_refs(objects: DataFrame) -> DataFrame:
+    """Lists of references without blanks and repeats, in order."""
+    clean = F.transform_values("lists", lambda k, v: F.when(k.isin(*LIST_REFS), F.array_distinct(F.filter(v, lambda r: F.coalesce(r != "", F.lit(False))))).otherwise(v))
+    changed = F.map_keys(F.map_filter(F.map_zip_with("lists", "clean", lambda _, a, b: F.size(a) != F.size(b)), lambda _, c: c))
+    told = F.transform(changed, lambda field: _note("embedded_refs_deduplicated", ref_field=field, holder_id=F.col("id")))
+    return objects.withColumn("clean", clean).withColumn("told", _noted(told)).withColumn("lists", F.col("clean")).drop("clean")
+
+
+def synced_techniques(procedures: DataFrame, links: DataFrame) -> DataFrame:
     """Procedures that ``uses`` relationships give techniques get those they do not list, sorted, behind their own."""
-    links = objects.where((F.col("type") == "relationship") & (_get("props", "relationship_type") == "uses")).select("bundle", _get("single", "source_ref").alias("id"), _get("single", "target_ref").alias("t"))
-    of = links.where(F.startswith("id", F.lit("x-procedure--")) & F.startswith("t", F.lit("attack-pattern--"))).groupBy("bundle", "id").agg(F.array_sort(F.collect_set("t")).alias("used"))
-    marked = objects.join(of.withColumn("type", F.lit("x-procedure")), ["bundle", "id", "type"], "left")
+    uses = links.where((F.col("verb") == "uses") & F.col("fate").isNull()).select("bundle", F.col("src").alias("id"), F.col("dst").alias("t"))
+    of = uses.where(F.startswith("id", F.lit("x-procedure--")) & F.startswith("t", F.lit("attack-pattern--"))).groupBy("bundle", "id").agg(F.array_sort(F.collect_set("t")).alias("used"))
     own = F.coalesce(_get("lists", "x_technique_refs"), F.array().cast("array<string>"))
-    more = F.array_except(F.coalesce("used", F.array().cast("array<string>")), own)
-    told = marked.where(F.size(more) > 0).select("bundle", "id", F.size(more).alias("n"))
-    lists = F.map_concat(F.map_filter(F.coalesce("lists", F.create_map().cast("map<string,array<string>>")), lambda k, _: k != "x_technique_refs"), F.create_map(F.lit("x_technique_refs"), F.concat(own, more)))
-    fixed = marked.withColumn("lists", F.when(F.size(more) > 0, lists).otherwise(F.col("lists"))).select(COLUMNS)
-    return fixed, _told(told, "embedded_technique_refs_synced", "auto_fix", ref_field=F.lit("x_technique_refs"), holder_id=F.col("id"), after=F.col("n"))
+    marked = procedures.join(_shuffled(of), ["bundle", "id"], "left").withColumn("more", F.array_except(F.coalesce("used", F.array().cast("array<string>")), own))
+    more = F.size("more") > 0
+    lists = F.map_concat(F.map_filter(F.coalesce("lists", F.create_map().cast("map<string,array<string>>")), lambda k, _: k != "x_technique_refs"), F.create_map(F.lit("x_technique_refs"), F.concat(own, F.col("more"))))
+    told = F.when(more, F.array(_note("embedded_technique_refs_synced", ref_field=F.lit("x_technique_refs"), holder_id=F.col("id"), after=F.size("more"))))
+    return marked.withColumn("told", _noted(told)).withColumn("lists", F.when(more, lists).otherwise(F.col("lists"))).select(*COLUMNS, "told")
 
 
-def backfilled_sources(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+def backfilled_sources(procedures: DataFrame) -> DataFrame:
     """Procedures without sources get the one that created them."""
     author = _get("single", "created_by_ref")
-    bad = F.coalesce((F.col("type") == "x-procedure") & (F.coalesce(F.size(_get("lists", "x_source_refs")), F.lit(0)) <= 0) & ~_blank(author), F.lit(False))
+    bad = F.coalesce((F.coalesce(F.size(_get("lists", "x_source_refs")), F.lit(0)) <= 0) & ~_blank(author), F.lit(False))
     lists = F.map_concat(F.map_filter(F.coalesce("lists", F.create_map().cast("map<string,array<string>>")), lambda k, _: k != "x_source_refs"), F.create_map(F.lit("x_source_refs"), F.array(author)))
-    told = _told(objects.where(bad), "x_source_refs_backfilled", "repaired", ref_field=F.lit("x_source_refs"), holder_id=F.col("id"), after=author)
-    return objects.withColumn("lists", F.when(bad, lists).otherwise(F.col("lists"))), told
+    told = F.when(bad, F.array(_note("x_source_refs_backfilled", "repaired", ref_field=F.lit("x_source_refs"), holder_id=F.col("id"), after=author)))
+    return procedures.withColumn("told", _noted(told)).withColumn("lists", F.when(bad, lists).otherwise(F.col("lists")))
 
 
-def recomputed_fingerprints(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+def recomputed_fingerprints(procedures: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     right = fingerprint(F.coalesce(_get("lists", "x_technique_refs"), none), F.coalesce("platforms", none), F.coalesce("tactics", none))
     own = _get("props", "x_fingerprint")
-    bad = F.coalesce(F.col("type") == "x-procedure", F.lit(False)) & ~own.eqNullSafe(right)
-    props = F.map_concat(F.map_filter(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda k, _: k != "x_fingerprint"), F.create_map(F.lit("x_fingerprint"), right))
-    told = _told(objects.where(bad), "fingerprint_recomputed", "auto_fix", ref_field=F.lit("x_fingerprint"), holder_id=F.col("id"), before=own, after=right)
-    return objects.withColumn("props", F.when(bad, props).otherwise(F.col("props"))), told
+    bad = ~own.eqNullSafe(F.col("right"))
+    props = F.map_concat(F.map_filter(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda k, _: k != "x_fingerprint"), F.create_map(F.lit("x_fingerprint"), F.col("right")))
+    told = F.when(bad, F.array(_note("fingerprint_recomputed", ref_field=F.lit("x_fingerprint"), holder_id=F.col("id"), before=own, after=F.col("right"))))
+    return procedures.withColumn("right", right).withColumn("told", _noted(told)).withColumn("props", F.when(bad, props).otherwise(F.col("props"))).drop("right")
 
 
-def coerced_roles(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+def coerced_roles(objects: DataFrame) -> DataFrame:
     """Roles outside their vocabulary: ``other`` for organisations, ``context`` for places."""
     field = F.when(F.col("type") == "identity", F.lit("organization_role")).when(F.col("type") == "location", F.lit("location_role"))
     role = F.try_element_at("props", field)
     known = F.when(F.col("type") == "identity", role.isin(*ORGANISATION_ROLES)).otherwise(role.isin(*LOCATION_ROLES))
     bad = F.coalesce(field.isNotNull() & ~_blank(role) & ~known, F.lit(False))
     to = F.when(F.col("type") == "identity", F.lit("other")).otherwise("context")
-    told = _told(objects.where(bad), "invalid_role_coerced", "auto_fix", ref_field=field, holder_id=F.col("id"), before=role, after=to)
-    return objects.withColumn("props", F.when(bad, F.transform_values("props", lambda k, v: F.when(k == field, to).otherwise(v))).otherwise(F.col("props"))), told
+    told = F.when(bad, F.array(_note("invalid_role_coerced", ref_field=field, holder_id=F.col("id"), before=role, after=to)))
+    return objects.withColumn("told", _noted(told)).withColumn("props", F.when(bad, F.transform_values("props", lambda k, v: F.when(k == field, to).otherwise(v))).otherwise(F.col("props")))
 
 
-def coerced_sectors(objects: DataFrame, vocabulary: tuple[str, ...] = SECTORS) -> tuple[DataFrame, DataFrame]:
+def coerced_sectors(objects: DataFrame, vocabulary: tuple[str, ...] = SECTORS) -> DataFrame:
     """Sectors of identities in the vocabulary's words: other names mapped, the original kept as a label; unknown ones dropped."""
     aliases = F.create_map(*[F.lit(x) for pair in SECTOR_ALIASES.items() for x in pair])
     raw = F.transform("sectors", lambda s: F.lower(F.regexp_replace(s, r"\A\s+|\s+\z", "")))
     to = F.transform(raw, lambda s: F.struct(s.alias("from"), F.when(s.isin(*vocabulary), s).otherwise(F.try_element_at(aliases, s)).alias("to")))
-    marked = objects.withColumn("told", F.when((F.col("type") == "identity") & (F.size("sectors") > 0), to))
-    wrong = marked.select("bundle", "id", F.explode(F.filter("told", lambda t: ~t["from"].eqNullSafe(t.to))).alias("t"))
-    rule = F.when(F.col("t.to").isNotNull(), F.lit("invalid_sector_coerced")).otherwise("invalid_sector_dropped")
-    records = _told(wrong, rule, ref_field=F.lit("sectors"), holder_id=F.col("id"), before=F.col("t.from"), after=F.col("t.to")).withColumn("severity", F.when(F.col("after").isNotNull(), "auto_fix").otherwise("warn"))
-    kept = F.array_distinct(F.filter(F.transform("told", lambda t: t.to), lambda s: s.isNotNull()))
-    renamed = F.transform(F.filter("told", lambda t: t.to.isNotNull() & (t["from"] != t.to)), lambda t: F.concat(F.lit("sector:"), t["from"]))
-    changed = F.coalesce(F.exists("told", lambda t: ~t["from"].eqNullSafe(t.to)), F.lit(False))
+    marked = objects.withColumn("read", F.when((F.col("type") == "identity") & (F.size("sectors") > 0), to))
+    wrong = F.filter("read", lambda t: ~t["from"].eqNullSafe(t.to))
+    rule = lambda t: F.when(t.to.isNotNull(), F.lit("invalid_sector_coerced")).otherwise("invalid_sector_dropped")
+    told = F.transform(wrong, lambda t: _note(rule(t), F.when(t.to.isNotNull(), "auto_fix").otherwise("warn"), ref_field=F.lit("sectors"), holder_id=F.col("id"), before=t["from"], after=t.to))
+    kept = F.array_distinct(F.filter(F.transform("read", lambda t: t.to), lambda s: s.isNotNull()))
+    renamed = F.transform(F.filter("read", lambda t: t.to.isNotNull() & (t["from"] != t.to)), lambda t: F.concat(F.lit("sector:"), t["from"]))
+    changed = F.coalesce(F.exists("read", lambda t: ~t["from"].eqNullSafe(t.to)), F.lit(False))
     sectors = F.when(changed, F.when(F.size(kept) > 0, kept)).otherwise(F.col("sectors"))
     labels = F.when(changed & (F.size(renamed) > 0), F.array_union(F.coalesce("labels", F.array().cast("array<string>")), renamed)).otherwise(F.col("labels"))
-    return marked.withColumn("sectors", sectors).withColumn("labels", labels).select(COLUMNS), records
+    return marked.withColumn("told", _noted(told)).withColumn("sectors", sectors).withColumn("labels", labels).select(*COLUMNS, "told")
 
 
 def auto_fixed(objects: DataFrame, sequential: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All mends in their order; the next one sees what the one before left."""
-    objects, told = saved(objects.select(COLUMNS), "bundle-objects"), []
-    steps = [flipped_relationships, deduplicated_relationships, deduplicated_refs, without_loops, lambda o: without_order(o, sequential), synced_techniques, backfilled_sources, recomputed_fingerprints, coerced_roles, coerced_sectors]
-    joins = (flipped_relationships, deduplicated_relationships, steps[4], synced_techniques)
-    for step in steps:
-        objects, records = step(objects)
-        told.append(records)
-        if step in joins:  # what joins is written, so that the steps after it do not run it again
-            objects = saved(objects, "bundle-objects")
-    return objects, all_of(told)
+    """All mends in their order; the next one sees what the one before left.
+
+    The objects are written once, and of their relationships what the mends change. Of the objects themselves only
+    procedures are shuffled, to what they use, and only once, and relationships where the mended ones are asked for.
+    """
+    objects = saved(objects.select(COLUMNS), "bundle-objects", "zstd")
+    links = saved(mended_links(objects, sequential), "bundle-links", "zstd")
+    kind = F.col("type")
+    clean = lambda rows: deduplicated_refs(rows.withColumn("told", F.array().cast(f"array<{_NOTE}>")))
+    procedures = recomputed_fingerprints(backfilled_sources(synced_techniques(clean(objects.where(kind == "x-procedure")), links)))
+    others = coerced_sectors(coerced_roles(clean(objects.where(~F.coalesce(kind.isin("x-procedure", "relationship"), F.lit(False))))))
+    relationships = clean(objects.where(kind == "relationship"))
+    fates = links.where(F.col("turned") | F.col("fate").isNotNull()).select("bundle", "position", "turned", "fate")
+    ends = F.create_map(F.lit("source_ref"), _get("single", "target_ref"), F.lit("target_ref"), _get("single", "source_ref"))
+    single = F.when(F.col("turned"), F.map_concat(F.map_filter("single", lambda k, _: ~k.isin("source_ref", "target_ref")), ends)).otherwise(F.col("single"))
+    fixed = relationships.join(_shuffled(fates), ["bundle", "position"], "left").where("fate is null").withColumn("single", single)
+    noted = relationships.where(F.size("told") > 0).join(_shuffled(fates.where("fate = 'duplicate'")), ["bundle", "position"], "left_anti")
+    mended = all_of([part.select(COLUMNS) for part in (procedures, others, fixed)])
+    return mended, all_of([link_records(links), *map(_notes, (procedures, others, noted))])
 
 
 def recovered(objects: DataFrame, upstream: DataFrame, rounds: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -71,6 +71,29 @@ def test_mends_follow_one_another(spark):
     assert nothing.count() == 0 and again.count() == fixed.count()
 
 
+def test_mends_write_their_objects_once(spark):
+    o = objects(
+        spark, {"type": "identity", "id": "i"}, rel("r1", "targets", "i", "x-procedure--1"), {"type": "x-procedure", "id": "x-procedure--1", "x_source_refs": ["i", "i"]}, rel("r2", "precedes", "a", "b"),
+        {"type": "relationship", "id": "r3", "relationship_type": "precedes", "source_ref": "a", "target_ref": "b", "object_refs": ["z", "z"]}, {"type": "relationship", "id": "r4", "relationship_type": "precedes", "object_refs": ["z", ""]},
+    )
+    both = o.unionByName(o.withColumn("bundle", F.lit(2).cast("long")))
+    before = len(shared._WRITTEN)
+    fixed, told = B.auto_fixed(both, spark.createDataFrame([(2, False)], "bundle long, is_sequential boolean"))
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in shared._WRITTEN[before:]] == ["bundle-objects", "bundle-links"]
+    every = [("embedded_refs_deduplicated", None, "r4"), ("embedded_refs_deduplicated", None, "x-procedure--1"), ("fingerprint_recomputed", None, "x-procedure--1"), ("precedes_self_loop_dropped", "r4", None), ("sro_direction_flipped", "r1", None), ("sro_duplicate_dropped", "r3", None)]
+    found = [(r.bundle, r.rule, r.ref_id, r.holder_id) for r in told.collect()]
+    assert sorted(found, key=str) == sorted([(b, *x) for b in (1, 2) for x in every] + [(2, "precedes_dropped_non_sequential", None, None)], key=str)
+    assert sorted((r.bundle, r.id) for r in fixed.collect()) == [(1, "i"), (1, "r1"), (1, "r2"), (1, "x-procedure--1"), (2, "i"), (2, "r1"), (2, "x-procedure--1")]
+    assert {(r.single["source_ref"], r.single["target_ref"]) for r in fixed.where("id = 'r1'").collect()} == {("x-procedure--1", "i")}
+
+
+def test_a_bundles_tables_are_read_once(spark, sf_dir):
+    from loam.plans.bundle_queries import objects as bundles
+
+    plan = bundles(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert all(plan.count(f"/{t}.parquet") == 1 for t in ("orders", "lineitem", "customer"))
+
+
 def test_dangling_references_are_recovered_over_several_steps(spark):
     mine = objects(spark, {"type": "report", "id": "report--1", "object_refs": ["a", "lost"]})
     upstream = objects(spark, {"type": "tool", "id": "a", "object_refs": ["b"]}, {"type": "tool", "id": "b", "object_refs": ["c"]}, {"type": "tool", "id": "c"}, bundle=7)
