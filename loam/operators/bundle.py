@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.functions.text import fingerprint
-from loam.operators.graph import cyclic
+from loam.operators.graph import clean_edges, core
 from loam.sources.shared import saved
 
 #: Reference fields of one id and of several, those of operators and conditions, and what a procedure must have.
@@ -186,10 +186,11 @@ def flow_edges(objects: DataFrame) -> DataFrame:
 
 
 def flow_cycles(objects: DataFrame) -> DataFrame:
-    """One record per bundle whose flow has a cycle. All bundles are searched at once, nodes being (bundle, id)."""
+    """One record per bundle whose flow has a cycle. All bundles are searched at once, nodes being (bundle, id); which nodes lie on it is not asked."""
     node = lambda c: F.struct(F.col("bundle"), F.col(c).alias("id"))
-    found = cyclic(flow_edges(objects).select(node("src").alias("src"), node("dst").alias("dst")))
-    return _told(found.select("node.bundle").distinct(), "precedes_cycle")
+    edges = saved(flow_edges(objects).select(node("src").alias("src"), node("dst").alias("dst")), "flow-edges")
+    loops = edges.where(F.col("src") == F.col("dst"))
+    return _told(loops.union(core(clean_edges(edges))).select("src.bundle").distinct(), "precedes_cycle")
 
 
 def operator_integrity(objects: DataFrame) -> DataFrame:

@@ -165,8 +165,8 @@ def section_ranges(raw: DataFrame) -> DataFrame:
     return cut.where("first <= last")
 
 
-def _core(edges: DataFrame) -> DataFrame:
-    """Edges that stay when nodes without a way in or without a way out are taken away until there are none."""
+def core(edges: DataFrame) -> DataFrame:
+    """Edges that stay when nodes without a way in or without a way out are taken away until there are none; none stay where there is no cycle."""
     left, before = edges, -1
     while True:
         into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
@@ -198,7 +198,7 @@ def cyclic(edges: DataFrame) -> DataFrame:
     back from that node inside its colour gives one whole component per colour, and the rest is searched again.
     """
     found = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
-    left = _core(clean_edges(edges))
+    left = core(clean_edges(edges))
     while not left.isEmpty():
         colours = _coloured(left)
         inside = left.join(colours.select(F.col("node").alias("src"), "colour"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst")
@@ -213,7 +213,7 @@ def cyclic(edges: DataFrame) -> DataFrame:
         found = saved(found.union(members.join(grown, "colour", "left_semi").select("node")).distinct(), "cycle-nodes")
         gone = colours.where("node = colour").select("node").union(members.select("node")).distinct()
         rest = left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
-        left = _core(rest.select("src", "dst"))
+        left = core(rest.select("src", "dst"))
     return found.distinct()
 
 

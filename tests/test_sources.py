@@ -87,6 +87,14 @@ def test_mends_write_their_objects_once(spark):
     assert {(r.single["source_ref"], r.single["target_ref"]) for r in fixed.where("id = 'r1'").collect()} == {("x-procedure--1", "i")}
 
 
+def test_a_flow_is_searched_for_cycles_without_their_nodes(spark):
+    ring = [rel(f"r{k}", "precedes", f"n{k}", f"n{(k + 1) % 9}") for k in range(9)]
+    o = objects(spark, *ring, rel("t", "precedes", "n0", "tail")).unionByName(objects(spark, *ring[:8], rel("l", "precedes", "x", "x"), bundle=2)).unionByName(objects(spark, *ring[:8], bundle=3))
+    before = len(shared._WRITTEN)
+    assert sorted((r.bundle, r.rule) for r in B.flow_cycles(o).collect()) == [(1, "precedes_cycle"), (2, "precedes_cycle")]
+    assert not [p for p in shared._WRITTEN[before:] if "colours" in p]
+
+
 def test_a_bundles_tables_are_read_once(spark, sf_dir):
     from loam.plans.bundle_queries import objects as bundles
 
