@@ -444,6 +444,7 @@ def recovered(objects: DataFrame, upstream: DataFrame, rounds: int = 5) -> tuple
 
 def relationships_of(objects: DataFrame) -> DataFrame:
     """(bundle, source, field, target): edges of a bundle's picture, of any reference field and of relationships by verb; both ends present, each once."""
+    objects = saved(objects.select("bundle", "id", "type", "single", "lists", "props"), "bundle-objects", "zstd")
     of_links = objects.where("type = 'relationship'").select("bundle", _get("single", "source_ref").alias("source"), _get("props", "relationship_type").alias("field"), _get("single", "target_ref").alias("target"))
     of_fields = references(objects.where("type <> 'relationship'")).select("bundle", F.col("holder_id").alias("source"), F.regexp_replace("ref_field", r"_refs?$", "").alias("field"), F.col("ref").alias("target"))
     known = ids(objects, "source")
