@@ -207,11 +207,17 @@ def detection_chain(techniques: DataFrame, strategies: DataFrame, analytics: Dat
     """Nodes (id, label) and edges (src, verb, dst) behind techniques; every step may be missing, nothing comes twice.
 
     ``strategies`` (technique_id, strategy_id), ``analytics`` (strategy_id, analytic_id), ``log_sources`` (analytic_id,
-    log_source_id), ``components`` (log_source_id, component_id).
+    log_source_id), ``components`` (log_source_id, component_id). Each step keeps the links of what the one before reached, so whole chains are never made.
     """
-    chain = techniques.select("technique_id").distinct().join(strategies, "technique_id", "left").join(analytics, "strategy_id", "left").join(log_sources, "analytic_id", "left").join(components, "log_source_id", "left")
-    steps = (("strategy_id", "detection-strategy"), ("analytic_id", "analytic"), ("log_source_id", "log-source"), ("component_id", "data-component"))
-    nodes = reduce(DataFrame.unionByName, [chain.select(F.col(c).cast("string").alias("id"), F.lit(label).alias("label")).where("id is not null") for c, label in steps]).distinct()
-    pairs = (("strategy_id", "detects", "technique_id"), ("strategy_id", "uses-analytic", "analytic_id"), ("analytic_id", "reads", "log_source_id"), ("log_source_id", "provides", "component_id"))
-    edges = reduce(DataFrame.unionByName, [chain.select(F.col(s).cast("string").alias("src"), F.lit(verb).alias("verb"), F.col(t).cast("string").alias("dst")).where("src is not null and dst is not null") for s, verb, t in pairs]).distinct()
-    return nodes, edges
+    reached, nodes, edges = techniques.select(F.col("technique_id").alias("of")), [], []
+    steps = (
+        (strategies, "technique_id", "strategy_id", "detection-strategy", "detects"), (analytics, "strategy_id", "analytic_id", "analytic", "uses-analytic"),
+        (log_sources, "analytic_id", "log_source_id", "log-source", "reads"), (components, "log_source_id", "component_id", "data-component", "provides"),
+    )
+    for links, source, target, label, verb in steps:
+        links = links.select(F.col(source).alias("of"), F.col(target).alias("to")).where("to is not null").distinct().join(reached, "of", "left_semi")
+        reached = links.select(F.col("to").alias("of")).distinct()
+        nodes.append(reached.select(F.col("of").cast("string").alias("id"), F.lit(label).alias("label")))
+        ends = ("to", "of") if verb == "detects" else ("of", "to")
+        edges.append(links.select(F.col(ends[0]).cast("string").alias("src"), F.lit(verb).alias("verb"), F.col(ends[1]).cast("string").alias("dst")))
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
