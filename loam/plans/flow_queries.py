@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.operators import components as P, graph as G, retrieval as M
@@ -71,12 +73,14 @@ SELECT c_nationkey, count(DISTINCT l_partkey) AS uses, count(DISTINCT l_suppkey)
 
 
 def analyst_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges less those the analyst removed by key, and with those added that are not there yet; unnamed ends stay."""
-    edges = table(spark, d, "lineitem").select(F.lower(F.concat_ws("|", F.coalesce("l_returnflag", F.lit("")), F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"))).alias("key")).distinct()
+    """Edges less those the analyst removed by key, and with those added that are not there yet; unnamed ends stay. One grouping by key settles all three."""
+    edges = table(spark, d, "lineitem").select(F.lower(F.concat_ws("|", F.coalesce("l_returnflag", F.lit("")), F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"))).alias("key"))
     removed = table(spark, d, "supplier").select(F.lower(F.concat_ws("|", F.lit("A"), F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string"))).alias("key"))
-    added = table(spark, d, "supplier").select(F.lower(F.concat_ws("|", F.lit("Z"), F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string"))).alias("key")).distinct()
-    kept = edges.join(removed, "key", "left_anti").withColumn("origin", F.lit("derived"))
-    return kept.unionByName(added.join(edges, "key", "left_anti").withColumn("origin", F.lit("analyst")))
+    added = table(spark, d, "supplier").select(F.lower(F.concat_ws("|", F.lit("Z"), F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string"))).alias("key"))
+    said = [df.select("key", *[F.lit(k == n).alias(n) for n in ("edge", "removed", "added")]) for df, k in ((edges, "edge"), (removed, "removed"), (added, "added"))]
+    of = reduce(DataFrame.unionByName, said).groupBy("key").agg(*[F.max(n).alias(n) for n in ("edge", "removed", "added")])
+    origin = F.when(F.col("edge") & ~F.col("removed"), "derived").when(~F.col("edge") & F.col("added"), "analyst")
+    return of.select("key", origin.alias("origin")).where("origin is not null")
 
 
 ANALYST_EDGES = """

@@ -1,6 +1,7 @@
 """Plans that must not grow with what they repeat: chains step by step, one grouping instead of joins, paths dealt over many roots."""
 
 from loam.operators import relationships as R
+from loam.plans import flow_queries
 
 
 def plan(df):
@@ -14,3 +15,8 @@ def test_a_detection_chain_is_followed_step_by_step(spark):
     assert sorted((r.id, r.label) for r in nodes.collect()) == [("1", "log-source"), ("10", "detection-strategy"), ("5", "analytic"), ("6", "analytic")]
     assert sorted((r.src, r.verb, r.dst) for r in edges.collect()) == [("10", "detects", "1"), ("10", "detects", "2"), ("10", "uses-analytic", "5"), ("10", "uses-analytic", "6"), ("5", "reads", "1"), ("6", "reads", "1")]
     assert "LeftOuter" not in plan(edges) and plan(edges).count("Join") == 1 + 2 + 3 + 4
+
+
+def test_analyst_edges_are_settled_by_one_grouping(spark, sf_dir):
+    found = flow_queries.analyst_edges(spark, sf_dir)
+    assert "Join" not in plan(found) and plan(found).count("Aggregate") == 1
