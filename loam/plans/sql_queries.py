@@ -48,15 +48,18 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score
 
 
 def sql_source_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Brands' ways to nations: brand to part type, type to supplier, supplier to nation, told as whole paths and counted by brand."""
+    """Brands' ways to nations: brand to part type, type to supplier, supplier to nation, told as whole paths and counted by brand.
+
+    A brand's suppliers are dealt over 256 roots, each with the links that lead to them: a path has one supplier, so it lies in one of them whole.
+    """
     return _sql(spark, d, """
-        WITH sold AS (SELECT DISTINCT p_brand, p_type, l_suppkey FROM {part} JOIN {lineitem} ON l_partkey = p_partkey),
+        WITH sold AS (SELECT DISTINCT concat(pmod(hash(l_suppkey), 256), '|', p_brand) AS root, p_brand, p_type, l_suppkey FROM {part} JOIN {lineitem} ON l_partkey = p_partkey),
         links AS (
-            SELECT p_brand AS root, 1 AS step, p_brand AS src, p_type AS dst FROM sold
-            UNION ALL SELECT p_brand, 2, p_type, CAST(l_suppkey AS STRING) FROM sold
-            UNION ALL SELECT p_brand, 3, CAST(l_suppkey AS STRING), n_name FROM sold JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey
+            SELECT DISTINCT root, 1 AS step, p_brand AS src, p_type AS dst FROM sold
+            UNION ALL SELECT root, 2, p_type, CAST(l_suppkey AS STRING) FROM sold
+            UNION ALL SELECT root, 3, CAST(l_suppkey AS STRING), n_name FROM (SELECT DISTINCT root, l_suppkey FROM sold) JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey
         )
-        SELECT root AS p_brand, first AS p_type, third AS n_name, count(*) AS n_paths FROM loam_source_paths(TABLE(links)) GROUP BY root, first, third
+        SELECT substring(root, instr(root, '|') + 1) AS p_brand, first AS p_type, third AS n_name, count(*) AS n_paths FROM loam_source_paths(TABLE(links)) GROUP BY 1, 2, 3
     """, "part", "lineitem", "supplier", "nation")
 
 

@@ -1,7 +1,7 @@
 """Plans that must not grow with what they repeat: chains step by step, one grouping instead of joins, paths dealt over many roots."""
 
 from loam.operators import relationships as R
-from loam.plans import flow_queries
+from loam.plans import flow_queries, sql_queries
 
 
 def plan(df):
@@ -20,3 +20,9 @@ def test_a_detection_chain_is_followed_step_by_step(spark):
 def test_analyst_edges_are_settled_by_one_grouping(spark, sf_dir):
     found = flow_queries.analyst_edges(spark, sf_dir)
     assert "Join" not in plan(found) and plan(found).count("Aggregate") == 1
+
+
+def test_paths_of_a_root_are_dealt_over_many(spark, sf_dir):
+    found = sql_queries.sql_source_paths(spark, sf_dir)
+    assert "pmod(hash(" in plan(found)
+    assert found.where("p_brand not like 'Brand#%'").count() == 0
