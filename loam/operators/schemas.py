@@ -68,6 +68,11 @@ def resolved(schema: Any, file: str = "", files: dict[str, dict] | None = None,
     return out
 
 
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is made once, however often it is looked at."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 class Compiler:
     """Schema and variant -> array of errors, each a kind and the path of the value at fault."""
 
@@ -80,10 +85,15 @@ class Compiler:
             return F.array().cast(NONE)
         if schema is False:
             return F.array(self._told("forbidden", path))
-        kind = F.schema_of_variant(value)
+        return _bound(value, lambda v: _bound(F.substring(F.schema_of_variant(v), 1, 7), lambda kind: self._errors(schema, v, kind, path)))
+
+    def _errors(self, schema: Any, value: Column, kind: Column, path: Column) -> Column:
+        """errors() of a value whose kind is known: the whole value is looked through to find it, so that is done once."""
+        if schema is True or schema == {} or schema is False:
+            return self.errors(schema, value, path)
         is_ = lambda *names: F.rlike(kind, F.lit(f"^({'|'.join(k for n in names for k in KINDS[n])})"))
         single = [test for make in (self._any, self._strings, self._numbers) for test in make(schema, value, path, is_)]
-        several = [*self._objects(schema, value, path, is_), *self._arrays(schema, value, path, is_), *self._parts(schema, value, path)]
+        several = [*self._objects(schema, value, path, is_), *self._arrays(schema, value, path, is_), *self._parts(schema, value, kind, path)]
         told = F.filter(F.array(*single), lambda e: e.isNotNull()) if single else F.array().cast(NONE)
         return F.concat(told, *several) if several else told
 
@@ -153,7 +163,7 @@ class Compiler:
         if missing:
             found.append(within(F.filter(F.array(*missing), lambda e: e.isNotNull())))
         for f, rule in schema.get("properties", {}).items():
-            found.append(within(F.when(child(f).isNotNull(), self.errors(rule, child(f), under(f))).otherwise(none)))
+            found.append(within(_bound(child(f), lambda c: F.when(c.isNotNull(), self.errors(rule, c, under(f))).otherwise(none))))  # noqa: B023
         known, patterns, rest = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("additionalProperties", True)
         entries = F.map_entries(F.try_variant_get(value, "$", "map<string, variant>"))
         each = lambda chosen, rule: within(F.coalesce(F.flatten(F.transform(F.filter(entries, lambda e: chosen(e["key"])), lambda e: self.errors(rule, e["value"], self._under(path, e["key"])))), none))
@@ -174,38 +184,46 @@ class Compiler:
         return found
 
     def _arrays(self, schema: dict, value: Column, path: Column, is_: Callable) -> list[Column]:
-        none, is_array = F.array().cast(NONE), is_("array")
-        items = F.try_variant_get(value, "$", "array<variant>")
+        if not {"minItems", "maxItems", "uniqueItems", "contains", "items", "prefixItems"} & set(schema):
+            return []
+        whole = F.try_variant_get(value, "$", "array<variant>")
+        return [F.when(is_("array"), _bound(whole, lambda items: self._items(schema, items, path))).otherwise(F.array().cast(NONE))]
+
+    def _items(self, schema: dict, items: Column, path: Column) -> Column:
+        none = F.array().cast(NONE)
         tests = [F.when(bad, self._told(name, path)) for k, name, bad in (("minItems", "short", F.size(items) < schema.get("minItems", 0)), ("maxItems", "long", F.size(items) > schema.get("maxItems", 0))) if k in schema]
         if schema.get("uniqueItems"):
-            tests.append(F.when(F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x)))) < F.size(items), self._told("repeated", path)))
+            fewer = lambda text: F.size(F.array_distinct(F.transform(items, text))) < F.size(items)
+            alike = fewer(lambda x: F.try_variant_get(x, "$", "string"))  # quick, and true of all that are equal, but also of 1 and "1"
+            tests.append(F.when(F.when(alike, fewer(lambda x: F.to_json(x))), self._told("repeated", path)))
         if "contains" in schema:
             tests.append(F.when(~F.exists(items, lambda x: self._valid(schema["contains"], x)), self._told("no_match", path)))
-        found = [F.when(is_array, F.filter(F.array(*tests), lambda e: e.isNotNull())).otherwise(none)] if tests else []
+        found = [F.filter(F.array(*tests), lambda e: e.isNotNull())] if tests else []
         fixed = schema["items"] if isinstance(schema.get("items"), list) else schema.get("prefixItems", [])
         rest = schema.get("additionalItems", True) if isinstance(schema.get("items"), list) else schema.get("items", True)
         at = lambda k: self._under(path, k.cast("string"))
         for k, rule in enumerate(fixed):
-            found.append(F.when(is_array & (F.size(items) > k), self.errors(rule, F.try_element_at(items, F.lit(k + 1)), at(F.lit(k)))).otherwise(none))
+            found.append(F.when(F.size(items) > k, self.errors(rule, F.try_element_at(items, F.lit(k + 1)), at(F.lit(k)))).otherwise(none))
         if rest not in (True, {}):
             told = F.transform(items, lambda x, k: F.when(k >= len(fixed), self.errors(rest, x, at(k))).otherwise(none))
-            found.append(F.when(is_array, F.flatten(told)).otherwise(none))
-        return found
+            found.append(F.flatten(told))
+        return F.concat(none, *found)
 
-    def _parts(self, schema: dict, value: Column, path: Column) -> list[Column]:
+    def _parts(self, schema: dict, value: Column, kind: Column, path: Column) -> list[Column]:
         none = F.array().cast(NONE)
-        found = [self.errors(part, value, path) for part in schema.get("allOf", [])]
+        valid = lambda part: F.size(self._errors(part, value, kind, F.lit("x"))) == 0
+        found = [self._errors(part, value, kind, path) for part in schema.get("allOf", [])]
         if "anyOf" in schema:
-            any_ = F.exists(F.array(*[self._valid(part, value) for part in schema["anyOf"]]), lambda x: x)
+            any_ = F.exists(F.array(*[valid(part) for part in schema["anyOf"]]), lambda x: x)
             found.append(F.when(any_, none).otherwise(F.array(self._told("no_match", path))))
         if "oneOf" in schema:
-            n = F.size(F.filter(F.array(*[self._valid(part, value) for part in schema["oneOf"]]), lambda x: x))
+            n = F.size(F.filter(F.array(*[valid(part) for part in schema["oneOf"]]), lambda x: x))
             found.append(F.when(n == 1, none).when(n == 0, F.array(self._told("no_match", path))).otherwise(F.array(self._told("several", path))))
         if "not" in schema:
-            found.append(F.when(self._valid(schema["not"], value), F.array(self._told("forbidden", path))).otherwise(none))
+            found.append(F.when(valid(schema["not"]), F.array(self._told("forbidden", path))).otherwise(none))
         if "if" in schema:
-            holds = self._valid(schema["if"], value)
-            found.append(F.when(holds, self.errors(schema.get("then", True), value, path)).otherwise(self.errors(schema.get("else", True), value, path)))
+            holds = valid(schema["if"])
+            found.append(F.when(holds, self._errors(schema.get("then", True), value, kind, path)).otherwise(self._errors(schema.get("else", True), value, kind, path)))
         return found
 
 
@@ -225,7 +243,8 @@ def schema_errors(raw: DataFrame, schemas: dict[str, dict], formats: bool = Fals
     found = none
     for name, schema in schemas.items():
         found = F.when(F.col("type") == name, make.errors(resolved(schema), v, F.lit(""))).otherwise(found)
-    return out.select("bundle", "id", "type", F.explode(F.array_distinct(found)).alias("error"))
+    told = out.select("bundle", "id", "type", F.explode_outer(F.array_distinct(found)).alias("error"))  # before an inner explode Spark would look for errors once more, to filter
+    return told.where("error is not null")
 
 
 def vocabulary(schema_text: str, name: str) -> tuple[str, ...]:

@@ -1,6 +1,6 @@
 """Plans that must not grow with what they repeat: chains step by step, one grouping instead of joins, paths dealt over many roots."""
 
-from loam.operators import relationships as R
+from loam.operators import relationships as R, schemas
 from loam.plans import flow_queries, sql_queries
 
 
@@ -26,3 +26,17 @@ def test_paths_of_a_root_are_dealt_over_many(spark, sf_dir):
     found = sql_queries.sql_source_paths(spark, sf_dir)
     assert "pmod(hash(" in plan(found)
     assert found.where("p_brand not like 'Brand#%'").count() == 0
+
+
+def test_a_value_is_looked_through_once_by_a_schema(spark):
+    known = {"t": {"required": ["a", "b", "c"], "properties": {f: {"type": "string", "minLength": 2} for f in "abc"}, "anyOf": [{"required": ["a"]}, {"required": ["z"]}], "additionalProperties": False}}
+    found = schemas.schema_errors(spark.createDataFrame([(1, 0, '{"id": "x", "type": "t", "a": "no", "b": "n", "c": 1}')], "bundle long, position long, body string"), known)
+    assert plan(found).lower().count("schemaofvariant(") == 4
+    assert sorted(r.error for r in found.collect()) == ["short:b", "type:c", "unknown:id", "unknown:type"]
+
+
+def test_repeated_items_are_those_of_equal_json(spark):
+    known = {"t": {"properties": {"a": {"uniqueItems": True}}}}
+    bodies = ['[1, "1"]', '[{"x": 1, "y": 2}, {"y": 2, "x": 1}]', '["{\\"x\\":1}", {"x": 1}]', "[null, null]", "[null]", "[]", '"a"', "[[1], [1.0]]"]
+    raw = spark.createDataFrame([(k, 0, f'{{"type": "t", "a": {a}}}') for k, a in enumerate(bodies)], "bundle long, position long, body string")
+    assert sorted((r.bundle, r.error) for r in schemas.schema_errors(raw, known).collect()) == [(1, "repeated:a"), (3, "repeated:a"), (7, "repeated:a")]
