@@ -282,7 +282,7 @@ def _noted(notes: Column) -> Column:
 
 
 def _notes(objects: DataFrame) -> DataFrame:
-    return objects.select("bundle", F.explode("told").alias("n")).select("bundle", "n.*")
+    return objects.select("bundle", F.explode_outer("told").alias("n")).where("n is not null").select("bundle", "n.*")  # before an inner explode Spark would make the notes once more, to filter
 
 
 def flipped_relationships(links: DataFrame, objects: DataFrame) -> DataFrame:
