@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from loam.llm.learning import Adam, fold, sigmoid
-from loam.llm.shared import hashed_share, saved
+from loam.llm.shared import hashed_share, lean, saved
 
 #: The most confirmed documents that are learned from (a parameter of train()), unlabelled rows for one classifier (about), and the
 #: fewest confirmed documents a feature needs.
@@ -147,7 +147,7 @@ def stand_out(outside: DataFrame, prior: float) -> list[str]:
                 seen = Counter()
         yield from passed_on(seen)
 
-    confirmed = outside.where("confirmed = 1").select("text").mapInPandas(of_confirmed, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("c"))
+    confirmed = outside.where("confirmed = 1").select("text").mapInPandas(lean(of_confirmed), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("c"))
     held = {r.feature: r.c for r in confirmed.where(F.col("c") >= LEAST_DOCUMENTS).collect()}
     if not held:
         return []
@@ -166,7 +166,7 @@ def stand_out(outside: DataFrame, prior: float) -> list[str]:
     n = outside.agg(F.sum("confirmed").alias("c"), F.count("*").alias("u")).first()
     nc, nu = max(1, n.c or 0), max(1, n.u)
     told = []
-    for r in outside.select("text").mapInPandas(of_all, "place int, n long").groupBy("place").agg(F.sum("n").alias("u")).collect():
+    for r in outside.select("text").mapInPandas(lean(of_all), "place int, n long").groupBy("place").agg(F.sum("n").alias("u")).collect():
         c, u = held[names[r.place]], r.u
         z = (c / nc - u / nu) / ((c + u + 1) / (nc + nu) * (1 / nc + 1 / nu)) ** 0.5
         if z > LEAST_Z and prior * c / nc >= LEAST_SHARE * u / nu:
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, most_confirmed: int = MOST_CONFIRM
         for batch in batches:
             yield pd.DataFrame({"confirmed": batch["confirmed"], "columns": list(map(finder.places, batch["text"]))})
 
-    rows = marked.mapInPandas(encode, "confirmed int, columns array<int>").groupBy("columns").agg(F.sum("confirmed").alias("c"), F.count("*").alias("u"))
+    rows = marked.mapInPandas(lean(encode), "confirmed int, columns array<int>").groupBy("columns").agg(F.sum("confirmed").alias("c"), F.count("*").alias("u"))
     rows = saved(rows, "toxicity-rows")
     first = rows.where("c > 0").orderBy(F.xxhash64("columns"), "columns").limit(most_confirmed).collect()
     if not first:
@@ -239,7 +239,7 @@ def scorer(model: dict[str, float]):
             sums = [model[""] + sum(map(weights.__getitem__, finder.places(text))) for text in batch]
             yield pd.Series(sigmoid(np.array(sums, np.float64)))
 
-    return F.pandas_udf(score, "double")
+    return F.pandas_udf(lean(score), "double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
