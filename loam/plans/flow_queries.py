@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.operators import components as P, graph as G, retrieval as M
 from loam.plans import feedback_queries
+from loam.sources.shared import saved
 from loam.sources.tables import table
 
 
@@ -63,8 +64,11 @@ def actor_rollup(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey")
-    used = line.join(o, "o_orderkey").join(c, "c_custkey")
-    return used.groupBy("c_nationkey").agg(F.countDistinct("l_partkey").alias("uses"), F.countDistinct("l_suppkey").alias("targets"), F.countDistinct("o_orderkey").alias("procedures"))
+    used = saved(line.join(o.join(c, "c_custkey"), "o_orderkey").select("c_nationkey", "l_partkey", "l_suppkey", "o_orderkey"), "actor-lines")
+    # each is made distinct alone: together, a task would hold three rows a line
+    names = {"uses": "l_partkey", "targets": "l_suppkey", "procedures": "o_orderkey"}
+    each = [used.select("c_nationkey", F.col(c).alias("x")).distinct().groupBy("c_nationkey").agg(F.count("x").alias("n")).withColumn("what", F.lit(what)) for what, c in names.items()]
+    return reduce(DataFrame.unionByName, each).groupBy("c_nationkey").agg(*[F.max(F.when(F.col("what") == what, F.col("n"))).alias(what) for what in names])
 
 
 ACTOR_ROLLUP = """
