@@ -293,6 +293,7 @@ def decided(chunks: DataFrame, decisions: DataFrame, additions: DataFrame) -> tu
     by_id = chunks.select("source_id", "chunk_id", "sequence_index", F.trim(F.coalesce("text", F.lit(""))).alias("part"), F.trim(F.coalesce("source_excerpt", F.lit(""))).alias("piece"))
     merges = decisions.where("action = 'merge'").join(chunks.select("source_id", "chunk_id"), ["source_id", "chunk_id"], "left_semi")
     absorbs = merges.select("source_id", F.col("chunk_id").alias("survivor"), F.explode(F.array_distinct("merge_with")).alias("chunk_id")).where("chunk_id <> survivor").join(by_id.select("source_id", "chunk_id"), ["source_id", "chunk_id"], "left_semi")
+    absorbs = saved(absorbs, "absorbed-chunks")
     survivors = absorbs.select("source_id", "survivor").distinct()
     members = absorbs.unionByName(survivors.withColumn("chunk_id", F.col("survivor"))).join(by_id, ["source_id", "chunk_id"])
     ordered = members.groupBy("source_id", "survivor").agg(F.array_sort(F.collect_list(F.struct("sequence_index", "chunk_id", "part", "piece"))).alias("m"))

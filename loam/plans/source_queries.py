@@ -61,7 +61,7 @@ def chunk_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Chunks after drops, edits, merges and additions: what follows what is led around the dropped ones."""
     c = _chunks(spark, d).drop("o_orderkey")
     after = F.lead("chunk_id").over(Window.partitionBy("source_id").orderBy("sequence_index"))
-    c = c.withColumn("precedes_ids", F.filter(F.array(after), lambda x: x.isNotNull()))
+    c = saved(c.withColumn("precedes_ids", F.filter(F.array(after), lambda x: x.isNotNull())), "chunks")  # each step of the decisions reads them
     key = F.substring("chunk_id", 2, 20).cast("long")
     action = F.when(key % 5 == 0, "drop").when(key % 5 == 1, "edit").when(key % 10 == 3, "merge").when(key % 5 == 2, "approve")
     partner = F.when(F.size("precedes_ids") > 0, F.col("precedes_ids")).otherwise(F.array(F.lit("none")))

@@ -1,6 +1,6 @@
 """Steps that several parts of a query read are made once."""
 
-from loam.plans import flow_queries
+from loam.plans import flow_queries, source_queries
 
 
 def plan(df):
@@ -9,3 +9,7 @@ def plan(df):
 
 def test_distinct_ends_of_an_actor_are_counted_apart(spark, sf_dir):
     assert "Expand" not in plan(flow_queries.actor_rollup(spark, sf_dir))
+
+
+def test_chunks_of_decisions_are_made_once(spark, sf_dir):
+    assert "o_custkey" not in plan(source_queries.chunk_decisions(spark, sf_dir))
