@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.operators import feedback as B
 from loam.plans.bundle_queries import objects
-from loam.sources.shared import new_path
+from loam.sources.shared import new_path, saved
 from loam.sources import store as S
 from loam.sources.tables import table
 
@@ -319,6 +319,7 @@ FROM o LEFT JOIN st USING (p) LEFT JOIN tx USING (p) LEFT JOIN ca USING (p) LEFT
 def graph_upserts(spark: SparkSession, d: str) -> DataFrame:
     """Two bundles of reports taken into a graph on disk one after the other, and the first again with other names: what lies there then."""
     nodes, _, describes = _report_graph(spark, d)
+    describes = saved(describes, "describes")  # joined once for all turns
     path = new_path(spark, "graph")
     number = F.split("stix_id", "--")[1].cast("long")
     for turn, (side, mark) in enumerate(((0, ""), (1, ""), (0, "!"))):

@@ -107,10 +107,10 @@ def _rewritten(spark: SparkSession, new: DataFrame, path: str, buckets: int, key
         # what stands there already is not written again: a bucket counts as changed if its rows differ
         print_ = lambda df: df.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[F.to_json(c) if isinstance(df.schema[c].dataType, MapType) else F.col(c) for c in sorted(df.columns) if c != "bucket"]).cast("decimal(38,0)")).alias("h"))
         after = saved(after.select(old.columns), "graph-buckets")
-        same = print_(after).join(print_(old), ["bucket", "n", "h"], "left_semi").select("bucket")
-        after = saved(after.join(F.broadcast(same), "bucket", "left_anti"), "graph-buckets")  # at most one row a bucket
-        if after.isEmpty():
+        changed = [r[0] for r in print_(after).join(print_(old), ["bucket", "n", "h"], "left_anti").select("bucket").collect()]  # at most one row a bucket
+        if not changed:
             return
+        after = after.where(F.col("bucket").isin(changed))
     after.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

@@ -1,6 +1,6 @@
 """Steps that several parts of a query read are made once."""
 
-from loam.plans import flow_queries, source_queries
+from loam.plans import feedback_queries, flow_queries, source_queries
 
 
 def plan(df):
@@ -13,3 +13,15 @@ def test_distinct_ends_of_an_actor_are_counted_apart(spark, sf_dir):
 
 def test_chunks_of_decisions_are_made_once(spark, sf_dir):
     assert "o_custkey" not in plan(source_queries.chunk_decisions(spark, sf_dir))
+
+
+def test_links_of_reports_are_joined_once(spark, sf_dir, monkeypatch):
+    plans, real = [], feedback_queries.S.upserted
+
+    def upserted(nodes, edges, path, buckets):
+        plans.append(plan(edges))
+        real(nodes, edges, path, buckets)
+
+    monkeypatch.setattr(feedback_queries.S, "upserted", upserted)
+    assert feedback_queries.graph_upserts(spark, sf_dir).where("what = 'DESCRIBES'").count() == 1
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
