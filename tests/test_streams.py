@@ -63,3 +63,41 @@ def test_answers_expire(runs):
     found = runs(M.ExpiringCache(60 * 60 * 1_000_000), [(1, 0, 1, "x"), (2, 59, 1, "x"), (3, 60, 1, "x"), (4, 0, 2, "x")], [(5, 119, 1, "x"), (6, 500, 2, "x")], [(7, 501, 1, "x")])
     assert found[-1] == (1, 3, 2, us(501), 7)
     assert (1, 2, 1, us(60), 3) in found and (1, 2, 2, us(60), 3) in found and (2, 2, 0, us(500), 6) in found
+
+
+class Held:
+    """A handle whose states are kept in a dictionary and that notes which ones are asked for."""
+
+    def __init__(self):
+        self.values, self.asked = {}, []
+
+    def getValueState(self, name, schema):
+        held = self
+
+        class State:
+            def get(self):
+                held.asked.append(name)
+                return held.values.get(name)
+
+            def update(self, value):
+                held.values[name] = value
+
+            def clear(self):
+                held.values.pop(name, None)
+
+        return State()
+
+    def registerTimer(self, at):
+        self.due = at
+
+
+def test_a_cache_takes_narrow_rows_and_an_expiry_tells_no_empty_frame(spark):
+    cache, held = M.ExpiringCache(60_000_000), Held()
+    cache.init(held)
+    rows = [(1, k, at(m).replace(tzinfo=datetime.UTC)) for k, m in ((9, 1), (8, 0), (7, 0.5))]
+    assert [tuple(r) for r in cache.handleInputRows((1,), iter(rows), None)] == [(1, 2, 1, us(1), 9)]
+    assert held.asked == ["counts"] and held.due == us(2) // 1000
+    assert list(cache.handleExpiredTimer((1,), None, None)) == [] and held.values == {"counts": (2, 1)}
+    events = spark.readStream.format("rate").load().selectExpr("value AS key", "value AS event_id", "timestamp AS at", "'x' AS status")
+    handed = lambda p: "status" in M.kept(events, p)._jdf.queryExecution().analyzed().toString().split("EventTimeWatermark")[0]
+    assert handed(M.StatusMachine({}, "", 0)) and not handed(M.ExpiringCache(1)) and not handed(M.Claims(1))
