@@ -206,11 +206,16 @@ def conditions(chunks: DataFrame, sequential: DataFrame) -> DataFrame:
     return told.where((F.col("description") != "") & (F.size("on_true_ids") + F.size("on_false_ids") > 0)).join(unordered, "source_id", "left_anti")
 
 
+def led_to(edges: DataFrame, at: str = "src", to: str = "dst") -> DataFrame:
+    """(source_id, ``at``, ways): the other ends of a chunk's edges, sorted, each once, loops left out. Edges are shuffled as they are, not as arrays of one."""
+    other = F.when(F.col(at) != F.col(to), F.col(to))
+    return edges.select("source_id", at, to).repartition("source_id", at).groupBy("source_id", at).agg(F.array_sort(F.collect_set(other)).alias("ways"))
+
+
 def operators(edges: DataFrame) -> DataFrame:
     """(source_id, anchor, role, kind, inputs, outputs): converge (AND) where several edges end, branch (OR) where several begin."""
-    clean = edges.where("src <> dst").select("source_id", "src", "dst").distinct()
-    into = clean.groupBy("source_id", F.col("dst").alias("anchor")).agg(F.array_sort(F.collect_list("src")).alias("inputs"), F.count("*").alias("n"))
-    out = clean.groupBy("source_id", F.col("src").alias("anchor")).agg(F.array_sort(F.collect_list("dst")).alias("outputs"), F.count("*").alias("n"))
+    into = led_to(edges, "dst", "src").select("source_id", F.col("dst").alias("anchor"), F.col("ways").alias("inputs"), F.size("ways").alias("n"))
+    out = led_to(edges).select("source_id", F.col("src").alias("anchor"), F.col("ways").alias("outputs"), F.size("ways").alias("n"))
     joins = into.where("n >= 2").select("source_id", "anchor", F.lit("converge").alias("role"), F.lit("AND").alias("kind"), "inputs", F.array("anchor").alias("outputs"))
     return joins.unionByName(out.where("n >= 2").select("source_id", "anchor", F.lit("branch").alias("role"), F.lit("OR").alias("kind"), F.array("anchor").alias("inputs"), "outputs"))
 
@@ -223,19 +228,21 @@ def operator_objects(found: DataFrame, procedures: DataFrame) -> DataFrame:
     from loam.functions.keys import joint_id
 
     told = found.withColumn("id", joint_id("attack-operator--", F.col("role"), F.col("inputs"), F.col("outputs")))
-    each = told.select("source_id", "id", F.posexplode("outputs").alias("place", "chunk_id")).join(procedures.select("source_id", "chunk_id", "stix_id"), ["source_id", "chunk_id"])
-    refs = each.groupBy("source_id", "id").agg(F.array_sort(F.collect_list(F.struct("place", "stix_id"))).alias("r"))
-    refs = refs.select("source_id", "id", F.transform("r", lambda r: r.stix_id).alias("effect_refs"))
-    return told.join(refs, ["source_id", "id"]).where((F.size("effect_refs") >= 2) | (F.col("role") == "converge")).select("source_id", "id", "anchor", "role", "kind", "effect_refs")
+    own = ["source_id", "id", "anchor", "role", "kind"]
+    each = told.select(*own, F.posexplode("outputs").alias("place", "chunk_id")).join(procedures.select("source_id", "chunk_id", "stix_id"), ["source_id", "chunk_id"])
+    refs = each.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("place", "stix_id"))).alias("r"))
+    return refs.select(*own, F.transform("r", lambda r: r.stix_id).alias("effect_refs")).where((F.size("effect_refs") >= 2) | (F.col("role") == "converge"))
 
 
 def condition_objects(found: DataFrame, procedures: DataFrame) -> DataFrame:
     """Conditions with an id and the branches' procedures; a condition without any is left out."""
     p = procedures.select("source_id", F.col("chunk_id").alias("to"), "stix_id")
-    side = lambda c: found.select("source_id", "anchor", F.posexplode(c).alias("place", "to")).join(p, ["source_id", "to"]).groupBy("source_id", "anchor").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "stix_id"))), lambda r: r.stix_id).alias(c.replace("_ids", "_refs")))
-    none = F.array().cast("array<string>")
-    told = found.join(side("on_true_ids"), ["source_id", "anchor"], "left").join(side("on_false_ids"), ["source_id", "anchor"], "left")
-    told = told.withColumn("on_true_refs", F.coalesce("on_true_refs", none)).withColumn("on_false_refs", F.coalesce("on_false_refs", none)).where(F.size("on_true_refs") + F.size("on_false_refs") > 0)
+    own = ["source_id", "anchor", "description", "pattern", "pattern_type"]
+    ends = lambda c: F.transform(c, lambda to, place: F.struct(F.lit(c).alias("side"), place.alias("place"), to.alias("to")))
+    each = found.select(*own, F.explode(F.concat(ends("on_true_ids"), ends("on_false_ids"))).alias("e")).select(*own, "e.*").join(p, ["source_id", "to"])
+    told = each.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("side", "place", "stix_id"))).alias("r"))
+    refs = lambda c: F.transform(F.filter("r", lambda r: r.side == c), lambda r: r.stix_id).alias(c.replace("_ids", "_refs"))
+    told = told.select(*own, refs("on_true_ids"), refs("on_false_ids"))
     key = F.substring(F.sha2(F.concat_ws("|", "source_id", "anchor", "description"), 256), 1, 12)
     return told.select("source_id", F.concat(F.lit("attack-condition--"), key).alias("id"), "anchor", "description", "pattern", "pattern_type", "on_true_refs", "on_false_refs")
 
@@ -244,19 +251,21 @@ def routed(edges: DataFrame, procedures: DataFrame, joints: DataFrame, conds: Da
     """(source_id, source_ref, target_ref): what precedes what among procedures, operators and conditions, each once.
 
     Chunks without a procedure are bridged. An edge leaves through its chunk's condition, else its branch, else the procedure
-    itself, and arrives through the other chunk's converge, if it has one.
+    itself, and arrives through the other chunk's converge, if it has one. What is known of one end is joined before what is known of the other.
     """
     node = lambda c: F.struct("source_id", F.col(c).alias("chunk_id"))
     p = procedures.select("source_id", "chunk_id", "stix_id")
     spliced = splice(edges.select(node("src").alias("src"), node("dst").alias("dst")), p.select(F.struct("source_id", "chunk_id").alias("node")))
     e = spliced.select("src.source_id", F.col("src.chunk_id").alias("src"), F.col("dst.chunk_id").alias("dst"))
     at = lambda df, c, name: df.select("source_id", F.col("anchor").alias(c), F.col("id").alias(name))
-    e = e.join(p.select("source_id", F.col("chunk_id").alias("src"), F.col("stix_id").alias("from_id")), ["source_id", "src"]).join(p.select("source_id", F.col("chunk_id").alias("dst"), F.col("stix_id").alias("to_id")), ["source_id", "dst"])
-    e = e.join(at(joints.where("role = 'branch'"), "src", "branch"), ["source_id", "src"], "left").join(at(joints.where("role = 'converge'"), "dst", "converge"), ["source_id", "dst"], "left").join(at(conds, "src", "cond"), ["source_id", "src"], "left")
-    leave = F.coalesce("cond", "branch")
+    of = lambda c, name: p.select("source_id", F.col("chunk_id").alias(c), F.col("stix_id").alias(name))
+    e = e.join(of("src", "from_id"), ["source_id", "src"]).join(at(joints.where("role = 'branch'"), "src", "branch"), ["source_id", "src"], "left").join(at(conds, "src", "cond"), ["source_id", "src"], "left")
+    e = e.select("source_id", "dst", "from_id", F.coalesce("cond", "branch").alias("leave"))
+    e = e.join(of("dst", "to_id"), ["source_id", "dst"]).join(at(joints.where("role = 'converge'"), "dst", "converge"), ["source_id", "dst"], "left")
+    leave = F.col("leave")
     pairs = F.array(
         F.when(leave.isNotNull(), F.struct(F.col("from_id").alias("source_ref"), leave.alias("target_ref"))),
-        F.struct(F.coalesce(leave, "from_id").alias("source_ref"), F.coalesce("converge", "to_id").alias("target_ref")),
+        F.struct(F.coalesce("leave", "from_id").alias("source_ref"), F.coalesce("converge", "to_id").alias("target_ref")),
         F.when(F.col("converge").isNotNull(), F.struct(F.col("converge").alias("source_ref"), F.col("to_id").alias("target_ref"))),
     )
     return e.select("source_id", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("p")).select("source_id", "p.source_ref", "p.target_ref").distinct()

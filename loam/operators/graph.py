@@ -45,11 +45,14 @@ def link_orphans(steps: DataFrame) -> DataFrame:
 def splice(edges: DataFrame, present: DataFrame) -> DataFrame:
     """Edges between present nodes, absent ones bridged to their nearest present descendants; no loops.
 
-    Walks only through absent nodes, however many there are in a row, each (start, place) once, so cycles end.
+    Walks only through absent nodes, however many there are in a row, each (start, place) once, so cycles end. Edges are written once, with
+    which of their ends are present, and each step joins those alone that begin at an absent node; equal edges are told once at the end.
     """
-    here = present.select(F.col("node").alias("dst"), F.lit(True).alias("here"))
-    marked = saved(clean_edges(edges).join(here, "dst", "left").select("src", "dst", F.coalesce("here", F.lit(False)).alias("here")), "splice-edges")
-    front = saved(marked.join(present.select(F.col("node").alias("src")), "src", "left_semi"), "splice-steps")
+    here = present.select("node", F.lit(True).alias("here")).distinct()
+    at = lambda c: here.select(F.col("node").alias(c), F.col("here").alias(f"{c}_here"))
+    marked = edges.select("src", "dst").where(F.col("src") != F.col("dst")).join(at("dst"), "dst", "left").join(at("src"), "src", "left")
+    marked = saved(marked.select("src", "dst", F.coalesce("src_here", F.lit(False)).alias("begins"), F.coalesce("dst_here", F.lit(False)).alias("here")), "splice-edges", "zstd")
+    front, onward = marked.where("begins").select("src", "dst", "here"), marked.where("not begins").select("src", "dst", "here")
     done = front.where("here").select("src", "dst")
     seen = None
     while True:
@@ -60,7 +63,7 @@ def splice(edges: DataFrame, present: DataFrame) -> DataFrame:
         if step.isEmpty():
             break
         seen = step if seen is None else seen.union(step)
-        front = saved(step.join(marked, "src").select(F.col("start").alias("src"), "dst", "here"), "splice-steps")
+        front = saved(step.join(onward, "src").select(F.col("start").alias("src"), "dst", "here"), "splice-steps")
         done = done.union(front.where("here").select("src", "dst"))
     return done.where("src <> dst").distinct()
 

@@ -84,11 +84,11 @@ UNION ALL SELECT c_custkey, 'n' || c_custkey, coalesce((SELECT max(i) FROM ch WH
 def chunk_operators(spark: SparkSession, d: str) -> DataFrame:
     """Edges led through operators and conditions, counted by what they join; every sixth chunk has no procedure, every eighth branch a condition."""
     c = _chunks(spark, d)
-    edges = K.successors(c)
+    edges = saved(K.successors(c), "edges", "zstd")  # the walk over chunks without a procedure and the operators read them
     procs = c.where("o_orderkey % 6 <> 0").select("source_id", "chunk_id", F.concat(F.lit("x-procedure--"), F.col("o_orderkey").cast("string")).alias("stix_id"))
     joints = K.operator_objects(K.operators(edges), procs)
     pre = F.when(F.col("o_orderkey") % 8 == 0, F.struct(F.lit(" if ").alias("description"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("pattern_type"), F.col("next").alias("on_true_ids"), F.array().cast(_NONE).alias("on_false_ids")))
-    ways = edges.groupBy("source_id", F.col("src").alias("chunk_id")).agg(F.array_sort(F.collect_set("dst")).alias("next"))
+    ways = K.led_to(edges).select("source_id", F.col("src").alias("chunk_id"), F.col("ways").alias("next"))
     conds = K.conditions(c.drop("precedes_ids").join(ways, ["source_id", "chunk_id"], "left").withColumn("precedes_ids", F.col("next")).withColumn("precondition", pre), c.select("source_id", (F.col("source_id") % 4 != 0).alias("is_sequential")).distinct())
     objects = K.condition_objects(conds, procs)
     found = K.routed(edges, procs, joints, objects)
