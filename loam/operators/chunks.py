@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.functions.text import STOP_WORDS, jaccard, overlap_tokens, tokens
-from loam.operators.graph import all_starts, section_ranges, splice
+from loam.operators.graph import counted_starts, section_ranges, splice
 from loam.sources.shared import saved
 
 #: Words in capitals that name no entity.
@@ -158,21 +158,20 @@ def chain_labels(chunks: DataFrame, skipped: DataFrame | None = None) -> DataFra
     """(source_id, chunk_id, chain_label, n_roots): labels of the chains' roots handed down to what they alone reach.
 
     A root without a label is ``chain``. A chunk that two roots or more reach is shared: it keeps its own label, and no label
-    goes past it. A chunk with a label keeps it. n_roots counts all roots that reach a chunk, itself included: all_starts() finds them over
-    all sources at once. ``skipped`` (source_id, src, dst by id) are edges that do not count.
+    goes past it. A chunk with a label keeps it. n_roots counts all roots that reach a chunk, itself included: counted_starts() finds them
+    over many sources at once. ``skipped`` (source_id, src, dst by id) are edges that do not count.
     """
+    chunks = saved(chunks.select("source_id", "chunk_id", "sequence_index", "predecessor_indices", "chain_root", "chain_label"), "chain-chunks")
     edges = successors(chunks)
     if skipped is not None:
         edges = edges.join(skipped, ["source_id", "src", "dst"], "left_anti")
     root = F.coalesce("chain_root", F.lit(False))
     own = F.when(F.coalesce("chain_label", F.lit("")) != "", F.col("chain_label")).when(root, "chain")
-    labels = saved(chunks.select("source_id", "chunk_id", own.alias("own"), root.alias("root")), "chain-chunks")
-    key = lambda c: F.struct("source_id", F.col(c).alias("chunk_id"))
-    found = all_starts(edges.select(key("src").alias("src"), key("dst").alias("dst")), labels.where("root").select(key("chunk_id").alias("node")))
-    reach = found.groupBy("node").agg(F.count("*").alias("n_roots"), F.min("start").alias("first"))
-    reach = reach.select("node.source_id", "node.chunk_id", F.col("first.chunk_id").alias("start"), "n_roots")
-    given = labels.where("root").select("source_id", F.col("chunk_id").alias("start"), F.col("own").alias("label"), F.lit(1).cast("long").alias("n_roots"))
-    told = labels.join(reach, ["source_id", "chunk_id"], "left").join(given, ["source_id", "start", "n_roots"], "left")
+    labels = chunks.select("source_id", "chunk_id", own.alias("own"), root.alias("root"))
+    source = F.col("source_id").alias("group")
+    found = counted_starts(edges.select(source, "src", "dst"), labels.where("root").select(source, F.col("chunk_id").alias("node"), F.col("own").alias("value")))
+    reach = found.select(F.col("group").alias("source_id"), F.col("node").alias("chunk_id"), F.col("n").alias("n_roots"), F.col("value").alias("label"))
+    told = labels.join(reach, ["source_id", "chunk_id"], "left")
     return told.select("source_id", "chunk_id", F.coalesce("own", "label", F.lit("")).alias("chain_label"), F.coalesce("n_roots", F.lit(0).cast("long")).alias("n_roots"))
 
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loam.sources.shared import dropped, saved
 
+#: Edges and starts of a group up to which one task walks it.
+SMALL = 2_000
+
 
 def clean_edges(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) without loops and without a missing end."""
@@ -127,6 +135,72 @@ def all_starts(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return reachable(_shortened(edges, starts), starts).select("node", "start")
 
 
+def _walked(rows: pa.Table) -> pa.RecordBatch:
+    """(group, node, n, value) of whole groups' edges (group, src, dst) and starts (group, src, value; without dst), walked all at once."""
+    rows = rows.combine_chunks()
+    group, ids = (pc.dictionary_encode(pa.chunked_array(parts)).combine_chunks() for parts in ([*rows.column(0).chunks], [*rows.column(1).chunks, *rows.column(2).chunks]))
+    codes, n = pc.fill_null(ids.indices, 0).to_numpy().astype(np.int64), rows.num_rows
+    begins = rows.column(2).is_null().to_numpy()
+    of = group.indices.to_numpy().astype(np.int64) * len(ids.dictionary)
+    known, place = np.unique(np.concatenate([of + codes[:n], (of + codes[n:])[~begins]]), return_inverse=True)
+    src, dst, starts = place[:n][~begins], place[n:], place[:n][begins]
+    order = np.argsort(src, kind="stable")
+    dst, ends = dst[order], np.searchsorted(src[order], np.arange(len(known) + 1))
+    front = seen = np.arange(len(starts)) * len(known) + starts  # a start and a node as one number
+    while len(front):
+        start, node = np.divmod(front, len(known))
+        ways = ends[node + 1] - ends[node]
+        nth = np.arange(ways.sum()) - np.repeat(np.cumsum(ways) - ways, ways)
+        step = np.unique(np.repeat(start, ways) * len(known) + dst[np.repeat(ends[node], ways) + nth])
+        front = np.setdiff1d(step, seen, assume_unique=True)
+        seen = np.union1d(seen, front)
+    start, node = np.divmod(seen, len(known))
+    count, only = np.bincount(node, minlength=len(known)), np.bincount(node, weights=start, minlength=len(known)).astype(np.int64)
+    reached = np.flatnonzero(count)
+    values = rows.column(3).filter(pa.array(begins)).take(pa.array(np.where(count == 1, only, 0)[reached], mask=count[reached] != 1))
+    found = [group.dictionary.take(pa.array(known[reached] // len(ids.dictionary))), ids.dictionary.take(pa.array(known[reached] % len(ids.dictionary))), pa.array(count[reached]), values]
+    return pa.Table.from_arrays(found, names=["group", "node", "n", "value"]).combine_chunks().to_batches(max_chunksize=len(reached))[0]
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_walked() over rows in order of their groups; the last group of a batch, SMALL rows at most, waits for the next one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([*held, batch])
+            last = np.flatnonzero(pc.not_equal(rows.column(0), rows.column(0)[-1]).to_numpy())
+            cut = int(last[-1]) + 1 if len(last) else 0
+            held = rows.slice(cut).to_batches()
+            if cut:
+                yield _walked(rows.slice(0, cut))
+    if held:
+        yield _walked(pa.Table.from_batches(held))
+
+
+def counted_starts(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(group, node, n, value): how many starts (group, node, value) each reached node is reached from by edges (group, src, dst), itself
+    included if it is one, and the value of the only one, null where there are several.
+
+    Edges lead nowhere outside their group. Groups of up to SMALL edges and starts are dealt by group and walked where they lie, a batch of
+    groups at once; larger ones go through all_starts(), over all of them at once, so no task ever holds one.
+    """
+    kind = {c: starts.schema[c].dataType.simpleString() for c in ("group", "node", "value")}
+    first = starts.where("group is not null and node is not null").groupBy("group", F.col("node").alias("src")).agg(F.min("value").alias("value"))
+    ways = edges.select("group", "src", "dst", F.lit(None).cast(kind["value"]).alias("value")).where("group is not null and src is not null and dst is not null")
+    rows = saved(ways.unionByName(first.select("group", "src", F.lit(None).cast(kind["node"]).alias("dst"), "value")), "walk-rows")
+    large = saved(rows.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("group"), "large-groups")
+    none = large.isEmpty()
+    few = rows if none else rows.join(large, "group", "left_anti")
+    dealt = few.repartition("group").sortWithinPartitions("group").select("group", "src", "dst", "value")
+    found = dealt.mapInArrow(_walk, f"group {kind['group']}, node {kind['node']}, n long, value {kind['value']}")
+    if none:
+        return found
+    many, key = rows.join(large, "group", "left_semi"), lambda c: F.struct("group", F.col(c).alias("node"))
+    reach = all_starts(many.where("dst is not null").select(key("src").alias("src"), key("dst").alias("dst")), many.where("dst is null").select(key("src").alias("node")))
+    told = reach.groupBy("node").agg(F.count("*").alias("n"), F.min("start").alias("first")).select("node.group", "node.node", "n", F.when(F.col("n") == 1, F.col("first.node")).alias("src"))
+    return found.unionByName(told.join(many.where("dst is null").select("group", "src", "value"), ["group", "src"], "left").select("group", "node", "n", "value"))
+
+
 def sole_starts(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, first, last): the smallest and the largest start (node) that each reached node is reached from, itself included if it is one.
 

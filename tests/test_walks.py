@@ -129,3 +129,35 @@ def test_chain_labels_count_every_root(spark):
     c = spark.createDataFrame([(1, k, i, back, root, label) for k, i, back, root, label in rows], "source_id long, chunk_id string, sequence_index int, predecessor_indices array<int>, chain_root boolean, chain_label string")
     found = {r.chunk_id: (r.chain_label, r.n_roots) for r in K.chain_labels(c).collect()}
     assert found == {"a": ("A", 1), "b": ("B", 1), "c": ("chain", 1), "d": ("A", 1), "e": ("E", 4), "f": ("", 4), "g": ("", 0)}
+
+
+def test_counted_starts_of_small_and_large_groups_equal_plain_walks(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = [(g, f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for g, n, m in ((1, 12, 14), (2, 40, 44), (3, 5, 9), (4, 30, 40), (7, 3, 1)) for _ in range(m)]
+    starts = [(g, f"n{k}", f"v{g}.{k}") for g in (1, 2, 3, 4, 9) for k in (0, 2, 3)]
+    want = {}
+    for g, s, v in starts:
+        seen, front = {s}, [s]
+        while front:
+            front = [d for h, a, d in edges if h == g and a in front and d not in seen]
+            seen.update(front)
+        for node in seen:
+            want.setdefault((g, node), []).append(v)
+    e = spark.createDataFrame([*edges, (None, "n0", "n1"), (1, "n0", None), (1, None, "n0")], "group long, src string, dst string").repartition(3)
+    s = spark.createDataFrame([*starts, (None, "n0", "x"), (1, None, "x"), (1, "n0", "w")], "group long, node string, value string")
+    for small in (2000, 20, 0):  # all where they lie; both ways; all over joins
+        monkeypatch.setattr(G, "SMALL", small)
+        found = G.counted_starts(e, s).collect()
+        assert {(r.group, r.node): (r.n, r.value) for r in found} == {k: (len(v), v[0] if len(v) == 1 else None) for k, v in want.items()} and len(found) == len(want)
+
+
+def test_chains_of_small_sources_take_no_round_of_joins(spark, monkeypatch):
+    from loam.operators import chunks as K
+
+    def fails(*_):
+        raise AssertionError("walked by joins")
+
+    monkeypatch.setattr(G, "all_starts", fails)
+    rows = [("s", f"c{k}", k, [k - 1], k == 1, "A" if k == 1 else None) for k in range(1, 40)]
+    c = spark.createDataFrame(rows, "source_id string, chunk_id string, sequence_index int, predecessor_indices array<int>, chain_root boolean, chain_label string")
+    assert {(r.chain_label, r.n_roots) for r in K.chain_labels(c).collect()} == {("A", 1)}
