@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.functions.keys import relationship_key
+from loam.sources.shared import saved
 
 #: Entity type -> the type of its object.
 OBJECT_TYPES = {
@@ -158,11 +159,16 @@ def preview(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def without_removed(edges: DataFrame, shown: DataFrame, removed: DataFrame) -> DataFrame:
-    """Edges without those whose preview rows the analyst removed (source_id, id), by what the rows say, so equal rows go together."""
+    """Edges without those whose preview rows the analyst removed (source_id, id), by what the rows say, so equal rows go together.
+
+    Edges of a verb that no removed row has stay where they are: they aren't shuffled to be compared.
+    """
     says = ["source_id", "verb", "source_name", "source_type", "target_name", "target_type"]
     gone = shown.join(removed.select("source_id", "id").distinct(), ["source_id", "id"], "left_semi").select(says).distinct()
-    refs = shown.join(gone, says, "left_semi").select("source_id", "source_ref", "verb", "target_ref").distinct()
-    return edges.join(refs, ["source_id", "source_ref", "verb", "target_ref"], "left_anti")
+    refs = saved(shown.join(gone, says, "left_semi").select("source_id", "source_ref", "verb", "target_ref").distinct(), "removed-edges")
+    verbs = F.broadcast(refs.select("verb").distinct())  # as few as edges have
+    touched = edges.join(verbs, "verb", "left_semi").select(edges.columns).join(refs, ["source_id", "source_ref", "verb", "target_ref"], "left_anti")
+    return edges.join(verbs, "verb", "left_anti").select(edges.columns).unionByName(touched.select(edges.columns))
 
 
 def added(rows: DataFrame, names: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +176,7 @@ def added(rows: DataFrame, names: DataFrame, edges: DataFrame) -> tuple[DataFram
 
     ``rows`` have source_id, row, source_name, source_type, verb, target_name, target_type. An end is found by name and type;
     without a type by the name alone if only one object has it. Rows without a verb, with a missing end or onto themselves
-    are skipped; edges that exist are not doubled.
+    are skipped; edges that exist are not doubled, and only those of verbs that rows have are compared.
     """
     clean = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     index = names.select("source_id", F.lower(F.trim("name")).alias("name"), F.col("object_type").alias("type"), "stix_id").where("name <> ''")
@@ -182,8 +188,10 @@ def added(rows: DataFrame, names: DataFrame, edges: DataFrame) -> tuple[DataFram
         end = known.select("source_id", F.col("name").alias(f"{c}_name"), F.col("type").alias(f"{c}_type"), F.col("stix_id").alias(f"{c}_ref"))
         asked = asked.join(end, ["source_id", f"{c}_name", f"{c}_type"], "left")
     good = F.coalesce((F.col("verb") != "") & (F.col("source_ref") != F.col("target_ref")), F.lit(False))
-    new = asked.where(good).select("source_id", "source_ref", "verb", "target_ref").distinct().join(edges, ["source_id", "source_ref", "verb", "target_ref"], "left_anti")
-    return new, asked.where(~good).select("source_id", "row")
+    new = asked.where(good).select("source_id", "source_ref", "verb", "target_ref").distinct()
+    verbs = F.broadcast(edges.select("verb").distinct().join(new.select("verb").distinct(), "verb", "left_semi"))  # as few as edges have
+    there = edges.join(verbs, "verb", "left_semi").select("source_id", "source_ref", "verb", "target_ref")
+    return new.join(there, ["source_id", "source_ref", "verb", "target_ref"], "left_anti"), asked.where(~good).select("source_id", "row")
 
 
 def vulnerability_refs(texts: DataFrame, entities: DataFrame) -> DataFrame:

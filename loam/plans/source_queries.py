@@ -205,7 +205,8 @@ def analyst_rows(spark: SparkSession, d: str) -> DataFrame:
     procs, ents = _procedures(spark, d), _entities(spark, d)
     names = saved(R.name_index(procs, ents), "names")
     edges = saved(R.relationships(procs, ents), "relationships")
-    shown = saved(R.preview(edges, names), "preview")
+    # Rows are numbered among those that say the same, verb included, so the others' ids aren't needed for those of one verb.
+    shown = saved(R.preview(edges.where("verb = 'uses'"), names), "preview")
     gone = shown.where("verb = 'uses' and source_type = 'campaign' and target_type = 'attack-pattern'").select("source_id", "id")
     kept = R.without_removed(edges, shown, gone)
     c = table(spark, d, "customer")

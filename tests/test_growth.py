@@ -40,3 +40,27 @@ def test_repeated_items_are_those_of_equal_json(spark):
     bodies = ['[1, "1"]', '[{"x": 1, "y": 2}, {"y": 2, "x": 1}]', '["{\\"x\\":1}", {"x": 1}]', "[null, null]", "[null]", "[]", '"a"', "[[1], [1.0]]"]
     raw = spark.createDataFrame([(k, 0, f'{{"type": "t", "a": {a}}}') for k, a in enumerate(bodies)], "bundle long, position long, body string")
     assert sorted((r.bundle, r.error) for r in schemas.schema_errors(raw, known).collect()) == [(1, "repeated:a"), (3, "repeated:a"), (7, "repeated:a")]
+
+
+def test_edges_of_verbs_that_nobody_removes_or_adds_are_not_shuffled(spark):
+    row = "source_id long, source_ref string, verb string, target_ref string"
+    edges = spark.createDataFrame([(1, "a", "uses", "x"), (1, "a", "uses", "y"), (1, "b", "uses", "x"), (2, "a", "uses", "x"), (1, "a", "targets", "x"), (1, "a", None, "x")], row)
+    names = spark.createDataFrame([(s, k, "same" if k in "xy" else k, "t") for s in (1, 2) for k in "abxy"], "source_id long, stix_id string, name string, object_type string")
+    shown = R.preview(edges.where("verb = 'uses'"), names)
+    whole = {(r.source_id, r.id, r.source_ref, r.verb, r.target_ref) for r in R.preview(edges, names).where("verb = 'uses'").collect()}
+    assert {(r.source_id, r.id, r.source_ref, r.verb, r.target_ref) for r in shown.collect()} == whole  # ids are those of the whole preview
+    kept = R.without_removed(edges, shown, spark.createDataFrame([(1, "a|uses|same|t|t")], "source_id long, id string"))
+    physical = kept._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("BroadcastHashJoin [verb") == 2  # by verb first
+    assert sorted(map(str, kept.collect())) == sorted(map(str, edges.where("not (source_id = 1 and source_ref = 'a' and verb <=> 'uses')").collect()))
+    rows = spark.createDataFrame([(1, 1, "a", "t", "Targets", "b", "t"), (1, 2, "a", "t", "uses", "b", "t"), (1, 3, "b", "t", "uses", "a", ""), (1, 4, "b", "t", "", "a", "t")], "source_id long, row int, source_name string, source_type string, verb string, target_name string, target_type string")
+    new, skipped = R.added(rows, names, edges.union(spark.createDataFrame([(1, "a", "targets", "b")], row)))
+    assert sorted((r.source_ref, r.verb, r.target_ref) for r in new.collect()) == [("a", "uses", "b"), ("b", "uses", "a")] and [r.row for r in skipped.collect()] == [4]
+
+
+def test_analyst_rows_names_only_what_the_analyst_reads(spark, sf_dir, monkeypatch):
+    from loam.plans import source_queries
+
+    verbs, preview = [], R.preview
+    monkeypatch.setattr(R, "preview", lambda edges, names: (verbs.extend(r.verb for r in edges.select("verb").distinct().collect()), preview(edges, names))[1])
+    assert source_queries.analyst_rows(spark, sf_dir).count() > 0 and verbs == ["uses"]
